@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from abaculus.llm import line_dedup, pii, sentencepiece_sampling, token_files, warc_zip
 from abaculus.llm.decontaminate import decontaminate
 from abaculus.llm.exact_dedup import exact_dedup
 from abaculus.llm.lang_id import language_id
 from abaculus.llm.minhash import near_duplicates
+from abaculus.llm.quality_rules import score_quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +20,30 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
+def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.round_trip(table(spark, sf_dir, "pages"), with_payload=False).drop("url", "payload")
+
+
+def op3_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.per_document(table(spark, sf_dir, "documents"))
+
+
+def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_sampling.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_pieces", "ids_crc32", "lossless")
+
+
+def op7_token_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents")).drop("ids")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -30,7 +56,21 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op8_language_id, op9_exact_dedup, op10_winnowing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup,
+        op2_warc_zip,
+        op3_pii_boosting,
+        op4_fuzzy_lines,
+        op5_rule_ensemble,
+        op6_sentencepiece_sampling,
+        op7_token_dictionary,
+        op8_language_id,
+        op9_exact_dedup,
+        op10_winnowing,
+    )
+}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -46,6 +86,11 @@ l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where
 r(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from r join l on l.a = r.b)
 select n.doc_id, n.n as n_shingles, min(r.b) as component_id, min(r.b) = n.doc_id as kept
 from n join r on r.a = n.doc_id group by n.doc_id, n.n""",
+    "op2_warc_zip": """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as h from pages),
+f as (select *, case when n >= 100 then min(page_id) over (partition by h) end as first_id from p)
+select page_id, n as payload_bytes, h as payload_digest, case when page_id <> first_id then 'revisit' else 'response' end as record_type,
+       case when page_id <> first_id then first_id end as refers_to from f""",
     "op9_exact_dedup": f"""
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept, sha256({LOWER}) as text_sha256
 from documents window g as (partition by {LOWER})""",

@@ -74,3 +74,21 @@ def without_ids(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> Dat
 def small_batches(spark: SparkSession, rows: int) -> None:
     """Bound the rows of an Arrow batch, so that batches of long texts fit a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def open_fs(uri: str):
+    """(pyarrow file system, path in it) of a shared folder's URI; usable on executors."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def publish(uri: str, write, attempt: int) -> None:
+    """Write a file under a name of this attempt's own and move it in place, so that a repeated or
+    speculative task leaves whole files only. ``write`` gets the open stream."""
+    target, path = open_fs(uri)
+    target.create_dir(path.rpartition("/")[0], recursive=True)
+    part = f"{path}.{attempt}.part"
+    with target.open_output_stream(part) as out:
+        write(out)
+    target.move(part, path)
