@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from abaculus.llm.shared import smallest_hashes
+
 DIM = 1 << 15
 UNKNOWN = "und"
 
@@ -124,7 +126,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, max_train_rows: int = 3000, hold: Column | None = None) -> LanguageModel:
     """Fit on the labelled rows outside ``hold``: all of them up to ``max_train_rows``."""
     rows = docs.where("text is not null and lang is not null").where(~(held_out() if hold is None else hold))
-    rows = rows.select("text", "lang", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t")).orderBy("h", "t").limit(max_train_rows)
+    rows = smallest_hashes(rows.select("doc_id", "text", "lang"), max_train_rows, "doc_id")
     return fit([(r["text"], r["lang"]) for r in rows.collect()])
 
 
@@ -146,7 +148,8 @@ def language_id(docs: DataFrame, max_train_rows: int = 3000) -> DataFrame:
     return identify(rows, train(docs, max_train_rows)).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, min_score: float = 0.4, max_train_rows: int = 3000) -> DataFrame:
-    """``docs`` whose language is known with a score of ``min_score`` or more."""
-    found = identify(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text")), train(docs, max_train_rows), "_text")
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("_row.*")
+def keep_known(docs: DataFrame, lift: float = 1.1, max_train_rows: int = 3000) -> DataFrame:
+    """``docs`` whose language is known: not ``und``, and with a score ``lift`` times that of chance or more."""
+    model = train(docs, max_train_rows)
+    found = identify(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text")), model, "_text")
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") * max(1, len(model.langs)) >= lift)).select("_row.*")
