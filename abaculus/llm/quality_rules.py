@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from abaculus.llm.shared import Workspace
+from abaculus.llm.shared import Workspace, smallest_hashes
 
 #: Frequent function words of the languages served.
 FUNCTION_WORDS = "the and of to in is that it for a de la le les des et en un une que der die und das den el los las y con von mit".split()
@@ -149,7 +149,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_train_rows: int = 6000
     ws = Workspace(docs.sparkSession, "quality")
     table = ws.write(docs.select("doc_id", held_out().alias("held_out"), *[c.cast("double").alias(k) for k, c in stats.items()]), "statistics")
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = table.where(~F.col("held_out")).join(known, "doc_id").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", *names).limit(max_train_rows)
-    got = rows.select("quality", *names).collect()
+    rows = table.where(~F.col("held_out")).join(known, "doc_id")
+    got = smallest_hashes(rows, max_train_rows, "doc_id").select("quality", *names).collect()
     model = fit(np.array([r[1:] for r in got], float).reshape(len(got), len(names)), np.array([r[0] for r in got], float), names)
     return table.select("doc_id", "held_out", model.column().alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from abaculus.llm.shared import Workspace, open_fs, publish
+from abaculus.llm.shared import Workspace, open_fs, publish, smallest_hashes
 
 MAGIC = b"ABTOKEN1"
 MODEL = "byte_bpe_50k.json"
@@ -100,7 +100,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, sample_docs: int =
     """A zstandard dictionary of at most ``size`` bytes."""
     import zstandard
 
-    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
+    chosen = smallest_hashes(docs.select("doc_id"), sample_docs, "doc_id").distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
