@@ -4,7 +4,9 @@ Buckets of up to ``PAIR_BUCKET`` members make all their pairs. A larger bucket i
 resolved in rounds: a few centres are compared with all members that are not yet
 in a centre's component, the centres leave the bucket, components are updated,
 and the bucket is done once all that is left of it lies in one component. Every
-pair is so verified, ruled out, or already connected.
+pair is so verified, ruled out, or already connected. Members that are alike
+leave in the first round; for those that are not, each round takes ``GROWTH``
+times as many centres, so the number of rounds is a logarithm of a bucket's size.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from abaculus.llm.shared import Workspace
 
 PAIR_BUCKET = 8
-CENTRES = 6
+CENTRES, GROWTH = 6, 8
 
 
 def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
@@ -58,7 +60,7 @@ def group(ws: Workspace, members: DataFrame, verify: Callable[[DataFrame, str],
     while True:
         # row_number with a limit is cut before the shuffle too, so a large bucket sends a few rows per task
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("order", "node"))
-        centres = many.withColumn("order", F.xxhash64("node", "bucket")).withColumn("rank", rank).where(F.col("rank") <= CENTRES)
+        centres = many.withColumn("order", F.xxhash64("node", "bucket")).withColumn("rank", rank).where(F.col("rank") <= CENTRES * GROWTH**step)
         centres = ws.write(centres.select("bucket", F.col("node").alias("centre")), f"centres-{step}")
         stars = many.join(centres, "bucket").where("node <> centre")
         if labels is not None:
@@ -74,7 +76,6 @@ def group(ws: Workspace, members: DataFrame, verify: Callable[[DataFrame, str],
         labels = components(ws, done.where("linked"), f"comps-{step}")
         left = many.join(centres.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
         left = left.join(labels, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-        left = ws.write(left, f"left-{step}")
         undecided = left.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
         many = ws.write(left.join(undecided, "bucket", "left_semi").select("bucket", "node"), f"many-{step}")
         if many.isEmpty():

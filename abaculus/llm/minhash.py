@@ -10,12 +10,9 @@ whose estimated Jaccard similarity (corrected for register collisions) could
 reach the threshold are verified on their full shingle sets.
 
 Skew: equal shingle sets are first reduced to their smallest id by an aggregate
-with partial sums, so copies never meet in a bucket. In a bucket of up to
-``PAIR_BUCKET`` classes all pairs are candidates; a larger bucket links its
-members to a few centres per round, drops the centres, and goes on until all that
-is left of it lies in one component. So no bucket emits the square of its size
-unless its members really are unrelated, and yet every pair is either verified,
-ruled out by its sketch, or already connected.
+with partial sums, so copies never meet in a bucket. Buckets are resolved by
+``grouping.group``, which links the members of a large one to a few centres per
+round instead of making all its pairs, and yet leaves no pair undecided.
 
 Defined results: null or empty texts have an empty set and stand alone; with
 fewer than five words the whole sequence is one shingle; repeated rows (same id)
@@ -30,15 +27,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from abaculus.llm.grouping import group
 from abaculus.llm.shared import Workspace, broadcast_if_small, without_ids
 
 BUCKETS, BANDS, ROWS, MANTISSA = 128, 25, 5, 10
 SHINGLE = 5
-PAIR_BUCKET = 8
-CENTRES = 6
 MEMO_WORDS = 200_000
 
 
@@ -165,28 +161,6 @@ def similar(percent: int) -> Column:
     return check(F.col("text_a"), F.col("text_b"))
 
 
-def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
-    """(node, comp) of an undirected edge table (a, b): comp is the smallest node reachable.
-
-    Each round every node takes the smallest label among its neighbours' and then
-    the label of its label, so a chain of length n takes about log n rounds.
-    """
-    links = ws.write(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-links")
-    labels = ws.write(links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node"), f"{name}-0")
-    step = 0
-    while True:
-        step += 1
-        hop = links.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("hop"))
-        near = labels.join(hop.withColumnRenamed("a", "node"), "node").select("node", "comp", F.least("comp", "hop").alias("best"))
-        jump = labels.select(F.col("node").alias("best"), F.col("comp").alias("jumped"))
-        after = ws.write(near.join(jump, "best", "left").select("node", F.least("best", F.coalesce("jumped", "best")).alias("comp"), (F.least("best", F.coalesce("jumped", "best")) < F.col("comp")).alias("moved")), f"{name}-{step}")
-        ws.drop(f"{name}-{step - 1}")
-        labels = after.select("node", "comp")
-        if after.where("moved").isEmpty():
-            ws.drop(f"{name}-links")
-            return labels
-
-
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
     spark = docs.sparkSession
@@ -196,57 +170,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = ws.write(classes, "classes")
     reps = rows.join(classes.withColumnRenamed("rep", "doc_id").drop("set_hash"), "doc_id", "left_semi").where("set_hash is not null")
     reps = ws.write(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "regs", "bands").dropDuplicates(["rep"]), "reps")
-    sizes = reps.select("rep", F.explode("bands").alias("band"))
-    counts = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = ws.write(sizes.join(counts, "band"), "members-0")
-
-    few = members.where(F.col("size") <= PAIR_BUCKET)
-    pairs = few.select("band", F.col("rep").alias("a")).join(few.select("band", F.col("rep").alias("b")), "band").where("a < b").select("a", "b")
-    many = members.where(F.col("size") > PAIR_BUCKET).select("band", "rep")
-    step, edges, done = 0, None, None
-    while True:
-        # the first centres of each large bucket: row_number with a limit is cut on the map side too
-        rank = F.row_number().over(Window.partitionBy("band").orderBy("order", "rep"))
-        centres = many.withColumn("order", F.xxhash64("rep", "band")).withColumn("rank", rank).where(F.col("rank") <= CENTRES).select("band", F.col("rep").alias("centre"), "rank")
-        centres = ws.write(centres, f"centres-{step}")
-        stars = many.join(centres, "band").where("rep <> centre")
-        if step:
-            stars = stars.join(labels.select(F.col("node").alias("rep"), F.col("comp").alias("rep_comp")), "rep", "left").join(labels.select(F.col("node").alias("centre"), F.col("comp").alias("centre_comp")), "centre", "left")
-            stars = stars.where(F.coalesce("rep_comp", "rep") != F.coalesce("centre_comp", "centre"))
-        stars = stars.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
-        found = _verified(ws, stars.union(pairs) if not step else stars, reps, docs, done, percent, step)
-        done = found.select("a", "b", "linked") if done is None else done.union(found.select("a", "b", "linked"))
-        edges = done.where("linked")
-        labels = components(ws, edges, f"comps-{step}")
-        left = many.join(centres.select("band", F.col("centre").alias("rep")), ["band", "rep"], "left_anti")
-        left = left.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("band", "rep", F.coalesce("comp", "rep").alias("comp"))
-        left = ws.write(left, f"left-{step}")
-        open_bands = left.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-        many = ws.write(left.join(open_bands, "band", "left_semi").select("band", "rep"), f"many-{step}")
-        if many.isEmpty():
-            break
-        step += 1
+
+    def verify(pairs: DataFrame, name: str) -> DataFrame:
+        side = lambda c: reps.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
+        pairs = ws.write(pairs.join(side("a"), "a").join(side("b"), "b").where(plausible(percent / 100)).select("a", "b"), f"pairs-{name}")
+        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        texts = ws.write(texts, f"texts-{name}")
+        both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        found = ws.write(both.select("a", "b", similar(percent).alias("linked")), f"found-{name}")
+        ws.drop(f"texts-{name}")
+        return found
+
+    labels = group(ws, reps.select(F.explode("bands").alias("bucket"), F.col("rep").alias("node")), verify)
     of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("comp", "rep").alias("comp"))
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash")).join(of_class, "set_hash", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce(F.coalesce("comp", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _verified(ws: Workspace, pairs: DataFrame, reps: DataFrame, docs: DataFrame, done: DataFrame | None, percent: int, step: int) -> DataFrame:
-    """The candidate pairs (a, b) not yet in ``done``, with whether their full shingle sets are linked."""
-    pairs = pairs.distinct()
-    if done is not None:
-        pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-    side = lambda c: reps.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
-    pairs = ws.write(pairs.join(side("a"), "a").join(side("b"), "b").where(plausible(percent / 100)).select("a", "b"), f"pairs-{step}")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = ws.write(texts, f"texts-{step}")
-    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    found = ws.write(joined.select("a", "b", similar(percent).alias("linked")), f"found-{step}")
-    ws.drop(f"texts-{step}")
-    return found
-
-
 def keep_representatives(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``docs`` with one document (the smallest id) of each near-duplicate group."""
     return without_ids(docs, near_duplicates(docs, percent).where("not kept").select("doc_id"))
