@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abaculus.llm.shared import smallest_hashes
+from abaculus.session import ship_package
 
 DIM = 1 << 15
 UNKNOWN = "und"
@@ -132,6 +133,7 @@ def train(docs: DataFrame, max_train_rows: int = 3000, hold: Column | None = Non
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score."""
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

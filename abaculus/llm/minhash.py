@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from abaculus.llm.grouping import group
 from abaculus.llm.shared import Workspace, broadcast_if_small, without_ids
+from abaculus.session import ship_package
 
 BUCKETS, BANDS, ROWS, MANTISSA = 128, 25, 5, 10
 SHINGLE = 5
@@ -125,6 +126,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     out.append((doc_id, 0, None, None, None))
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_hash", "regs", "bands"]).astype({"doc_id": "Int64"})
 
+    ship_package(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, set_hash string, regs binary, bands array<long>")
 
 

@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from abaculus.session import ship_package
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "account")
 
@@ -276,6 +278,7 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def find_pii(docs: DataFrame, redactor: Redactor | None = None, with_text: bool = False) -> DataFrame:
     """doc_id, counts of base spans, their SHA-256, all spans, the number added, and on request the redacted text."""
+    ship_package(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(redactor or train())
     names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_added", "redacted"]
 

@@ -92,7 +92,7 @@ def holds(rules: list[Rule], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def lasso(a: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tuple[np.ndarray, float]:
+def lasso(a: np.ndarray, y: np.ndarray, penalty: float, steps: int = 200) -> tuple[np.ndarray, float]:
     """Logistic weights under an L1 penalty, by accelerated proximal gradient steps."""
     w, b, z, zb, t = np.zeros(a.shape[1]), 0.0, np.zeros(a.shape[1]), 0.0, 1.0
     rate = 4 * len(y) / (np.linalg.norm(np.c_[a, np.ones(len(y))], 2) ** 2 + 1e-9)
@@ -131,7 +131,7 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str]) -> RuleModel:
     tuning = np.arange(len(y)) % 5 == 0
     rules = grow_rules(x[~tuning], y[~tuning])
     a, best = holds(rules, x), (np.inf, 0.0)
-    for penalty in (0.0005, 0.001, 0.002, 0.005, 0.01, 0.02):
+    for penalty in (0.001, 0.003, 0.01):
         w, b = lasso(a[~tuning], y[~tuning], penalty)
         p = np.clip(1 / (1 + np.exp(-(a[tuning] @ w + b))), 1e-6, 1 - 1e-6)
         best = min(best, (-(y[tuning] * np.log(p) + (1 - y[tuning]) * np.log(1 - p)).mean(), penalty))

@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from abaculus.session import ship_package
+
 MODEL = "piece_bpe_32k.model"
 #: Units that no piece crosses: words, other characters, line breaks. For a model with pieces that
 #: do cross these, whole runs between blanks are the units.
@@ -301,6 +303,7 @@ def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", pat
     """``docs`` with n_pieces, ids (little-endian unsigned 16-bit; 32-bit for models beyond 65,536 pieces),
     ids_crc32 (of the ids as 32-bit integers) and lossless (the ids decode to the text)."""
     path = path or model_path()
+    ship_package(docs.sparkSession)
 
     @F.pandas_udf("n_pieces long, ids binary, ids_crc32 long, lossless boolean")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -321,6 +324,7 @@ def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", pat
 def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with the text that its ids stand for, as ``decoded``."""
     path = path or model_path()
+    ship_package(encoded.sparkSession)
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

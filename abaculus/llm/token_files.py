@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from abaculus.llm.shared import Workspace, open_fs, publish, smallest_hashes
+from abaculus.session import ship_package
 
 MAGIC = b"ABTOKEN1"
 MODEL = "byte_bpe_50k.json"
@@ -123,6 +124,7 @@ def _dictionary(content: bytes):
 def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, level: int = 3) -> DataFrame:
     """Write the files into ``folder``; returns (shard, uri, n_docs, n_tokens) per file."""
     spark, path = docs.sparkSession, path or model_path()
+    ship_package(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     content = train_dictionary(texts, path, end_id)
     publish(f"{folder}/dictionary", lambda out: out.write(content), 0)
@@ -177,6 +179,7 @@ class TokenFile:
 
 def read(spark: SparkSession, shards: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids and ids_crc32 of every document in the files of ``shards``."""
+    ship_package(spark)
     ordered = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one small row per file
     based = shards.withColumn("base", F.coalesce(F.sum("n_tokens").over(ordered), F.lit(0)))
 
