@@ -21,13 +21,13 @@ def candidate_pairs(df: DataFrame, window_days: int = 7, tolerance: str = "0.01"
         F.col("txn_uid").alias("in_id"), F.col("subject").alias("in_subject"), F.col("counterparty").alias("in_party"), F.col("trade_date").alias("in_date"), F.col("receipt").alias("in_amount")
     )
     out = out.withColumn("bucket", F.floor(F.col("out_amount") / width))
-    into = into.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.floor(F.col("in_amount") / width) + i)))
+    into = into.withColumn("in_bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.floor(F.col("in_amount") / width) + i)))
     named_out, named_in = F.col("out_party") == F.col("in_subject"), F.col("in_party") == F.col("out_subject")
     if strict:
-        pairs = out.join(into, (out["bucket"] == into["bucket"]) & named_out & named_in)
+        pairs = out.join(into, (F.col("bucket") == F.col("in_bucket")) & named_out & named_in)
     else:  # either side names the other: two equi-joins, the second without what the first finds
-        first = out.join(into, (out["bucket"] == into["bucket"]) & named_out)
-        second = out.join(into, (out["bucket"] == into["bucket"]) & named_in).where(~F.coalesce(named_out, F.lit(False)))
+        first = out.join(into, (F.col("bucket") == F.col("in_bucket")) & named_out)
+        second = out.join(into, (F.col("bucket") == F.col("in_bucket")) & named_in).where(~F.coalesce(named_out, F.lit(False)))
         pairs = first.unionByName(second)
     days, gap = F.abs(F.datediff("in_date", "out_date")), F.abs(F.col("out_amount") - F.col("in_amount"))
     return pairs.where((F.col("out_subject") != F.col("in_subject")) & (gap <= F.lit(tolerance).cast("decimal(20,2)")) & (days <= window_days)).select("out_id", "in_id", "out_subject", "in_subject", "out_date", "in_date", "out_amount", "in_amount", days.alias("days"), gap.alias("gap"))
