@@ -130,12 +130,15 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str]) -> RuleModel:
         return RuleModel(names, [], np.zeros(0), float(np.log(share / (1 - share))))
     tuning = np.arange(len(y)) % 5 == 0
     rules = grow_rules(x[~tuning], y[~tuning])
-    a, best = holds(rules, x), (np.inf, 0.0)
-    for penalty in (0.001, 0.003, 0.01):
+    a, found = holds(rules, x), []
+    for penalty in (0.001, 0.003, 0.01, 0.03):
         w, b = lasso(a[~tuning], y[~tuning], penalty)
         p = np.clip(1 / (1 + np.exp(-(a[tuning] @ w + b))), 1e-6, 1 - 1e-6)
-        best = min(best, (-(y[tuning] * np.log(p) + (1 - y[tuning]) * np.log(1 - p)).mean(), penalty))
-    return RuleModel(names, rules, *lasso(a, y, best[1]))
+        losses = -(y[tuning] * np.log(p) + (1 - y[tuning]) * np.log(1 - p))
+        found.append((losses.mean(), losses.std() / np.sqrt(len(losses)), penalty))
+    least, error, _ = min(found)
+    chosen = max(penalty for loss, _, penalty in found if loss <= least + error)  # the sparsest within one standard error
+    return RuleModel(names, rules, *lasso(a, y, chosen))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
