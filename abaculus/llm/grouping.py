@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from abaculus.llm.shared import Workspace
@@ -45,28 +45,29 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def group(ws: Workspace, members: DataFrame, verify: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def group(ws: Workspace, members: DataFrame, sketches: DataFrame, likely: Callable[[Column, Column], Column], verify: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """(node, comp) of all nodes linked with another.
 
-    ``members`` holds (bucket, node), distinct. ``verify`` gets distinct pairs (a, b), a < b, and a
-    name for tables it writes; it returns (a, b, linked) for those that it doesn't rule out.
+    ``members`` holds (bucket, node), distinct; ``sketches`` holds (node, sketch), and ``likely`` tells
+    from two sketches whether a pair may be linked, inside the joins, so that pairs it rules out are
+    never made. ``verify`` gets distinct pairs (a, b), a < b, and a name for tables it writes; it
+    returns (a, b, linked) for those that it doesn't rule out.
     """
     counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = ws.write(members.join(counts, "bucket"), "members")
-    few = members.where(F.col("size") <= PAIR_BUCKET)
-    pairs = few.select("bucket", F.col("node").alias("a")).join(few.select("bucket", F.col("node").alias("b")), "bucket").where("a < b").select("a", "b")
-    many = members.where(F.col("size") > PAIR_BUCKET).select("bucket", "node")
-    step, done, labels = 0, None, None
+    members = members.join(sketches, "node")
+    few = members.where(F.col("size") <= PAIR_BUCKET).select("bucket", F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
+    other = few.select(F.col("bucket").alias("bucket_b"), F.col("a").alias("b"), F.col("sketch_a").alias("sketch_b"))
+    pairs = few.join(other, (F.col("bucket") == F.col("bucket_b")) & (F.col("a") < F.col("b")) & likely(F.col("sketch_a"), F.col("sketch_b"))).select("a", "b")
+    many = members.where(F.col("size") > PAIR_BUCKET).select("bucket", "node", "sketch", F.col("node").alias("comp"))
+    step, done = 0, None
     while True:
         # row_number with a limit is cut before the shuffle too, so a large bucket sends a few rows per task
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("order", "node"))
         centres = many.withColumn("order", F.xxhash64("node", "bucket")).withColumn("rank", rank).where(F.col("rank") <= CENTRES * GROWTH**step)
-        centres = ws.write(centres.select("bucket", F.col("node").alias("centre")), f"centres-{step}")
-        stars = many.join(centres, "bucket").where("node <> centre")
-        if labels is not None:
-            stars = stars.join(labels.select("node", F.col("comp").alias("node_comp")), "node", "left")
-            stars = stars.join(labels.select(F.col("node").alias("centre"), F.col("comp").alias("centre_comp")), "centre", "left")
-            stars = stars.where(F.coalesce("node_comp", "node") != F.coalesce("centre_comp", "centre"))
+        centres = ws.write(centres.select(F.col("bucket").alias("centre_bucket"), F.col("node").alias("centre"), F.col("comp").alias("centre_comp"), F.col("sketch").alias("centre_sketch")), f"centres-{step}")
+        # members that a centre's component already holds are left out inside the join
+        stars = many.join(centres, (F.col("bucket") == F.col("centre_bucket")) & (F.col("comp") != F.col("centre_comp")) & likely(F.col("sketch"), F.col("centre_sketch")))
         stars = stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
         if step:
             found = verify(stars.distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"), f"round-{step}")
@@ -74,10 +75,10 @@ def group(ws: Workspace, members: DataFrame, verify: Callable[[DataFrame, str],
         else:
             found = done = verify(stars.union(pairs).distinct(), f"round-{step}")
         labels = components(ws, done.where("linked"), f"comps-{step}")
-        left = many.join(centres.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
-        left = left.join(labels, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+        left = many.join(centres.select(F.col("centre_bucket").alias("bucket"), F.col("centre").alias("node")), ["bucket", "node"], "left_anti").drop("comp")
+        left = left.join(labels, "node", "left").select("bucket", "node", "sketch", F.coalesce("comp", "node").alias("comp"))
         undecided = left.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-        many = ws.write(left.join(undecided, "bucket", "left_semi").select("bucket", "node"), f"many-{step}")
+        many = ws.write(left.join(undecided, "bucket", "left_semi").select("bucket", "node", "sketch", "comp"), f"many-{step}")
         if many.isEmpty():
             return labels
         step += 1
