@@ -29,26 +29,32 @@ def resolve(df: DataFrame, lookup: DataFrame, extras: tuple[str, ...] = ()) -> D
     return keyed.join(_small(entries), "account_key", "left")
 
 
-def fuzzy_accounts(accounts: DataFrame, lookup: DataFrame, threshold: float = 0.6) -> DataFrame:
+#: A lookup of up to so many accounts is compared with every unmatched account directly.
+NESTED_ROWS = 20_000
+
+
+def fuzzy_accounts(accounts: DataFrame, lookup: DataFrame, threshold: float = 0.6, nested_rows: int = NESTED_ROWS) -> DataFrame:
     """The most similar lookup account of each distinct unmatched account, where similar enough.
 
-    Similarity s of lengths a <= b needs a >= s * b, and an edit distance of d leaves one of d + 1
-    pieces of the shorter text unchanged. So candidates meet on two-character grams at like places
-    (within the edits allowed), never all against all; the similarity is then exact.
+    A lookup of a counted, small size is broadcast and compared by length and edit distance. A larger
+    one meets the accounts on two-character grams: similarity s of lengths a <= b needs a >= s * b, and
+    shared grams stand at places no further apart than the edits allowed. Both ways are exact for
+    thresholds of 0.6 and more on accounts of six or more characters; the first is exact for all.
     """
     left = accounts.select(normalize_account(F.col("account")).alias("account")).where("account <> ''").distinct()
     keyed = left.withColumn("account_key", account_key(F.col("account")))
-    left = keyed.join(lookup.select("account_key").distinct(), "account_key", "left_anti")
+    left = keyed.join(lookup.select("account_key").distinct(), "account_key", "left_anti").select("account")
     right = lookup.groupBy(normalize_account(F.col("account")).alias("candidate")).agg(F.min("row_id").alias("row_id")).where("candidate <> ''")
-
-    def grams(c: str) -> DataFrame:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.struct(F.substring(F.col(c), i, F.lit(2)).alias("gram"), i.alias("at")))
-
-    a = left.select("account", F.inline(grams("account")))
-    b = right.select("candidate", "row_id", F.inline(grams("candidate"))).withColumnRenamed("at", "at_b")
-    shift = F.floor(F.greatest(F.length("account"), F.length("candidate")) * (1 - threshold))
-    pairs = a.join(b, "gram").where((F.abs(F.length("account") - F.length("candidate")) <= shift) & (F.abs(F.col("at") - F.col("at_b")) <= shift))
-    scored = pairs.select("account", "candidate", "row_id").distinct().withColumn("score", F.round(similarity(F.col("account"), F.col("candidate")), 6)).where(F.col("score") >= threshold)
+    shift = F.floor(F.greatest(F.length("account"), F.length("candidate")) * (1 - threshold) + 1e-9)
+    near = F.abs(F.length("account") - F.length("candidate")) <= shift
+    if right.limit(nested_rows + 1).count() <= nested_rows:
+        pairs = left.join(F.broadcast(right), near)
+    else:
+        grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.struct(F.substring(F.col(c), i, F.lit(2)).alias("gram"), i.alias("at")))
+        a = left.select("account", F.inline(grams("account")))
+        b = right.select("candidate", "row_id", F.inline(grams("candidate"))).withColumnRenamed("at", "at_b")
+        pairs = a.join(b, "gram").where(near & (F.abs(F.col("at") - F.col("at_b")) <= shift)).select("account", "candidate", "row_id").distinct()
+    scored = pairs.withColumn("score", F.round(similarity(F.col("account"), F.col("candidate")), 6)).where(F.col("score") >= threshold)
     best = F.min_by(F.struct("candidate", "score"), F.struct((-F.col("score")).alias("s"), "row_id"))
     return scored.groupBy("account").agg(best.alias("best")).select("account", "best.candidate", "best.score")
 

@@ -230,11 +230,11 @@ def _(df):
 
 def fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = lookup(spark, sf_dir).where("priority = 0")
-    typed = ledger(spark, sf_dir).where("account < '0000000300'").select(F.concat(F.lit("9"), F.substring("account", 2, 9)).alias("account"))
+    typed = ledger(spark, sf_dir).select(F.concat(F.lit("9"), F.substring("account", 2, 9)).alias("account"))
     return lookups.fuzzy_accounts(typed, base, 0.8)
 
 
-@register("j2_fuzzy_resolution", f"""{L}{LOOKUP_SQL}, a as (select distinct '9'||substr(account,2,9) as account from ledger where account < '0000000300'),
+@register("j2_fuzzy_resolution", f"""{L}{LOOKUP_SQL}, a as (select distinct '9'||substr(account,2,9) as account from ledger),
 s as (select a.account, l.account as candidate, l.row_id, round(1 - levenshtein(a.account, l.account) / cast(greatest(length(a.account), length(l.account)) as double), 6) as score from a, lookup l where l.priority = 0)
 select account, candidate, score from s where score >= 0.8 qualify row_number() over (partition by account order by score desc, row_id) = 1""", fuzzy)
 def _(df):

@@ -95,14 +95,15 @@ def test_lookup(spark):
     assert lookups.delete_entries(look, look.where("account_key = '9'")).count() == 2
 
 
-def test_fuzzy_equals_brute_force(spark):
+@pytest.mark.parametrize("nested_rows", [1000, 0])
+def test_fuzzy_equals_brute_force(spark, nested_rows):
     import random
 
     random.seed(3)
     known = [f"{random.randrange(10**8):08d}" for _ in range(60)]
     typed = sorted({k[:i] + random.choice("0123456789") + k[i + random.choice((0, 1)) :] for k in known for i in (random.randrange(8),)} - {k.lstrip("0") for k in known})
     look = spark.createDataFrame([("S", k, k.lstrip("0"), 0, {}, i) for i, k in enumerate(known)], "subject string, account string, account_key string, priority int, extra map<string,string>, row_id long")
-    got = {r.account: (r.candidate, r.score) for r in lookups.fuzzy_accounts(spark.createDataFrame([(t,) for t in typed], "account string"), look, 0.75).collect()}
+    got = {r.account: (r.candidate, r.score) for r in lookups.fuzzy_accounts(spark.createDataFrame([(t,) for t in typed], "account string"), look, 0.75, nested_rows).collect()}
 
     def lev(a, b):
         d = list(range(len(b) + 1))
