@@ -29,7 +29,9 @@ import hashlib
 import os
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -59,6 +61,14 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def little(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 16-bit integers."""
+    a = array("H", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 class Encoder:
     """Ids of texts as bytes (unsigned 16-bit), with a memory of the splitter's parts."""
 
@@ -73,7 +83,7 @@ class Encoder:
         self.parts: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [little(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [SPLITTER.findall(t) if SAFE.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
@@ -93,7 +103,7 @@ def encoder(path: str) -> Encoder:
 
 
 def serialized(texts: list[str], path: str, end_id: int) -> list[bytes]:
-    end = np.array([end_id], "<u2").tobytes()
+    end = little([end_id])
     return [ids + end for ids in encoder(path).encode(texts)]
 
 
