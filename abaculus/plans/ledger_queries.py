@@ -715,3 +715,55 @@ def _(df):
 @register("k9_manifest", f"with b as ({BATCH}) select status, grouping(status) as level, count(*) as n_files, sum(n_records) as n_records from b group by grouping sets ((status), ())", batches)
 def _(df):
     return merging.manifest(df)
+
+
+# --- tables as they are written
+
+
+@register("k1_merged_table", f"{SIDES} select bank, count(*) as n, sum(receipt) as receipt from (select bank, match_key, receipt from old_side union all select bank, match_key, receipt from new_side where match_key not in (select match_key from old_side)) group by bank", keyed)
+def _(df):
+    return merging.merged(df.where(OLD), new_side(df)).groupBy("bank").agg(F.count(F.lit(1)).alias("n"), F.sum("receipt").alias("receipt"))
+
+
+@register("k2_column_order", f"{L} select summary, bank, account, txn_uid from ledger")
+def _(df):
+    return query.column_order(df.select("txn_uid", "account", "bank", "summary"), ["summary", "bank", "missing", "account"])
+
+
+@register("o5_first_per_key", f"{L} select bank, subject, txn_uid from ledger qualify row_number() over (partition by bank, subject order by trade_date desc, txn_uid) = 1")
+def _(df):
+    return query.first_per_key(df, ["bank", "subject"], [F.desc("trade_date"), F.col("txn_uid")]).select("bank", "subject", "txn_uid")
+
+
+@register("p14_safe_columns", f"{L} select bank from ledger")
+def _(df):
+    from abaculus.functions.masks import SAFE, fields_at
+
+    wide = df.select("bank", "account", "summary", "payment")
+    return wide.select(*fields_at(wide.columns, SAFE))
+
+
+@register("f7_row_ids", "select event_id, md5(cast(user_id as varchar)||'|'||event_id||'|'||strftime(ts,'%Y-%m-%d')||'|'||event_type||'|') as id from events", lambda s, d: s.read.parquet(f"{d}/events.parquet"))
+def _(df):
+    from abaculus.functions.accounts import row_id
+
+    return df.select("event_id", row_id(F.col("user_id"), F.col("event_id"), F.date_format("ts", "yyyy-MM-dd"), F.col("event_type"), F.lit(None).cast("string")).alias("id"))
+
+
+@register("f18_name_keys", "select n_nationkey, replace(replace(lower(n_name), ' ', ''), '_', '')||'ab1' as k from nation", lambda s, d: s.read.parquet(f"{d}/nation.parquet"))
+def _(df):
+    return df.select("n_nationkey", texts.name_key(F.concat(F.col("n_name"), F.lit("＿Ａ-Ｂ（１）"))).alias("k"))
+
+
+@register("f19_match_modes", f"""{L} select txn_uid, case when summary like '%IUM%' then 'IUM' end as inside, case when summary = '5-LOW' then '5-LOW' end as exact, case when summary like '1-%' then '1-' end as head, case when summary like '%IED' then 'IED' when summary like '%GH' then 'GH' end as tail,
+  case when regexp_matches(summary, '^[23]') then '^[23]' end as pattern from ledger""")
+def _(df):
+    s = F.col("summary")
+    modes = {"inside": (["IUM"], "contains"), "exact": (["5-LOW"], "exact"), "head": (["1-"], "startswith"), "tail": (["IED", "GH"], "endswith"), "pattern": (["^[23]"], "regex")}
+    return df.select("txn_uid", *[texts.first_keyword(s, k, m).alias(n) for n, (k, m) in modes.items()])
+
+
+@register("f12_f24_amounts", f"{L} select txn_uid, coalesce(nullif(abs(payment),0), nullif(receipt,0)) as amount, coalesce(payment,0)+coalesce(receipt,0) as net from ledger")
+def _(df):
+    p, r = F.col("payment"), F.col("receipt")
+    return df.select("txn_uid", amounts.pick_amount(p, r).alias("amount"), amounts.net_amount(p, r).alias("net"))

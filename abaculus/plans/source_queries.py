@@ -206,3 +206,25 @@ def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["t4_exactly_once"] = _ingested
 SQL["t4_exactly_once"] = "select distinct user_id||'::'||event_type as match_key from events"
+
+
+@register("s12_header_scores", """with t as (select event_id, case event_id % 5 when 0 then 'Date' when 1 then 'trade date (utc)' when 2 then 'the date is' when 3 then 'dat' else 'amount' end as x from events)
+select event_id, case event_id % 5 when 0 then 1.0 when 1 then 0.9 when 2 then 0.7 when 3 then 0.5 else 0.0 end as score from t""", lambda s, d: read(s, d, "events"))
+def _(df):
+    k = F.col("event_id") % 5
+    cell = F.when(k == 0, "Date").when(k == 1, "trade date (utc)").when(k == 2, "the date is").when(k == 3, "dat").otherwise("amount")
+    return df.select("event_id", statements.header_score(statements.header_text(cell), ["date", "trade date"]).alias("score"))
+
+
+@register("f29_content_hash", "select page_id, sha256(html) as h from pages", lambda s, d: read(s, d, "pages"))
+def _(df):
+    return files.with_hash(df.select("page_id", F.encode("html", "utf-8").alias("content"))).select("page_id", F.col("content_hash").alias("h"))
+
+
+@register("s21_personal_rows", "select 'u'||user_id as file, count(*) as n from events where round(abs(value),2) <> 0 or event_id % 6 <> 0 group by 1", lambda s, d: read(s, d, "events"))
+def _(df):
+    sheet = df.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"), F.lit("bill").alias("sheet"), (F.col("event_id") + 2).cast("int").alias("row"), F.inline(F.array(
+        F.struct(F.lit(1).alias("col"), F.format_number(F.abs("value"), 2).alias("value")), F.struct(F.lit(2).alias("col"), F.when(F.col("event_id") % 6 != 0, F.col("event_type")).otherwise(" ").alias("value")))))
+    head = df.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"), F.lit("bill").alias("sheet"), F.lit(1).alias("row")).distinct().select("file", "sheet", "row", F.inline(F.array(F.struct(F.lit(1).alias("col"), F.lit("金额").alias("value")), F.struct(F.lit(2).alias("col"), F.lit("商户").alias("value")))))
+    rows = statements.personal_rows(sheet.unionByName(head), {"amount": ["交易金额", "金额"], "merchant": ["商户", "商家"]})
+    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
