@@ -45,40 +45,51 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def group(ws: Workspace, members: DataFrame, sketches: DataFrame, likely: Callable[[Column, Column], Column], verify: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def group(ws: Workspace, nodes: DataFrame, n_keys: int, likely: Callable[[Column, Column], Column], verify: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """(node, comp) of all nodes linked with another.
 
-    ``members`` holds (bucket, node), distinct; ``sketches`` holds (node, sketch), and ``likely`` tells
-    from two sketches whether a pair may be linked, inside the joins, so that pairs it rules out are
-    never made. ``verify`` gets distinct pairs (a, b), a < b, and a name for tables it writes; it
-    returns (a, b, linked) for those that it doesn't rule out.
+    ``nodes`` holds (node, keys, sketch): its ``n_keys`` bucket keys, the k-th keys of two nodes being equal
+    where they share their k-th bucket, and whatever ``likely`` needs to tell whether a pair may be linked.
+    A pair is made in the first bucket it shares only, and both tests stand inside the joins, so pairs
+    that are ruled out or met before are never made. ``verify`` gets distinct pairs (a, b), a < b, and a
+    name for tables it writes; it returns (a, b, linked) for those that it doesn't rule out.
     """
-    counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = ws.write(members.join(counts, "bucket"), "members")
-    members = members.join(sketches, "node")
-    few = members.where(F.col("size") <= PAIR_BUCKET).select("bucket", F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
-    other = few.select(F.col("bucket").alias("bucket_b"), F.col("a").alias("b"), F.col("sketch_a").alias("sketch_b"))
-    pairs = few.join(other, (F.col("bucket") == F.col("bucket_b")) & (F.col("a") < F.col("b")) & likely(F.col("sketch_a"), F.col("sketch_b"))).select("a", "b")
-    many = members.where(F.col("size") > PAIR_BUCKET).select("bucket", "node", "sketch", F.col("node").alias("comp"))
+    members = nodes.select("node", F.posexplode("keys").alias("place", "bucket"))
+    counts = members.groupBy("place", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = ws.write(members.join(counts, ["place", "bucket"]), "members").join(nodes, "node")
+
+    def meets(keys: Column, others: Column, sketch: Column, other: Column) -> Column:
+        earlier = F.lit(False)
+        for k in range(n_keys - 1):
+            earlier = earlier | ((F.col("place") > k) & (keys[k] == others[k]))
+        return likely(sketch, other) & ~earlier
+
+    same = (F.col("bucket") == F.col("bucket_b")) & (F.col("place") == F.col("place_b"))
+    side = lambda df: df.select(F.col("bucket").alias("bucket_b"), F.col("place").alias("place_b"), F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("keys").alias("keys_b"), F.col("sketch").alias("sketch_b"))
+    met = meets(F.col("keys"), F.col("keys_b"), F.col("sketch"), F.col("sketch_b"))
+    rows = members.select("place", "bucket", "node", "keys", "sketch", F.col("node").alias("comp"), "size")
+    few, many = rows.where(F.col("size") <= PAIR_BUCKET).drop("size"), rows.where(F.col("size") > PAIR_BUCKET).drop("size")
+    pairs = few.join(side(few), same & (F.col("node") < F.col("b")) & met).select(F.col("node").alias("a"), "b")
     step, done = 0, None
     while True:
         # row_number with a limit is cut before the shuffle too, so a large bucket sends a few rows per task
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("order", "node"))
+        rank = F.row_number().over(Window.partitionBy("place", "bucket").orderBy("order", "node"))
         centres = many.withColumn("order", F.xxhash64("node", "bucket")).withColumn("rank", rank).where(F.col("rank") <= CENTRES * GROWTH**step)
-        centres = ws.write(centres.select(F.col("bucket").alias("centre_bucket"), F.col("node").alias("centre"), F.col("comp").alias("centre_comp"), F.col("sketch").alias("centre_sketch")), f"centres-{step}")
-        # members that a centre's component already holds are left out inside the join
-        stars = many.join(centres, (F.col("bucket") == F.col("centre_bucket")) & (F.col("comp") != F.col("centre_comp")) & likely(F.col("sketch"), F.col("centre_sketch")))
-        stars = stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+        centres = ws.write(side(centres), f"centres-{step}")
+        # members that a centre's component already holds are left out inside the join too
+        stars = many.join(centres, same & (F.col("comp") != F.col("comp_b")) & met)
+        stars = stars.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
         if step:
             found = verify(stars.distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"), f"round-{step}")
             done = done.union(found.select("a", "b", "linked"))
         else:
             found = done = verify(stars.union(pairs).distinct(), f"round-{step}")
         labels = components(ws, done.where("linked"), f"comps-{step}")
-        left = many.join(centres.select(F.col("centre_bucket").alias("bucket"), F.col("centre").alias("node")), ["bucket", "node"], "left_anti").drop("comp")
-        left = left.join(labels, "node", "left").select("bucket", "node", "sketch", F.coalesce("comp", "node").alias("comp"))
-        undecided = left.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-        many = ws.write(left.join(undecided, "bucket", "left_semi").select("bucket", "node", "sketch", "comp"), f"many-{step}")
+        used = centres.select(F.col("bucket_b").alias("bucket"), F.col("place_b").alias("place"), F.col("b").alias("node"))
+        left = many.join(used, ["place", "bucket", "node"], "left_anti").drop("comp")
+        left = left.join(labels, "node", "left").select("place", "bucket", "node", "keys", "sketch", F.coalesce("comp", "node").alias("comp"))
+        undecided = left.groupBy("place", "bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("place", "bucket")
+        many = ws.write(left.join(undecided, ["place", "bucket"], "left_semi").select("place", "bucket", "node", "keys", "sketch", "comp"), f"many-{step}")
         if many.isEmpty():
             return labels
         step += 1

@@ -209,9 +209,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         ws.drop(f"texts-{name}")
         return found
 
-    members = reps.select(F.explode("bands").alias("bucket"), F.col("rep").alias("node"))
-    codes = reps.select(F.col("rep").alias("node"), F.struct(F.col("n_shingles").alias("n"), "code").alias("sketch"))
-    labels = group(ws, members, codes, lambda a, b: likely(percent / 100, a, b), verify)
+    nodes = reps.select(F.col("rep").alias("node"), F.col("bands").alias("keys"), F.struct(F.col("n_shingles").alias("n"), "code").alias("sketch"))
+    labels = group(ws, nodes, BANDS, lambda a, b: likely(percent / 100, a, b), verify)
     of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("comp", "rep").alias("comp"))
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash")).join(of_class, "set_hash", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce(F.coalesce("comp", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
