@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from abaculus.llm.shared import Workspace
 
 PAIR_BUCKET = 8
-CENTRES, GROWTH = 6, 8
+CENTRES, GROWTH = 6, 64
 
 
 def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
