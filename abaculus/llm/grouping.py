@@ -49,19 +49,19 @@ def group(ws: Workspace, nodes: DataFrame, n_keys: int, likely: Callable[[Column
     """(node, comp) of all nodes linked with another.
 
     ``nodes`` holds (node, keys, sketch): its ``n_keys`` bucket keys, the k-th keys of two nodes being equal
-    where they share their k-th bucket, and whatever ``likely`` needs to tell whether a pair may be linked.
+    where they share their k-th bucket (null: in none), and whatever ``likely`` needs to tell whether a pair may be linked.
     A pair is made in the first bucket it shares only, and both tests stand inside the joins, so pairs
     that are ruled out or met before are never made. ``verify`` gets distinct pairs (a, b), a < b, and a
     name for tables it writes; it returns (a, b, linked) for those that it doesn't rule out.
     """
-    members = nodes.select("node", F.posexplode("keys").alias("place", "bucket"))
+    members = nodes.select("node", F.posexplode("keys").alias("place", "bucket")).where("bucket is not null")
     counts = members.groupBy("place", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = ws.write(members.join(counts, ["place", "bucket"]), "members").join(nodes, "node")
 
     def meets(keys: Column, others: Column, sketch: Column, other: Column) -> Column:
         earlier = F.lit(False)
         for k in range(n_keys - 1):
-            earlier = earlier | ((F.col("place") > k) & (keys[k] == others[k]))
+            earlier = earlier | ((F.col("place") > k) & F.coalesce(keys[k] == others[k], F.lit(False)))
         return likely(sketch, other) & ~earlier
 
     same = (F.col("bucket") == F.col("bucket_b")) & (F.col("place") == F.col("place_b"))

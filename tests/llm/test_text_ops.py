@@ -251,6 +251,30 @@ def test_lines_equal_brute_force(spark):
     assert got == want and sum(want.values()) < len(texts)
 
 
+def test_lines_recall(spark):
+    """Lines of one to a hundred changed words or letters, at edit similarity 0.8 and more, against no condition but that."""
+    r = random.Random(31)
+    vocab = ["".join(r.choice("etaoinshrdlucmfwyp") for _ in range(r.randint(3, 9))) for _ in range(3000)]
+    docs = []
+    for n in (3, 5, 8, 12, 20, 50, 100):
+        for kind in ("one word", "words", "letters"):
+            for _ in range(20):
+                words = [r.choice(vocab) for _ in range(n)]
+                near = list(words)
+                if kind == "letters":  # one letter in about twenty-five
+                    for i in r.sample(range(n), max(1, n // 4)):
+                        near[i] = near[i][:-1] + "z"
+                else:
+                    for i in r.sample(range(n), 1 if kind == "one word" else max(1, n // 7)):
+                        near[i] = "".join(r.choice("etaoin") for _ in near[i])
+                a, b = " ".join(words), " ".join(near)
+                if a != b and sum(x != y for x, y in zip(a, b)) <= int(len(a) * 0.2 + 1e-9):
+                    docs.append((2 * len(docs), f"{a}\n{b}"))
+    got = line_dedup.fuzzy_lines(spark.createDataFrame(docs, "doc_id long, text string")).where("line_no = 1").collect()
+    assert len(got) == len(docs) > 300
+    assert sum(not x.kept for x in got) >= 0.97 * len(got)
+
+
 # --- classifiers
 
 
