@@ -33,21 +33,58 @@ def candidate_pairs(df: DataFrame, window_days: int = 7, tolerance: str = "0.01"
     return pairs.where((F.col("out_subject") != F.col("in_subject")) & (gap <= F.lit(tolerance).cast("decimal(20,2)")) & (days <= window_days)).select("out_id", "in_id", "out_subject", "in_subject", "out_date", "in_date", "out_amount", "in_amount", days.alias("days"), gap.alias("gap"))
 
 
-def internal_transfers(df: DataFrame, window_days: int = 7, tolerance: str = "0.01", strict: bool = True, rounds: int = 20) -> DataFrame:
-    """One-to-one pairs: in each round the pairs that are best for both legs, by days, amount and ids.
+def _legs(df: DataFrame, amount: str, wanted: str) -> DataFrame:
+    """id and cls of each leg: legs of equal names, date and amount are one class, named by its smallest id."""
+    legs = df.where(f"{wanted} and subject is not null and trade_date is not null and txn_uid is not null").dropDuplicates(["txn_uid"])
+    names = Window.partitionBy("subject", "counterparty", "trade_date", amount)
+    return legs.select(F.col("txn_uid").alias("id"), F.min("txn_uid").over(names).alias("cls"), "subject", "counterparty", "trade_date", amount)
 
-    A table without competing pairs is settled in one round. Rounds are cut with a checkpoint.
+
+def internal_transfers(df: DataFrame, window_days: int = 7, tolerance: str = "0.01", strict: bool = True) -> DataFrame:
+    """One-to-one pairs, taken best first by days, amount, outgoing date and ids, until no pair is left.
+
+    Classes of equal legs meet instead of the legs. In each round the class pairs that are nearest for both
+    sides settle: where one class is the only nearest of all those it is nearest to, their legs pair off by rank
+    at once; else (ties across several classes) the first legs of the best class pair do. Either way
+    the pairs are those that going through all pairs in order would give. Rounds are cut with a checkpoint.
     """
-    left, found = candidate_pairs(df, window_days, tolerance, strict).checkpoint(), None
-    for _ in range(rounds):
-        order = [F.col(c) for c in ("days", "gap", "out_date", "out_id", "in_id")]
-        ranks = {f"_{c}": F.row_number().over(Window.partitionBy(c).orderBy(*order)) for c in ("out_id", "in_id")}
-        best = left.withColumns(ranks).where("_out_id = 1 and _in_id = 1").drop(*ranks).checkpoint()
-        found = best if found is None else found.unionByName(best)
-        left = left.join(best.select("out_id"), "out_id", "left_anti").join(best.select("in_id"), "in_id", "left_anti").checkpoint()
-        if left.isEmpty():
+    outs, ins = _legs(df, "payment", "payment < 0").checkpoint(), _legs(df, "receipt", "receipt > 0").checkpoint()
+    payment, receipt = df.schema["payment"].dataType, df.schema["receipt"].dataType
+    reps = outs.where("id = cls").withColumn("receipt", F.lit(None).cast(receipt)).unionByName(ins.where("id = cls").withColumn("payment", F.lit(None).cast(payment))).withColumnRenamed("id", "txn_uid")
+    near = candidate_pairs(reps, window_days, tolerance, strict).withColumnsRenamed({"out_id": "a", "in_id": "b"}).checkpoint()
+    outs = outs.join(near.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi").select("cls", "id").checkpoint()
+    ins = ins.join(near.select(F.col("b").alias("cls")).distinct(), "cls", "left_semi").select("cls", "id").checkpoint()
+    found, live = None, near
+    while True:
+        first = lambda legs, c: legs.groupBy(F.col("cls").alias(c)).agg(F.min("id").alias(f"first_{c}"))
+        live = live.join(first(outs, "a"), "a").join(first(ins, "b"), "b").checkpoint()
+        if live.isEmpty():
             break
-    return found
+        # nearest for both sides; the number of classes that are as near for a and for b
+        key, order = ["days", "gap", "out_date"], ["days", "gap", "out_date", "first_a", "first_b"]
+        ranked = live
+        for c in ("a", "b"):
+            own = Window.partitionBy(c)
+            ranked = ranked.withColumns({f"near_{c}": F.rank().over(own.orderBy(*key)) == 1, f"best_{c}": F.row_number().over(own.orderBy(*order)) == 1})
+        for c in ("a", "b"):
+            ranked = ranked.withColumn(f"n_{c}", F.sum(F.col(f"near_{c}").cast("int")).over(Window.partitionBy(c)))
+        # a star: all classes as near to its centre have the centre as their only nearest
+        for c, other in (("a", "b"), ("b", "a")):
+            alone = F.col(f"near_{other}") & (F.col(f"n_{other}") == 1)
+            ranked = ranked.withColumn(f"star_{c}", F.min(F.when(F.col(f"near_{c}"), alone)).over(Window.partitionBy(c)))
+        mutual = ranked.where("near_a and near_b").withColumn("centre", F.when(F.col("star_a"), F.concat(F.lit("a"), "a")).when(F.col("star_b"), F.concat(F.lit("b"), "b")))
+        mutual = mutual.checkpoint()
+        stars, single = mutual.where("centre is not null"), mutual.where("centre is null and best_a and best_b")
+        rank = F.row_number().over(Window.partitionBy("centre").orderBy("id"))
+        side = lambda legs, c: legs.join(stars.select("centre", F.col(c).alias("cls")).distinct(), "cls").withColumn("n", rank).select("centre", "n", F.col("id").alias(f"{c}_id"), F.col("cls").alias(c))
+        paired = side(outs, "a").join(side(ins, "b"), ["centre", "n"]).select("a", "b", F.col("a_id").alias("out_id"), F.col("b_id").alias("in_id"))
+        paired = paired.unionByName(single.select("a", "b", F.col("first_a").alias("out_id"), F.col("first_b").alias("in_id"))).checkpoint()
+        found = paired if found is None else found.unionByName(paired)
+        outs = outs.join(paired.select(F.col("out_id").alias("id")), "id", "left_anti").checkpoint()
+        ins = ins.join(paired.select(F.col("in_id").alias("id")), "id", "left_anti").checkpoint()
+        live = live.drop("first_a", "first_b")
+    found = near.select("a", "b", F.lit("").alias("out_id"), F.lit("").alias("in_id")).limit(0) if found is None else found
+    return found.join(near, ["a", "b"]).select("out_id", "in_id", "out_subject", "in_subject", "out_date", "in_date", "out_amount", "in_amount", "days", "gap")
 
 
 def mark_transfers(df: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Ledger operators on hand-made rows."""
 
 import datetime as dt
+import random
 from decimal import Decimal as D
 
 import pytest
@@ -208,3 +209,33 @@ def test_edits(spark):
     assert {r.txn_uid: r.summary for r in merging.apply_edits(df, edits, ("summary",)).collect()} == {"U0": "new", "U1": "b"}
     assert merging.unmatched_edits(df, edits).count() == 1
     assert merging.delete_where(df).count() == 2 and merging.delete_where(df, subject="S").count() == 0
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_transfers_equal_greedy(spark, strict):
+    """Groups of equal legs, ties on either side of a day and near amounts, against all pairs taken in order; more than 20 of one group."""
+    r, given = random.Random(4), []
+    for _ in range(25):
+        given.append({"subject": "A", "counterparty": "B", "payment": -5})
+        given.append({"subject": "B", "counterparty": "A", "receipt": 5})
+    for _ in range(60):
+        a, b = r.choice([("C", "D"), ("D", "C"), ("C", "?"), ("D", None)])
+        amount, date = r.choice([7, 7.01, 7.02]), f"2024-03-{r.choice([1, 2, 3, 4, 20]):02d}"
+        given.append({"subject": a, "counterparty": b, "trade_date": date} | ({"payment": -amount} if r.random() < 0.5 else {"receipt": amount}))
+    df = rows(spark, *given)
+    legs = df.collect()
+    pairs = []
+    for o in legs:
+        for i in legs:
+            if (o.payment or 0) < 0 and (i.receipt or 0) > 0 and o.subject != i.subject:
+                named = [o.counterparty == i.subject, i.counterparty == o.subject]
+                days, gap = abs((o.trade_date - i.trade_date).days), abs(-o.payment - i.receipt)
+                if (all(named) if strict else any(named)) and gap <= D("0.01") and days <= 7:
+                    pairs.append((days, gap, o.trade_date, o.txn_uid, i.txn_uid))
+    used, want = set(), set()
+    for *_, o, i in sorted(pairs):
+        if ("o", o) not in used and ("i", i) not in used:
+            used |= {("o", o), ("i", i)}
+            want.add((o, i))
+    got = [(x.out_id, x.in_id) for x in transfers.internal_transfers(df, strict=strict).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 25
