@@ -1,11 +1,12 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Texts are lower-cased, every run of non-letters becomes one space, and grams of
-one to three characters are hashed to ``DIM`` buckets. The classifier is fitted
-on a bounded sample of labelled rows (``max_train_rows``, the rows with the
-smallest hash of the id) by follow-the-regularised-leader with elastic-net
-penalties, which leaves most weights at zero; a slice of the sample that the fit
-does not see sets the temperature of the softmax. Every whole text is scored
+one to three characters are hashed to ``DIM`` buckets. Document frequencies cover
+every row not held out. The classifier is fitted on a sample bounded per language
+(``max_train_rows`` distinct texts of each, those with the smallest hashes) by
+follow-the-regularised-leader with elastic-net penalties, which leaves most weights
+at zero; a slice of the sample that the fit does not see, every fifth row of a
+language, sets the temperature of the softmax. Every whole text is scored
 inside Arrow batches; the model (under 2 MB) is the only thing broadcast.
 
 Defined results: a text that is null, empty or without letters is ``und`` with
@@ -15,15 +16,15 @@ scored (and held out like the text of an empty id); extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from abaculus.llm.shared import smallest_hashes
 from abaculus.session import ship_package
 
 DIM = 1 << 15
@@ -86,18 +87,27 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, str]], alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, epochs: int = 3) -> LanguageModel:
-    """Fit on (text, lang) rows; every fifth row is kept for the temperature only."""
+def fit(rows: list[tuple[str, str]], counted: tuple[int, np.ndarray] | None = None, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, epochs: int = 3) -> LanguageModel:
+    """Fit on (text, lang) rows; every fifth row of a language is kept for the temperature only.
+
+    ``counted`` is the number of documents with letters and how many of them have each bucket (else those of the rows).
+    """
     langs = sorted({lang for _, lang in rows})
     seen = [(g, langs.index(lang)) for text, lang in rows if (g := gram_counts(text)) is not None]
     if not seen:
         return LanguageModel([], np.zeros((DIM, 0)), np.zeros(0), np.zeros(DIM), 1.0)
-    tuning = seen[::5] if len(seen) >= 25 else seen
-    training = [r for i, r in enumerate(seen) if i % 5] if len(seen) >= 25 else seen
-    df = np.zeros(DIM)
-    for (at, _), _ in training:
-        df[at] += 1
-    model = LanguageModel(langs, np.zeros((DIM, len(langs))), np.zeros(len(langs)), np.log((1 + len(training)) / (1 + df)) + 1, 1.0)
+    tuning, training = seen, seen
+    if len(seen) >= 25:
+        met, fifth = Counter(), []
+        for _, lang in seen:
+            met[lang] += 1
+            fifth.append(met[lang] % 5 == 0)
+        tuning, training = [r for r, f in zip(seen, fifth) if f] or seen, [r for r, f in zip(seen, fifth) if not f]
+    if counted is None:
+        counted = len(training), np.zeros(DIM)
+        for (at, _), _ in training:
+            counted[1][at] += 1
+    model = LanguageModel(langs, np.zeros((DIM, len(langs))), np.zeros(len(langs)), np.log((1 + counted[0]) / (1 + counted[1])) + 1, 1.0)
     z, n = np.zeros((DIM + 1, len(langs))), np.zeros((DIM + 1, len(langs)))  # the last row is the bias
     vectors = [(*model.vector(g), y) for g, y in training]
     for _ in range(epochs):
@@ -124,11 +134,45 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 4 == 2
 
 
-def train(docs: DataFrame, max_train_rows: int = 3000, hold: Column | None = None) -> LanguageModel:
-    """Fit on the labelled rows outside ``hold``: all of them up to ``max_train_rows``."""
-    rows = docs.where("text is not null and lang is not null").where(~(held_out() if hold is None else hold))
-    rows = smallest_hashes(rows.select("doc_id", "text", "lang"), max_train_rows, "doc_id")
-    return fit([(r["text"], r["lang"]) for r in rows.collect()])
+def document_counts(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of texts with letters, and how many of them have each bucket: one partial sum of DIM counts a task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(DIM + 1, np.int64)  # the last one counts the texts
+        for batch in batches:
+            for text in batch["text"]:
+                if (grams := gram_counts(text)) is not None:
+                    counts[grams[0]] += 1
+                    counts[DIM] += 1
+        at = np.flatnonzero(counts)
+        yield pd.DataFrame({"bucket": at.astype(np.int32), "n": counts[at]})
+
+    ship_package(docs.sparkSession)
+    out = np.zeros(DIM + 1)
+    for r in docs.select("text").mapInPandas(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r["bucket"]] = r["n"]
+    return int(out[DIM]), out[:DIM]
+
+
+def training_rows(docs: DataFrame, rows: int) -> list[tuple[str, str]]:
+    """(text, lang) of up to ``rows`` distinct texts of every language, those with the smallest hashes.
+
+    A cut on the hash, by each language's count, leaves about 1.25 times as many before they are ranked.
+    """
+    hashed = docs.select("lang", F.xxhash64("text").alias("_hash"), "text")
+    sizes = hashed.select("lang", "_hash").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    share = F.lit(1.25 * rows) / F.col("_n")
+    hashed = hashed.join(sizes, "lang").where((share > 0.6) | (F.col("_hash") < share * 2.0**64 - 2.0**63))
+    distinct = hashed.groupBy("lang", "_hash").agg(F.first("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_hash"))
+    return [(r["text"], r["lang"]) for r in distinct.withColumn("_rank", rank).where(F.col("_rank") <= rows).orderBy("_hash", "lang").collect()]
+
+
+def train(docs: DataFrame, max_train_rows: int = 1000, hold: Column | None = None) -> LanguageModel:
+    """Fit on the labelled rows outside ``hold``, up to ``max_train_rows`` texts a language; count buckets in all rows outside it."""
+    seen = docs.where("text is not null").where(~(held_out() if hold is None else hold))
+    rows = training_rows(seen.where("lang is not null"), max_train_rows)
+    return fit(rows, document_counts(seen) if rows else None)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -144,13 +188,13 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     return docs.withColumn("_found", predict(F.col(text_col))).select(*docs.columns, F.col("_found.lang_pred").alias("lang_pred"), F.col("_found.score").alias("score"))
 
 
-def language_id(docs: DataFrame, max_train_rows: int = 3000) -> DataFrame:
+def language_id(docs: DataFrame, max_train_rows: int = 1000) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every row, by a model of the rows not held out."""
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
     return identify(rows, train(docs, max_train_rows)).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, lift: float = 1.1, max_train_rows: int = 3000) -> DataFrame:
+def keep_known(docs: DataFrame, lift: float = 1.1, max_train_rows: int = 1000) -> DataFrame:
     """``docs`` whose language is known: not ``und``, and with a score ``lift`` times that of chance or more."""
     model = train(docs, max_train_rows)
     found = identify(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text")), model, "_text")

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from abaculus.llm import lang_id, line_dedup, pii, quality_rules, token_files, warc_zip
 from abaculus.llm import sentencepiece_sampling as sps
@@ -338,3 +339,23 @@ def test_pipeline(spark, sf_dir):
     assert {r.doc_id for r in rows} == set(left) and len(rows) == len(left)
     table = sps.piece_table(sps.model_path())
     assert all(table.decode(np.frombuffer(bytes(r.ids), table.dtype)) == left[r.doc_id] for r in rows)
+
+
+def test_rare_language_and_whole_counts(spark):
+    """A language with one in some hundred rows is learned; copies don't fill the sample; every row outside the hold counts."""
+    r = random.Random(6)
+    words = lambda chars, n: " ".join("".join(r.choice(chars) for _ in range(5)) for _ in range(n))
+    docs = [(i, words("abcdefg", 12), "aa") for i in range(400)] + [(1000 + i, "copied text of letters", "aa") for i in range(300)]
+    docs += [(2000 + i, words("uvwxyz", 12), "zz") for i in range(6)] + [(3000, words("opqr", 9), None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    sample = lang_id.training_rows(df.where("lang is not null"), 20)
+    assert len(sample) == 26 and len(set(sample)) == 26 and sum(lang == "zz" for _, lang in sample) == 6
+    none = F.lit(False)
+    model = lang_id.train(df, 20, none)
+    assert model.langs == ["aa", "zz"] and model.predict(words("uvwxyz", 12))[0] == "zz"
+    n, counts = lang_id.document_counts(df)
+    want = np.zeros(lang_id.DIM)
+    for _, text, _ in docs:
+        want[lang_id.gram_counts(text)[0]] += 1
+    assert n == len(docs) and (counts == want).all()
+    assert np.allclose(model.idf, np.log((1 + n) / (1 + want)) + 1)
