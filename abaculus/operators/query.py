@@ -59,8 +59,8 @@ def page(df: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
     return df if limit is None else df.offset(offset).limit(limit)
 
 
-def personal_query(df: DataFrame, bank: str | None = None, direction: str | None = None, category: str | None = None, merchant: str | None = None, start: str | None = None, end: str | None = None, min_amount: float | None = None, max_amount: float | None = None, limit: int = 1000) -> DataFrame:
-    """Personal rows by equality, ranges and a merchant's part, newest first."""
+def personal_query(df: DataFrame, bank: str | None = None, direction: str | None = None, category: str | None = None, merchant: str | None = None, start: str | None = None, end: str | None = None, min_amount: float | None = None, max_amount: float | None = None, limit: int | None = None) -> DataFrame:
+    """Personal rows by equality, ranges and a merchant's part, newest first, all of them unless there is a limit."""
     conditions = [F.col(c) == v for c, v in (("bank_name", bank), ("direction", direction), ("category", category)) if v]
     if merchant:
         conditions.append(like(F.col("merchant"), merchant))

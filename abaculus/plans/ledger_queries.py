@@ -82,6 +82,12 @@ def _(df):
 
 @register("p7_personal_query", f"""{P} select id, trade_date, amount, direction, merchant from personal
 where direction = 'expense' and merchant ilike '%shop-1%' and amount >= 10 order by trade_date desc nulls last, id limit 1000""", personal)
+def _(df):
+    return query.personal_query(df, direction="expense", merchant="shop-1", min_amount=10, limit=1000).select("id", "trade_date", "amount", "direction", "merchant")
+
+
+@register("p7_personal_matches", f"""{P} select id, trade_date, amount, direction, merchant from personal
+where direction = 'expense' and merchant ilike '%shop-1%' and amount >= 10""", personal)
 def _(df):
     return query.personal_query(df, direction="expense", merchant="shop-1", min_amount=10).select("id", "trade_date", "amount", "direction", "merchant")
 

@@ -239,3 +239,9 @@ def test_transfers_equal_greedy(spark, strict):
             want.add((o, i))
     got = [(x.out_id, x.in_id) for x in transfers.internal_transfers(df, strict=strict).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 25
+
+
+def test_personal_query_is_whole(spark):
+    df = spark.range(1500).selectExpr("cast(id as string) as id", "date'2024-01-01' as trade_date", "cast(5 as decimal(20,2)) as amount", "'m' as merchant", "'expense' as direction")
+    assert query.personal_query(df, direction="expense").count() == 1500
+    assert query.personal_query(df, direction="expense", limit=1000).count() == 1000
