@@ -79,20 +79,30 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 #: High-recall generators of further candidates: kind, what may hold one, and the group that is its span.
 GENERATORS = (
     ("email", re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?:(?: ?(?:\(dot\)|\[dot\]) ?| dot |\.)[A-Za-z]{2,24}){1,3}")),
-    ("secret", re.compile(r"(?i:token|secret|password|passwd|pwd|api[_-]?key|key|auth)\"? ?[=:] ?[\"']?([^\s\"']{8,200})")),
+    ("secret", re.compile(r"(?i:token|secret|password|passwd|pwd|api[_-]?key|key|auth)\"? ?[=:] ?[\"']?([^\s\"']{8,})")),
     ("secret", re.compile(r"(?<![A-Za-z0-9])[A-Z]{4}[A-Z0-9]{16}(?![A-Za-z0-9])")),
-    ("secret", re.compile(r"(?<![A-Za-z0-9])(?=[a-f]{0,99}[0-9])[0-9a-f]{16,128}(?![A-Za-z0-9])")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9])[0-9a-f]{16,}+(?![A-Za-z0-9])")),
     ("account", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("account", re.compile(r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("phone", re.compile(r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,5}(?![0-9-])")),
 )
+HEX = 3  # the generator of hexadecimal keys, which need a digit
 CONTEXT = 24
 HINTS = tuple(re.compile(p, re.I) for p in (r"mail|contact", r"tel|phone|call|fax|mobile", r"token|secret|passw|pwd|key|auth|credential", r"iban|account|ssn|social", r"price|\$|€|total|page|version|isbn|id\b|no\."))
 
 
 def candidates(text: str) -> list[tuple[str, int, int, int]]:
     """(kind, start, end, generator), overlapping."""
-    return [(kind, *m.span(1 if p.groups else 0), g) for g, (kind, p) in enumerate(GENERATORS) for m in p.finditer(text)]
+    return [(kind, *m.span(1 if p.groups else 0), g) for g, (kind, p) in enumerate(GENERATORS) for m in p.finditer(text) if g != HEX or not m[0].isalpha()]
+
+
+def remainder97(digits: str) -> int:
+    """The number modulo 97, in pieces: linear, and without int()'s limit on digits."""
+    rest = 0
+    for i in range(0, len(digits), 1000):
+        piece = digits[i : i + 1000]
+        rest = (rest * pow(10, len(piece), 97) + int(piece)) % 97
+    return rest
 
 
 def features(text: str, start: int, end: int, generator: int) -> list[float]:
@@ -101,7 +111,7 @@ def features(text: str, start: int, end: int, generator: int) -> list[float]:
     n, counts = max(1, len(s)), Counter(s)
     digits = digits_of(s)
     iban = s.replace(" ", "").upper()
-    mod97 = iban[:2].isalpha() and iban.isascii() and iban.isalnum() and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    mod97 = iban[:2].isalpha() and iban.isascii() and iban.isalnum() and remainder97("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) == 1
     return [
         generator,
         n,

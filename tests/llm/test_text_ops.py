@@ -359,3 +359,17 @@ def test_rare_language_and_whole_counts(spark):
         want[lang_id.gram_counts(text)[0]] += 1
     assert n == len(docs) and (counts == want).all()
     assert np.allclose(model.idf, np.log((1 + n) / (1 + want)) + 1)
+
+
+def test_long_secrets_are_whole():
+    r, model = random.Random(2), pii.train()
+    long = "".join(r.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(450))
+    text = f"see token={long} end"
+    base, added = model.spans(text)
+    assert ("secret", 10, 460) in [(k, a, b) for k, a, b, _ in pii.candidates(text)]
+    assert pii.redacted(text, base + added) == "see token=[secret] end"
+    bare = "".join(r.choice("0123456789abcdef") for _ in range(200))
+    found = [(a, b) for k, a, b, g in pii.candidates(f"x {bare} y {'abcdef' * 30} {'a' * 120}1") if g == pii.HEX]
+    assert found == [(2, 202), (386, 507)]
+    assert pii.features("ab" + "c1" * 9000, 0, 18002, 1)[1] == 18002  # beyond int()'s limit on digits
+    assert all(pii.remainder97(str(n)) == n % 97 for n in (0, 98, 10**1500 + 5))
