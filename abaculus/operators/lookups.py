@@ -29,31 +29,38 @@ def resolve(df: DataFrame, lookup: DataFrame, extras: tuple[str, ...] = ()) -> D
     return keyed.join(_small(entries), "account_key", "left")
 
 
-#: A lookup of up to so many accounts is compared with every unmatched account directly.
-NESTED_ROWS = 20_000
-
-
-def fuzzy_accounts(accounts: DataFrame, lookup: DataFrame, threshold: float = 0.6, nested_rows: int = NESTED_ROWS) -> DataFrame:
+def fuzzy_accounts(accounts: DataFrame, lookup: DataFrame, threshold: float = 0.6, nested_rows: int = 0) -> DataFrame:
     """The most similar lookup account of each distinct unmatched account, where similar enough.
 
-    A lookup of a counted, small size is broadcast and compared by length and edit distance. A larger
-    one meets the accounts on two-character grams: similarity s of lengths a <= b needs a >= s * b, and
-    shared grams stand at places no further apart than the edits allowed. Both ways are exact for
-    thresholds of 0.6 and more on accounts of six or more characters; the first is exact for all.
+    One way for all sizes, exact for all lengths and thresholds. The lengths of a pair give the edits it may
+    have; of that many segments and one more of the lookup account, one stands unchanged in the account, at a place
+    that the edits before and after it allow. So the two meet on both lengths and a segment.
+    Where the edits reach the lookup account's length, they meet on the lengths alone.
+    ``nested_rows`` has no effect; callers may still give it.
     """
     left = accounts.select(normalize_account(F.col("account")).alias("account")).where("account <> ''").distinct()
     keyed = left.withColumn("account_key", account_key(F.col("account")))
-    left = keyed.join(lookup.select("account_key").distinct(), "account_key", "left_anti").select("account")
+    left = keyed.join(lookup.select("account_key").distinct(), "account_key", "left_anti").select("account", F.length("account").alias("la"))
     right = lookup.groupBy(normalize_account(F.col("account")).alias("candidate")).agg(F.min("row_id").alias("row_id")).where("candidate <> ''")
-    shift = F.floor(F.greatest(F.length("account"), F.length("candidate")) * (1 - threshold) + 1e-9)
-    near = F.abs(F.length("account") - F.length("candidate")) <= shift
-    if right.limit(nested_rows + 1).count() <= nested_rows:
-        pairs = left.join(F.broadcast(right), near)
-    else:
-        grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.struct(F.substring(F.col(c), i, F.lit(2)).alias("gram"), i.alias("at")))
-        a = left.select("account", F.inline(grams("account")))
-        b = right.select("candidate", "row_id", F.inline(grams("candidate"))).withColumnRenamed("at", "at_b")
-        pairs = a.join(b, "gram").where(near & (F.abs(F.col("at") - F.col("at_b")) <= shift)).select("account", "candidate", "row_id").distinct()
+    right = right.withColumn("lb", F.length("candidate"))
+    edits = F.floor(F.greatest("la", "lb") * (1 - threshold) + 1e-6).cast("int")
+    near = F.abs(F.col("la") - F.col("lb")) <= edits
+
+    def segments(df: DataFrame, other: DataFrame) -> DataFrame:
+        """Rows by length of the other side and segment (number, first place from 0, length)."""
+        own = df.join(F.broadcast(other), near).withColumn("k", edits)  # the distinct lengths of the other side
+        own = own.withColumn("i", F.explode(F.sequence(F.lit(0), F.when(F.col("lb") > F.col("k"), F.col("k")).otherwise(0))))
+        place = lambda i: F.when(F.col("lb") > F.col("k"), F.floor(i * F.col("lb") / (F.col("k") + 1)).cast("int")).otherwise(0)
+        return own.withColumns({"at": place(F.col("i")), "size": place(F.col("i") + 1) - place(F.col("i"))})
+
+    b = segments(right, left.select("la").distinct()).select("candidate", "row_id", "la", "lb", "i", F.substring("candidate", F.col("at") + 1, F.col("size")).alias("part"))
+    a, longer = segments(left, right.select("lb").distinct()), F.col("la") - F.col("lb")
+    whole, rest = F.col("size") == 0, F.col("k") - F.col("i")
+    first = F.greatest(F.lit(0), F.col("at") - F.col("i"), F.col("at") + longer - rest)
+    last = F.least(F.col("la") - F.col("size"), F.col("at") + F.col("i"), F.col("at") + longer + rest)
+    places = F.when(whole, F.array(F.lit(0))).when(first <= last, F.sequence(first, last))
+    a = a.withColumn("place", F.explode(places)).select("account", "la", "lb", "i", F.substring("account", F.col("place") + 1, F.col("size")).alias("part"))
+    pairs = a.join(b, ["la", "lb", "i", "part"]).select("account", "candidate", "row_id").distinct()
     scored = pairs.withColumn("score", F.round(similarity(F.col("account"), F.col("candidate")), 6)).where(F.col("score") >= threshold)
     best = F.min_by(F.struct("candidate", "score"), F.struct((-F.col("score")).alias("s"), "row_id"))
     return scored.groupBy("account").agg(best.alias("best")).select("account", "best.candidate", "best.score")

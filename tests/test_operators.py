@@ -245,3 +245,31 @@ def test_personal_query_is_whole(spark):
     df = spark.range(1500).selectExpr("cast(id as string) as id", "date'2024-01-01' as trade_date", "cast(5 as decimal(20,2)) as amount", "'m' as merchant", "'expense' as direction")
     assert query.personal_query(df, direction="expense").count() == 1500
     assert query.personal_query(df, direction="expense", limit=1000).count() == 1000
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.8, 0.3])
+def test_fuzzy_one_way_for_all_sizes(spark, threshold):
+    """Short accounts that share no gram of two characters, against all pairs; a lookup of any size takes the same way."""
+    r = random.Random(3)
+    known = ["12345"] + ["".join(r.choice("123") for _ in range(r.randint(1, 12))) for _ in range(60)]
+    typed = ["1X3Y5"] + ["".join(r.choice("123X") for _ in range(r.randint(1, 12))) for _ in range(60)]
+    known = list({a.lstrip("0"): a for a in known}.values())
+    look = spark.createDataFrame([("S", a, a, 0, i) for i, a in enumerate(known)], "subject string, account string, account_key string, priority int, row_id long")
+
+    def lev(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            p, d[0] = d[0], i
+            for j, y in enumerate(b, 1):
+                p, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, p + (x != y))
+        return d[-1]
+
+    want = {}
+    for t in set(typed) - set(known):
+        s, _, c = min((-round(1 - lev(t, c) / max(len(t), len(c)), 6), i, c) for i, c in enumerate(known))
+        if -s >= threshold:
+            want[t] = (c, -s)
+    accounts = spark.createDataFrame([(t,) for t in typed], "account string")
+    for rows_ in (1000, 0):
+        got = {x.account: (x.candidate, x.score) for x in lookups.fuzzy_accounts(accounts, look, threshold, rows_).collect()}
+        assert got == want and (threshold > 0.6 or "1X3Y5" in got)
