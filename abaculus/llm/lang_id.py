@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from abaculus.llm.shared import broadcast_if_small
 from abaculus.session import ship_package
 
 DIM = 1 << 15
@@ -162,7 +163,7 @@ def training_rows(docs: DataFrame, rows: int) -> list[tuple[str, str]]:
     hashed = docs.select("lang", F.xxhash64("text").alias("_hash"), "text")
     sizes = hashed.select("lang", "_hash").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     share = F.lit(1.25 * rows) / F.col("_n")
-    hashed = hashed.join(sizes, "lang").where((share > 0.6) | (F.col("_hash") < share * 2.0**64 - 2.0**63))
+    hashed = hashed.join(broadcast_if_small(sizes), "lang").where((share > 0.6) | (F.col("_hash") < share * 2.0**64 - 2.0**63))
     distinct = hashed.groupBy("lang", "_hash").agg(F.first("text").alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_hash"))
     return [(r["text"], r["lang"]) for r in distinct.withColumn("_rank", rank).where(F.col("_rank") <= rows).orderBy("_hash", "lang").collect()]
