@@ -41,7 +41,7 @@ def op6_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(table(spark, sf_dir, "documents")).drop("ids")
+    return token_files.round_trip(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from abaculus.session import ship_package
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: A join side is broadcast only while its counted rows stay below this bound (ids, hashes or short strings).
 BROADCAST_ROWS = 200_000
 
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
@@ -71,9 +75,15 @@ def without_ids(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> Dat
     return docs.join(broadcast_if_small(dropped.select(key)), key, "left_anti").select(*docs.columns)
 
 
-def small_batches(spark: SparkSession, rows: int) -> None:
-    """Bound the rows of an Arrow batch, so that batches of long texts fit a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def prepare_workers(spark: SparkSession) -> None:
+    """Ship the package, and bound the bytes of an Arrow batch (a smaller bound of the session stays).
+
+    By default a batch takes 10,000 rows or 64 MB, which executor and worker both hold, more than once.
+    """
+    ship_package(spark)
+    set_to = spark.conf.get(BATCH_CONF, "64m")
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(set_to) > BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, f"{BATCH_BYTES}b")
 
 
 def open_fs(uri: str):

@@ -34,7 +34,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -42,8 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from abaculus.llm.shared import Workspace, open_fs, publish, smallest_hashes
-from abaculus.session import ship_package
+from abaculus.llm.shared import Workspace, open_fs, prepare_workers, publish, smallest_hashes
 
 MAGIC = b"ABTOKEN1"
 MODEL = "byte_bpe_50k.json"
@@ -52,7 +51,9 @@ END_ID = 2
 SPLITTER = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Latin texts, without the few characters that the library's splitter and this one class differently.
 SAFE = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]*")
-MEMO_PARTS = 800_000
+MEMO_PARTS = 500_000  # parts that a worker remembers (about 0.2 KB each)
+SLICE_CHARS = 400_000  # characters of the texts that are split at once
+JOINED = 200  # new words given to the library as one text
 
 
 def model_path(name: str = MODEL) -> str:
@@ -80,19 +81,43 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are stored in 16 bits")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        blank = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0][:1]
+        self.begins = np.zeros(1 << 16, bool)  # ids that begin with a blank
+        self.begins[[i for t, i in vocabulary.items() if t.startswith(blank)]] = True
         self.parts: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [little(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words with a blank before them, many to a text: a word ends where the next id begins with a blank."""
+        groups, out = [words[i : i + JOINED] for i in range(0, len(words), JOINED)], []
+        for group, raw in zip(groups, self._ids(["".join(g) for g in groups])):
+            ids = np.frombuffer(raw, np.uint16)
+            cuts = np.append(2 * np.flatnonzero(self.begins[ids]), len(raw)).tolist()
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])] if len(cuts) == len(group) + 1 else self._ids(group)
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The texts' ids, split and looked up in slices of SLICE_CHARS characters (a longer text is a slice)."""
+        out, begin, held = [], 0, 0
+        for i, t in enumerate(texts):
+            held += len(t)
+            if held >= SLICE_CHARS:
+                out += self._encode(texts[begin : i + 1])
+                begin, held = i + 1, 0
+        return out + self._encode(texts[begin:])
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [SPLITTER.findall(t) if SAFE.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
-        parts = set(chain.from_iterable(c for c in cut if c))
-        fresh = list(parts - self.parts.keys())
-        if len(self.parts) + len(fresh) > MEMO_PARTS:
+        if len(self.parts) > MEMO_PARTS:
             self.parts.clear()
-            fresh = list(parts)
-        self.parts.update(zip(fresh, self._ids(fresh)))
+        fresh = sorted(set(filterfalse(self.parts.__contains__, chain.from_iterable(c for c in cut if c))))
+        words = [p for p in fresh if p[0] == " " and p[1:].isalpha()]
+        other = [p for p in fresh if not (p[0] == " " and p[1:].isalpha())]
+        self.parts.update(zip(words, self._words(words)))
+        self.parts.update(zip(other, self._ids(other)))
         known = self.parts.__getitem__
         return [self._ids([t])[0] if c is None else b"".join(map(known, c)) for t, c in zip(texts, cut)]
 
@@ -125,16 +150,20 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, sample_docs: int =
         return b"".join(samples)[:size]
 
 
-def _dictionary(content: bytes):
+def _dictionary(content: bytes, level: int | None = None):
+    """The dictionary, digested once for all frames where a level to compress at is given."""
     import zstandard
 
-    return zstandard.ZstdCompressionDict(content)
+    found = zstandard.ZstdCompressionDict(content)
+    if level is not None:
+        found.precompute_compress(level=level)
+    return found
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, level: int = 3) -> DataFrame:
     """Write the files into ``folder``; returns (shard, uri, n_docs, n_tokens) per file."""
     spark, path = docs.sparkSession, path or model_path()
-    ship_package(spark)
+    prepare_workers(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     content = train_dictionary(texts, path, end_id)
     publish(f"{folder}/dictionary", lambda out: out.write(content), 0)
@@ -145,7 +174,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
 
         task, index = TaskContext.get(), []
         uri, tokens = f"{folder}/part-{task.partitionId():06d}.tok", 0
-        compressor = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(shared.value), write_checksum=True)
+        compressor = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(shared.value, level), write_checksum=True)
 
         def body(out) -> None:
             out.write(MAGIC + digest)
@@ -187,9 +216,9 @@ class TokenFile:
         return np.frombuffer(self._decompress(self.file.read_at(length, at)), "<u2")
 
 
-def read(spark: SparkSession, shards: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids and ids_crc32 of every document in the files of ``shards``."""
-    ship_package(spark)
+def read(spark: SparkSession, shards: DataFrame, folder: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids (null unless ``with_ids``) and ids_crc32 of every document in the files of ``shards``."""
+    prepare_workers(spark)
     ordered = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one small row per file
     based = shards.withColumn("base", F.coalesce(F.sum("n_tokens").over(ordered), F.lit(0)))
 
@@ -200,22 +229,22 @@ def read(spark: SparkSession, shards: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for uri, start in zip(batch["uri"], batch["base"]):
                 tokens = TokenFile(uri, dictionary)
-                out = []
+                out, held = [], 0
                 for place, (doc_id, _, _, n) in enumerate(tokens.index.tolist()):
                     ids = tokens.ids(place)
-                    out.append((doc_id, start, len(ids), ids.tobytes(), zlib.crc32(ids.astype("<u4").tobytes())))
-                    start += len(ids)
-                    if len(out) == 500:
+                    out.append((doc_id, start, len(ids), ids.tobytes() if with_ids else None, zlib.crc32(ids.astype("<u4").tobytes())))
+                    start, held = start + len(ids), held + len(ids)
+                    if len(out) == 500 or held >= 1 << 20:
                         yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
-                        out = []
+                        out, held = [], 0
                 yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
 
     parts = max(1, based.count())
     return based.where("n_docs > 0").repartition(parts, "shard").mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
     """Write ``docs`` as token files in the shared folder and read them back."""
     ws = Workspace(docs.sparkSession, "token-files")
     shards = ws.write(write(docs, ws.at("files"), path), "shards")
-    return read(docs.sparkSession, shards, ws.at("files"))
+    return read(docs.sparkSession, shards, ws.at("files"), with_ids)
