@@ -25,11 +25,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from abaculus.llm.shared import broadcast_if_small
-from abaculus.session import ship_package
+from abaculus.llm.shared import broadcast_if_small, prepare_workers
 
 DIM = 1 << 15
 UNKNOWN = "und"
+SLICE_CHARS = 100_000  # characters whose grams are hashed at once
 
 
 @lru_cache(maxsize=1)
@@ -48,14 +48,17 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     points = np.where(is_letter, points, 32)
     keep = np.ones(len(points), bool)
     keep[1:] = is_letter[1:] | is_letter[:-1]
-    one = points[keep].astype(np.uint64)
-    two = one[:-1] * np.uint64(0x110000) + one[1:]
-    three = two[:-1] * np.uint64(0x110000) + one[2:]
-    mixed = np.concatenate([one, two, three]) + np.repeat(np.arange(1, 4, dtype=np.uint64) << np.uint64(62), [len(one), len(two), len(three)])
-    mixed *= np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    counts = np.bincount((mixed >> np.uint64(49)).astype(np.int64), minlength=DIM)
+    kept, counts = points[keep], np.zeros(DIM, np.int64)
+    for begin in range(0, len(kept), SLICE_CHARS):  # the grams that start in a slice; they reach two characters beyond it
+        one = kept[begin : begin + SLICE_CHARS + 2].astype(np.uint64)
+        two = one[:-1] * np.uint64(0x110000) + one[1:]
+        three = two[:-1] * np.uint64(0x110000) + one[2:]
+        grams = [g[:SLICE_CHARS] for g in (one, two, three)]
+        mixed = np.concatenate(grams) + np.repeat(np.arange(1, 4, dtype=np.uint64) << np.uint64(62), list(map(len, grams)))
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        counts += np.bincount((mixed >> np.uint64(49)).astype(np.int64), minlength=DIM)
     at = np.flatnonzero(counts)
     return at, counts[at]
 
@@ -148,7 +151,7 @@ def document_counts(docs: DataFrame) -> tuple[int, np.ndarray]:
         at = np.flatnonzero(counts)
         yield pd.DataFrame({"bucket": at.astype(np.int32), "n": counts[at]})
 
-    ship_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     out = np.zeros(DIM + 1)
     for r in docs.select("text").mapInPandas(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r["bucket"]] = r["n"]
@@ -178,7 +181,7 @@ def train(docs: DataFrame, max_train_rows: int = 1000, hold: Column | None = Non
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score."""
-    ship_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -23,14 +23,14 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abaculus.session import ship_package
+from abaculus.llm.shared import prepare_workers
 
 MODEL = "piece_bpe_32k.model"
 #: Units that no piece crosses: words, other characters, line breaks. For a model with pieces that
@@ -38,8 +38,8 @@ MODEL = "piece_bpe_32k.model"
 FINE_UNIT = re.compile(r"\n| *(?:[^\W_]|(?<=²)\.)+| *(?:[^\w \n]|_)+| +")
 COARSE_UNIT = re.compile(r" *[^ ]+| +")
 CUT = re.compile(r"(?<=[^ ]) ")
-CHUNK_CHARS = 3_000_000  # a longer text is worked off in slices of whole units
-MEMO_UNITS = 250_000  # units whose lattices a worker keeps (about 0.5 KB each)
+CHUNK_CHARS = 300_000  # texts are worked off in slices of so many characters, a longer one in slices of whole units
+MEMO_UNITS = 100_000  # units whose lattices a worker keeps (about 0.5 KB each)
 _BASE = np.uint64(0x100000001B3)
 
 
@@ -162,35 +162,51 @@ class PieceTable:
         return self.bytes[np.arange(int(lengths.sum())) + skip].tobytes().decode()[1:]
 
 
+class Appended:
+    """An array that others are added to; its room doubles, so adding costs what is added."""
+
+    def __init__(self, dtype: type):
+        self.room, self.n = np.empty(1 << 16, dtype), 0
+
+    def add(self, more: np.ndarray) -> None:
+        end = self.n + len(more)
+        if end > len(self.room):
+            wider = np.empty(max(end, 2 * len(self.room)), self.room.dtype)
+            wider[: self.n] = self.room[: self.n]
+            self.room = wider
+        self.room[self.n : end] = more
+        self.n = end
+
+
 class Lattices:
     """The filtered lattices of the units seen: per node its first incoming piece, per piece its
     share among those that end at its node (cumulative) and the node before it."""
 
     def __init__(self, table: PieceTable):
         self.table = table
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.final = np.zeros(0, np.int32)  # last node of each unit
-        self.first = np.zeros(0, np.int32)  # first piece that ends at a node; -1 where a unit begins
-        self.cum, self.piece, self.before = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.uses = np.zeros(0, np.int64)
+        self.final = Appended(np.int32)  # last node of each unit
+        self.first = Appended(np.int32)  # first piece that ends at a node; -1 where a unit begins
+        self.cum, self.piece, self.before = Appended(np.float64), Appended(np.int32), Appended(np.int32)
+        self.uses = Appended(np.int32)
 
     def numbers(self, lists: list[list[str]]) -> np.ndarray:
         """Numbers of the units of all lists, in order; unseen units are filtered and added."""
         number = self.number
         if len(number) > MEMO_UNITS:  # keep those seen again, if that frees enough
-            again = [u for u, n in zip(number, self.uses) if n > 1]
-            self._clear()
+            again = [u for u, n in zip(number, self.uses.room.tolist()) if n > 1]
+            self.clear()
             number = self.number
             if 0 < len(again) < MEMO_UNITS // 2:
                 self._add(again)
-        fresh = set(chain.from_iterable(lists)) - number.keys()
+        fresh = set(filterfalse(number.__contains__, chain.from_iterable(lists)))
         if fresh:
             self._add(sorted(fresh))
         out = np.concatenate([np.fromiter(map(number.__getitem__, units), np.int64, len(units)) for units in lists])
-        self.uses += np.bincount(out, minlength=len(self.uses))
+        self.uses.room[: self.uses.n] += np.bincount(out, minlength=self.uses.n).astype(np.int32)
         return out
 
     def _add(self, units: list[str]) -> None:
@@ -245,38 +261,39 @@ class Lattices:
             k += 1
             left = left[spans[np.searchsorted(state, left)] > k]
         cum[state + spans - 1] = 2.0  # the last piece takes what is left
-        nodes, edges = len(self.first), len(self.cum)
+        nodes, edges = self.first.n, self.cum.n
         first = np.full(n + len(units), -1, np.int32)
         first[node[state]] = state + edges
-        self.number.update(zip(units, range(len(self.final), len(self.final) + len(units))))
-        self.final = np.r_[self.final, (begin + np.arange(len(units)) + sizes + nodes).astype(np.int32)]
-        self.first = np.r_[self.first, first]
-        self.cum = np.r_[self.cum, cum]
-        self.piece = np.r_[self.piece, piece.astype(np.int32)]
-        self.before = np.r_[self.before, (before + nodes).astype(np.int32)]
-        self.uses = np.r_[self.uses, np.zeros(len(units), np.int64)]
+        self.number.update(zip(units, range(self.final.n, self.final.n + len(units))))
+        self.final.add(begin + np.arange(len(units)) + sizes + nodes)
+        self.first.add(first)
+        self.cum.add(cum)
+        self.piece.add(piece)
+        self.before.add(before + nodes)
+        self.uses.add(np.zeros(len(units), np.int32))
 
     def sample(self, unit: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward sampling: ids of all occurrences in order, and their number per occurrence."""
-        active, node, step = np.arange(len(unit)), self.final[unit], 0
+        final, first, cum, piece, before = (a.room for a in (self.final, self.first, self.cum, self.piece, self.before))
+        active, node, step = np.arange(len(unit)), final[unit], 0
         taken: list[tuple[np.ndarray, np.ndarray]] = []
         steps = np.zeros(len(unit), np.int64)
         while len(active):
             u = (_mix(noise[active] + np.uint64((step + 1) * 0xD1B54A32D192ED03 % 2**64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = self.first[node]
-            late = np.flatnonzero(self.cum[edge] <= u)
+            edge = first[node]
+            late = np.flatnonzero(cum[edge] <= u)
             while len(late):
                 edge[late] += 1
-                late = late[self.cum[edge[late]] <= u[late]]
-            taken.append((active, self.piece[edge]))
+                late = late[cum[edge[late]] <= u[late]]
+            taken.append((active, piece[edge]))
             steps[active] += 1
-            node = self.before[edge]
-            more = self.first[node] >= 0
+            node = before[edge]
+            more = first[node] >= 0
             active, node, step = active[more], node[more], step + 1
         offset = np.cumsum(steps) - steps
         pieces = np.empty(int(steps.sum()), np.int64)
-        for k, (who, piece) in enumerate(taken):
-            pieces[offset[who] + steps[who] - 1 - k] = piece
+        for k, (who, chosen) in enumerate(taken):
+            pieces[offset[who] + steps[who] - 1 - k] = chosen
         if not (pieces < 0).any():
             return pieces, steps
         owner = np.repeat(np.arange(len(unit)), steps)
@@ -303,7 +320,7 @@ def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", pat
     """``docs`` with n_pieces, ids (little-endian unsigned 16-bit; 32-bit for models beyond 65,536 pieces),
     ids_crc32 (of the ids as 32-bit integers) and lossless (the ids decode to the text)."""
     path = path or model_path()
-    ship_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
 
     @F.pandas_udf("n_pieces long, ids binary, ids_crc32 long, lossless boolean")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -315,6 +332,7 @@ def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", pat
                 [(len(r), r.tobytes(), zlib.crc32(r.astype("<u4").tobytes()), table.decode(r) == t) for r, t in zip(rows, texts)],
                 columns=["n_pieces", "ids", "ids_crc32", "lossless"],
             )
+        table.memo.clear()
 
     kept = [c for c in docs.columns if c not in ("n_pieces", "ids", "ids_crc32", "lossless")]
     found = docs.select(*kept, run(F.coalesce(F.col(key_col).cast("long"), F.lit(0)), F.coalesce(F.col(text_col), F.lit(""))).alias("_enc"))
@@ -324,7 +342,7 @@ def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", pat
 def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with the text that its ids stand for, as ``decoded``."""
     path = path or model_path()
-    ship_package(encoded.sparkSession)
+    prepare_workers(encoded.sparkSession)
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
