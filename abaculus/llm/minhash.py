@@ -12,7 +12,8 @@ reach the threshold are verified on their full shingle sets.
 Skew: equal shingle sets are first reduced to their smallest id by an aggregate
 with partial sums, so copies never meet in a bucket. Buckets are resolved by
 ``grouping.group``, which links the members of a large one to a few centres per
-round instead of making all its pairs, and yet leaves no pair undecided.
+round instead of making all its pairs, and yet leaves no pair undecided: shingles
+that few documents of large buckets hold pair these, and bound all other similarities.
 
 Defined results: null or empty texts have an empty set and stand alone; with
 fewer than five words the whole sequence is one shingle; repeated rows (same id)
@@ -27,16 +28,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from abaculus.llm.grouping import group
-from abaculus.llm.shared import Workspace, broadcast_if_small, without_ids
-from abaculus.session import ship_package
+from abaculus.llm.grouping import group, shared_buckets
+from abaculus.llm.shared import Workspace, broadcast_if_small, prepare_workers, without_ids
 
 BUCKETS, BANDS, ROWS, MANTISSA = 128, 25, 5, 10
 SHINGLE = 5
-MEMO_WORDS = 200_000
+SCARCE = 12  # texts that may hold a shingle for it to count as scarce in large buckets
+MEMO_WORDS = 100_000
 
 
 class _Words(dict):
@@ -150,8 +151,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                 else:
                     out.append((doc_id, 0, None, None, None, None))
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_hash", "regs", "bands", "code"]).astype({"doc_id": "Int64"})
+        _memo.clear()
 
-    ship_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, set_hash string, regs binary, bands array<long>, code array<long>")
 
 
@@ -188,6 +190,28 @@ def similar(percent: int) -> Column:
     return check(F.col("text_a"), F.col("text_b"))
 
 
+def scarce_shingles(ws: Workspace, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of texts (node, text): (node, own), how many shingles each has that ``SCARCE`` texts or fewer hold (none: left out),
+    and (a, b), all pairs that may reach ``percent`` and share such a shingle.
+
+    Such a pair shares one among the rarest shingles of both: their first ones by (texts, hash), so many that
+    a text without them all is below the threshold (prefix filter). Others need not be joined.
+    """
+
+    @F.pandas_udf("array<long>")
+    def hashes(batch: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t).view(np.int64) for t in batch])
+
+    sets = texts.select("node", hashes("text").alias("shingles"))
+    held = ws.write(sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "held")
+    few = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") <= SCARCE)
+    rare = ws.write(held.join(few, "shingle"), "scarce")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("texts", "shingle"))
+    first = rare.withColumn("place", place).where(F.col("place") <= F.floor(F.col("n") * (100 - percent) / 100) + 1).where("texts > 1").select("node", "shingle")
+    pairs = first.withColumnRenamed("node", "a").join(first.withColumnRenamed("node", "b"), "shingle").where("a < b").select("a", "b").distinct()
+    return rare.groupBy("node").agg(F.count(F.lit(1)).alias("own")), pairs
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
     spark = docs.sparkSession
@@ -209,8 +233,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         ws.drop(f"texts-{name}")
         return found
 
-    nodes = reps.select(F.col("rep").alias("node"), F.col("bands").alias("keys"), F.struct(F.col("n_shingles").alias("n"), "code").alias("sketch"))
-    labels = group(ws, nodes, BANDS, lambda a, b: likely(percent / 100, a, b), verify)
+    def scarce(crowd: DataFrame) -> tuple[DataFrame, DataFrame]:
+        texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(broadcast_if_small(crowd), "node", "left_semi").dropDuplicates(["node"])
+        return scarce_shingles(ws, texts, percent)
+
+    def bound(n: Column, own: Column, other_n: Column, other_own: Column) -> Column:
+        common = n - own  # at most; the other set holds these and its own scarce ones
+        return 100 * common >= percent * (own + F.greatest(other_n, common + other_own))
+
+    def first_met(a: Column, b: Column, place: Column) -> Column:
+        earlier = F.lit(False)  # whether the pair shares a band before this one
+        for k in range(BANDS - 1):
+            earlier = earlier | ((place > k) & (a["bands"][k] == b["bands"][k]))
+        return likely(percent / 100, a, b) & ~earlier
+
+    members = shared_buckets(ws, reps.select(F.col("rep").alias("node"), F.posexplode("bands").alias("place", "bucket")))
+    nodes = reps.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), F.struct(F.col("n_shingles").alias("n"), "code", "bands").alias("sketch"))
+    labels = group(ws, nodes, members, first_met, verify, scarce, bound)
     of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("comp", "rep").alias("comp"))
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash")).join(of_class, "set_hash", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce(F.coalesce("comp", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -32,8 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abaculus.llm.shared import Workspace, broadcast_if_small, open_fs, publish
-from abaculus.session import ship_package
+from abaculus.llm.shared import Workspace, broadcast_if_small, open_fs, prepare_workers, publish
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 DATE = "1970-01-01T00:00:00Z"
@@ -76,7 +75,7 @@ def page_of(uri: str | None) -> int | None:
 
 def write(pages: DataFrame, folder: str, min_bytes: int = 100, level: int = 3) -> DataFrame:
     """Write one archive per task with rows; returns (uri, n_records) per archive."""
-    ship_package(pages.sparkSession)
+    prepare_workers(pages.sparkSession)
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     same = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
@@ -169,7 +168,7 @@ def read_index(archives: DataFrame) -> DataFrame:
                     rows = [json.loads(line) for line in file.read_at(n, at).splitlines()]
                 yield pd.DataFrame([(uri, data + r["offset"], r["length"]) for r in rows], columns=["uri", "offset", "length"])
 
-    ship_package(archives.sparkSession)
+    prepare_workers(archives.sparkSession)
     return archives.select("uri").mapInPandas(run, "uri string, offset long, length long")
 
 

@@ -59,19 +59,28 @@ def _(df):
     return statements.account_blocks(df).select("file", "account", "header_row", "data_start_row", "data_end_row")
 
 
-@register("s10_header_problems", f"{L} select distinct bank as file, account as sheet, 'payment' as field, '支出金额' as found from ledger", statement_cells)
+@register("s10_header_problems", f"{L} select distinct bank as file, account as sheet, 'payment' as field, '支出'||substr(account, -2) as found from ledger where substr(account, -1) <> '7'", statement_cells)
 def _(df):
+    # payment headers that end in the account's last digits; those of accounts on 7 are as expected
+    title = F.when(F.col("sheet").endswith("7"), "付款").otherwise(F.concat(F.lit("支出"), F.right("sheet", F.lit(2))))
+    df = df.withColumn("value", F.when((F.col("row") == 2) & (F.col("col") == 2), title).otherwise(F.col("value")))
     return statements.header_problems(df, RULE).select("file", "sheet", "field", "found")
 
 
-@register("s11_template_inference", f"{L} select distinct bank as file, account as sheet, 2 as header_row, 6 as n_fields, 0.93 as confidence from ledger", statement_cells)
+@register("s11_template_inference", f"{L}, k as (select distinct bank, account, length(bank) % 3 as k from ledger) select bank as file, account as sheet, 2 + k as header_row, case when k = 0 then 5 else 6 end as n_fields, case when k = 0 then 0.86 else 0.93 end as confidence from k", statement_cells)
 def _(df):
+    # notes stand above the header; without notes the header lacks the summary's title
+    k = F.length("file") % 3
+    df = df.where(~((F.col("row") == 2) & (F.col("col") == 5) & (k == 0)))
+    df = df.withColumn("row", F.when(F.col("row") > 1, F.col("row") + k).otherwise(F.col("row")))
     return statements.infer_templates(df).select("file", "sheet", "header_row", F.size("fields").alias("n_fields"), "confidence")
 
 
-@register("s13_table_header", f"{L} select distinct bank as file, account as sheet, 2 as header_row from ledger", statement_cells)
+@register("s13_table_header", f"{L} select distinct bank as file, account as sheet, 2 + length(bank) % 3 as header_row from ledger", statement_cells)
 def _(df):
-    return statements.table_header(df)
+    # notes stand above the header, as many rows as the file's name asks for
+    lower = df.withColumn("row", F.when(F.col("row") > 1, F.col("row") + F.length("file") % 3).otherwise(F.col("row")))
+    return statements.table_header(lower)
 
 
 @register("j13_rule_impact", f"{L} select case when payment is null then '未变' else '变更' end as change, count(*) as n from ledger group by 1", statement_cells)
@@ -81,8 +90,15 @@ def _(df):
     return changes.groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("s18_bank_by_cells", f"{L} select distinct bank as file, case when bank < 'J' then 'B1' else 'B1' end as bank from ledger", statement_cells)
+@register("s18_bank_by_cells", f"{L}, b as (select distinct bank, length(bank) % 3 as k from ledger) select bank as file, case k when 0 then 'B1' else 'C9' end as bank from b where k < 2", statement_cells)
 def _(df):
+    # the account stays in B1, moves to C9, or loses its digits
+    k = F.length("file") % 3
+    df = df.where(~((F.col("row") == 9) & (F.col("col") == 3))).withColumns({
+        "value": F.when((F.col("row") == 1) & (F.col("col") == 2) & (k == 2), "none").otherwise(F.col("value")),
+        "col": F.when((F.col("row") == 1) & (F.col("col") == 2) & (k == 1), 3).otherwise(F.col("col")),
+        "row": F.when((F.col("row") == 1) & (F.col("col") == 2) & (k == 1), 9).otherwise(F.col("row")),
+    })
     return files.identify_by_cells(df, {"B1": (1, 2), "C9": (9, 3)})
 
 
@@ -139,13 +155,17 @@ def _(df):
     return files.identify_bank(df.select("c_custkey", name.alias("name")), {"工商银行": ["工商银行", "ICBC"], "招商银行": ["招商银行", "CMB"]}).select("c_custkey", "bank")
 
 
-@register("f17_mask_by_shape", """select event_id, case event_id % 6 when 0 then '2024年01月' when 1 then 'TXN0********' when 2 then '622***********789' when 3 then '[金额已隐藏]' when 4 then '7' else '' end as masked from events""", lambda s, d: read(s, d, "events"))
+SHAPES_SQL = """with v as (select event_id, event_id % 7 as k, case event_id % 7 when 0 then '2024-01-'||lpad(cast(event_id % 28 + 1 as varchar), 2, '0') when 1 then 'TXN'||lpad(cast(event_id as varchar), 9, '0')
+  when 2 then '622 '||lpad(cast(event_id as varchar), 12, '0') when 3 then '1,234.5' when 4 then cast(event_id % 10 as varchar) when 5 then '6221'||lpad(cast(event_id as varchar), 13, '0') else '' end as v from events)"""
+
+
+@register("f17_mask_by_shape", f"""{SHAPES_SQL} select event_id, case k when 0 then substr(v, 1, 4)||'年'||substr(v, 6, 2)||'月' when 1 then substr(v, 1, 4)||repeat('*', length(v) - 4)
+  when 2 then substr(v, 1, 3)||repeat('*', length(v) - 6)||substr(v, -3) when 3 then '[金额已隐藏]' when 5 then substr(v, 1, 4)||'年'||substr(v, 5, 2)||'月' else v end as masked from v""", lambda s, d: read(s, d, "events"))
 def _(df):
-    k = F.col("event_id") % 6
-    value = F.when(k == 0, "2024-01-05").when(k == 1, "TXN012345678").when(k == 2, "622-123456789456789").when(k == 3, "1,234.5").when(k == 4, "7").otherwise("")
-    value = F.when(k == 2, "6221" + "2345678945" + "789").otherwise(value)
-    shaped = masks.mask_by_shape(value)
-    return df.select("event_id", F.when(k == 2, F.lit("622***********789")).otherwise(shaped).alias("masked"))
+    key = F.col("event_id").cast("string")
+    shapes = [F.concat(F.lit("2024-01-"), F.lpad((F.col("event_id") % 28 + 1).cast("string"), 2, "0")), F.concat(F.lit("TXN"), F.lpad(key, 9, "0")), F.concat(F.lit("622 "), F.lpad(key, 12, "0")), F.lit("1,234.5"), (F.col("event_id") % 10).cast("string"), F.concat(F.lit("6221"), F.lpad(key, 13, "0")), F.lit("")]
+    value = F.element_at(F.array(*shapes), (F.col("event_id") % 7 + 1).cast("int"))
+    return df.select("event_id", masks.mask_by_shape(value).alias("masked"))
 
 
 ISSUES = [
@@ -167,7 +187,15 @@ def _(df):
     return knowledge.statistics(knowledge.search(df, ISSUES))
 
 
-@register("o8_merged_search", None, lambda s, d: read(s, d, "conversations").withColumn("msg", F.concat_ws("-", "conv_id", "turn")))
+SEARCH_SQL = """with m as (select conv_id||'-'||turn as msg, text, lower(text) as t, list_distinct(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+')) as w from conversations),
+s as (select msg, 'A' as bank, 'login the page' as title, cast(case when regexp_matches(text, '(?i)error|idiot') then 0.40 else 0 end + case when contains(t,'with') or contains(t,'slow') then 0.15 else 0 end + case when contains(t,'login') or contains(t,'the') or contains(t,'page') then 0.10 else 0 end + case when contains(t,'this') then 0.10 else 0 end as double) as a,
+  round(len(list_intersect(w, ['error','idiot'])) / 2 * 0.3 + len(list_intersect(w, ['with','slow'])) / 2 * 0.2 + len(list_intersect(w, ['login','the','page'])) / 3 * 0.25 + case when contains(t,'this') then 0.15 else 0 end, 6) as b from m
+union all select msg, 'B', 'de la', cast(case when regexp_matches(text, '(?i)pass.*token') then 0.40 else 0 end + case when contains(t,'une') then 0.15 else 0 end + case when contains(t,'de') or contains(t,'la') then 0.10 else 0 end + case when contains(t,'des') then 0.10 else 0 end + case when contains(t,'les') then 0.10 else 0 end as double),
+  round(len(list_intersect(w, ['pass','token'])) / 2 * 0.3 + len(list_intersect(w, ['une'])) * 0.2 + len(list_intersect(w, ['de','la'])) / 2 * 0.25 + case when contains(t,'des') then 0.15 else 0 end + case when contains(t,'les') then 0.15 else 0 end, 6) from m)
+select msg, bank, title, max(greatest(case when a >= 0.3 then a end, case when b >= 0.05 then b end)) as score from s where a >= 0.3 or b >= 0.05 group by all"""
+
+
+@register("o8_merged_search", SEARCH_SQL, lambda s, d: read(s, d, "conversations").withColumn("msg", F.concat_ws("-", "conv_id", "turn")))
 def _(df):
     return knowledge.merged_results(knowledge.search(df, ISSUES), knowledge.keyword_search(df, ISSUES), "msg")
 

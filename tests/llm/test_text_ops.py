@@ -221,7 +221,6 @@ def test_lines_equal_brute_force(spark):
         for n, line in enumerate(t.split("\n")):
             first.setdefault(line_dedup.normalised(line), (i, n))
     texts = list(first)
-    sims = [int(s) for s in line_dedup.simhashes([t.split() for t in texts])]
     comp = list(range(len(texts)))
 
     def root(x):
@@ -239,7 +238,7 @@ def test_lines_equal_brute_force(spark):
 
     for x in range(len(texts)):
         for y in range(x):
-            if (sims[x] ^ sims[y]).bit_count() <= line_dedup.DISTANCE and lev(texts[x], texts[y]) <= int(max(len(texts[x]), len(texts[y])) * 0.2 + 1e-9):
+            if lev(texts[x], texts[y]) <= int(max(len(texts[x]), len(texts[y])) * 0.2 + 1e-9):
                 a, b = root(x), root(y)
                 comp[max(a, b)] = min(a, b)
     keep = {}
@@ -252,6 +251,53 @@ def test_lines_equal_brute_force(spark):
     assert got == want and sum(want.values()) < len(texts)
 
 
+def test_edit_distance_equals_table():
+    r = random.Random(12)
+
+    def lev(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            p, d[0] = d[0], i
+            for j, y in enumerate(b, 1):
+                p, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, p + (x != y))
+        return d[-1]
+
+    for _ in range(2000):
+        a = "".join(r.choice("abé") for _ in range(r.randint(0, 14)))
+        b = "".join(r.choice("abé") for _ in range(r.randint(0, 14))) if r.random() < 0.5 else a[: r.randint(0, 14)] + "b" + a[r.randint(0, 14) :]
+        most = r.randint(0, 6)
+        assert line_dedup.within(a, b, most) == (lev(a, b) <= most), (a, b, most)
+
+
+def test_line_rows_equal_plain_rules():
+    """Vectorised normalisation, sizes and short sketches against the plain rule for one line."""
+    import xxhash
+
+    r = random.Random(5)
+    lines = ["".join(r.choice("ab cÀ_9-é東京 İΣ.") for _ in range(r.randint(0, 80))) for _ in range(500)] + ["x" * 50, "東京" * 30, ""]
+    found = line_dedup.chunk_table(lines).set_index("place")
+    for i, line in enumerate(lines):
+        plain = line_dedup.normalised(line)
+        assert (i in found.index) == bool(plain)
+        if plain:
+            row = found.loc[i]
+            assert row["hash"] == xxhash.xxh3_128_digest(plain.encode("utf-32-le")) and row["size"] == len(plain)
+            if len(plain) <= line_dedup.SHORT:
+                assert sum(int(x).bit_count() for x in np.asarray(row["code"]).view(np.uint64)) <= max(0, len(plain) - 2)
+    assert line_dedup.chunk_table(["--", ""]) is None
+
+
+def test_lines_odd_rows(spark):
+    """Null ids order first, repeated rows are copies, an empty table has no rows, other columns are ignored."""
+    schema = "doc_id long, text string, kept string, hash string"
+    rows = [(None, "a line of words here", "x", "y"), (3, "a line of words here", "x", "y"), (3, "a line of words here", "x", "y"), (4, "--", None, None)]
+    got = {(r.doc_id, r.n_dropped) for r in line_dedup.per_document(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {(None, 0), (3, 1), (4, 0)}
+    assert line_dedup.per_document(spark.createDataFrame([], schema)).collect() == []
+    long = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(60_000))), (2, "東京" * 30_000), (3, "x" * 200_000)], "doc_id long, text string")
+    assert [r.n_dropped for r in line_dedup.per_document(long).collect()] == [0, 0, 0]
+
+
 def test_lines_recall(spark):
     """Lines of one to a hundred changed words or letters, at edit similarity 0.8 and more, against no condition but that."""
     r = random.Random(31)
