@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from abaculus.adapters import LEDGER_SQL, ledger, read
 from abaculus.functions import masks
-from abaculus.operators import impact, knowledge
+from abaculus.operators import attachments, impact, knowledge
 from abaculus.plans.ledger_queries import QUERIES, SQL, register
 from abaculus.sources import cells, files, statements
 from abaculus.streaming import ingest
@@ -200,6 +200,42 @@ def _(df):
     return knowledge.merged_results(knowledge.search(df, ISSUES), knowledge.keyword_search(df, ISSUES), "msg")
 
 
+CARDS = [
+    statements.Card("debit", ("debit", "借记"), ("日期", "金额", "余额")),
+    statements.Card("credit", ("credit", "bill"), ("日期", "金额", "商户", "分期")),
+    statements.Card("closed", ("old", "bill"), ("日期", "商户"), enabled=False),
+]
+
+
+@register("s22_personal_bank", """select event_id, case event_id % 5 when 0 then 'debit' when 1 then 'credit' when 2 then 'debit' end as by_name,
+  case event_id % 4 when 0 then 'debit' when 1 then 'credit' end as by_headers from events""", lambda s, d: read(s, d, "events"))
+def _(df):
+    key, k = F.col("event_id").cast("string"), F.col("event_id")
+    name = F.element_at(F.array(F.concat(F.lit("2024 DEBIT "), key, F.lit(".xlsx")), F.concat(key, F.lit("-Credit-Bill.csv")), F.concat(F.lit("借记 bill "), key), F.concat(F.lit("old_"), key), F.lit(None)), (k % 5 + 1).cast("int"))
+    heads = F.when(k % 4 == 0, F.array(F.lit(" 日期 "), F.lit("金额"), F.lit("余额"), key)).when(k % 4 == 1, F.array(F.lit("商户"), F.lit("日期"), F.lit("分期"), F.lit(None))).when(k % 4 == 2, F.array(F.lit("日期"), F.lit("日期"), key))
+    return df.select("event_id", statements.personal_bank_by_name(name, CARDS).alias("by_name"), statements.personal_bank_by_headers(heads, CARDS).alias("by_headers"))
+
+
+def attachment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("attachment_id"), F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("txn_id"), F.concat(F.lit("/vault/"), F.col("event_id").cast("string")).alias("path"),
+                    F.col("event_type").alias("attachment_type"), F.lit("kept").alias("remark"), F.lit("2024-01-01").alias("created"), F.lit("2024-01-01").alias("updated"))
+
+
+@register("k15_attachment_edits", """with a as (select event_id as id, 'T'||user_id as txn_id, '/vault/'||event_id as path, event_type as kind from events),
+m as (select max(id) as m from a),
+kept as (select txn_id, case when id % 10 = 1 then '/moved/'||id else path end as path, kind, case when id % 10 = 2 then '' else 'kept' end as remark, case when id % 10 in (1, 2) then 'now' else '2024-01-01' end as updated, id <= m as old from a, m where id % 10 <> 3)
+select * from kept union all select txn_id, '/new'||path, '', null, 'now', false from a where id % 10 = 4""", attachment_table)
+def _(df):
+    k = F.col("attachment_id") % 10
+    edits = df.where((k == 1) | (k == 2) | (k == 5)).select("attachment_id", F.when(k == 1, F.concat(F.lit("/moved/"), F.col("attachment_id").cast("string"))).alias("path"), F.when(k == 2, "").alias("remark"))
+    edits = edits.unionByName(df.sparkSession.createDataFrame([(-1, "/unknown", None)], edits.schema))
+    changed = attachments.delete(attachments.update(df, edits, "now"), df.where(k == 3))
+    grown = attachments.insert(changed, df.where(k == 4).select("txn_id", F.concat(F.lit("/new"), F.col("path")).alias("path")), "now")
+    largest = df.agg(F.max("attachment_id").alias("m"))
+    return grown.crossJoin(F.broadcast(largest)).select("txn_id", "path", F.col("attachment_type").alias("kind"), "remark", "updated", (F.col("attachment_id") <= F.col("m")).alias("old"))
+
+
 # --- streams: the events table as a folder of arriving files
 
 

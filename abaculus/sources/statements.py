@@ -238,3 +238,34 @@ def personal_rows(cells: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
     text = lambda c: F.coalesce(F.trim(c), F.lit("")) if c in columns else F.lit("")
     amount = F.coalesce(parse_amount(F.col("amount")), F.lit(0).cast(MONEY)) if "amount" in columns else F.lit(0).cast(MONEY)
     return found.where((amount != 0) | (text("merchant") != "") | (text("summary") != ""))
+
+
+@dataclass(frozen=True)
+class Card:
+    """A kind of personal card bill: words of its file names, and its header texts."""
+
+    name: str
+    file_words: tuple[str, ...] = ()
+    headers: tuple[str, ...] = ()
+    enabled: bool = True
+
+
+def _best_card(cards: list[Card], score: Callable[[Card], Column], least: int) -> Column:
+    """The name of the enabled card with the highest score of ``least`` or more, the first on a tie; else null."""
+    known = [F.struct(score(c).cast("int").alias("score"), F.lit(-i).alias("order"), F.lit(c.name).alias("name")) for i, c in enumerate(cards) if c.enabled]
+    if not known:
+        return F.lit(None).cast("string")
+    best = F.array_max(F.array(*known))
+    return F.when(best["score"] >= least, best["name"])
+
+
+def personal_bank_by_name(name: Column, cards: list[Card]) -> Column:
+    """The card most of whose file words stand in the file name, in any case."""
+    lower = F.coalesce(F.lower(name), F.lit(""))
+    return _best_card(cards, lambda c: sum((lower.contains(w.lower()).cast("int") for w in c.file_words), F.lit(0)), 1)
+
+
+def personal_bank_by_headers(headers: Column, cards: list[Card]) -> Column:
+    """The card that shares most header texts, two or more, with an array of header cells."""
+    seen = F.array_distinct(F.transform(F.filter(F.coalesce(headers, F.array().cast("array<string>")), lambda h: F.coalesce(h, F.lit("")) != ""), F.trim))
+    return _best_card(cards, lambda c: F.size(F.array_intersect(seen, F.array(*map(F.lit, dict.fromkeys(c.headers))))) if c.headers else F.lit(0), 2)
