@@ -110,7 +110,8 @@ def group(
             done = done.union(found.select("a", "b", "linked"))
         else:
             found = done = verify(stars.union(pairs).distinct(), f"round-{step}")
-        labels = components(ws, done.where("linked"), f"comps-{step}")
+        if not step or not found.where("linked").isEmpty():
+            labels = components(ws, done.where("linked"), f"comps-{step}")
         used = centres.select(F.col("bucket_b").alias("bucket"), F.col("place_b").alias("place"), F.col("b").alias("node"))
         left = many.join(used, ["place", "bucket", "node"], "left_anti").drop("comp")
         left = left.join(labels, "node", "left").select("place", "bucket", "node", "sketch", F.coalesce("comp", "node").alias("comp"), "n", "own")

@@ -7,13 +7,14 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 from abaculus.session import ship_package
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: A join side is broadcast only while its counted rows stay below this bound (ids, hashes or short strings).
-BROADCAST_ROWS = 200_000
+#: A join side is broadcast only while its counted rows and the bytes of its texts and arrays stay within these bounds.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 
@@ -61,12 +62,15 @@ def lower_az(text: Column) -> Column:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than are needed to tell."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether ``df`` has at most ``rows`` rows and ``BROADCAST_BYTES`` bytes of texts and arrays; reads it once."""
+    wide = [f.name for f in df.schema.fields if not isinstance(f.dataType, (NumericType, BooleanType))]
+    held = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)).cast("long") for c in wide), F.lit(0).cast("long"))
+    n, size = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(held), F.lit(0))).first()
+    return n <= rows and size <= BROADCAST_BYTES
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when the counted size is within the bound; else leave the join to shuffle."""
+    """Hint a broadcast when the counted size is within the bounds; else leave the join to shuffle."""
     return F.broadcast(df) if small(df, rows) else df.hint("merge")
 
 

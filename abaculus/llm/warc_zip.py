@@ -74,7 +74,7 @@ def page_of(uri: str | None) -> int | None:
 
 
 def write(pages: DataFrame, folder: str, min_bytes: int = 100, level: int = 3) -> DataFrame:
-    """Write one archive per task with rows; returns (uri, n_records) per archive."""
+    """Write one archive per task with rows; returns (uri, n_records, n_bytes) per archive."""
     prepare_workers(pages.sparkSession)
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
@@ -110,9 +110,9 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 100, level: int = 3) -
                         member.write(line.encode())
 
         publish(uri, body, task.taskAttemptId())
-        yield pd.DataFrame({"uri": [uri], "n_records": [len(index)]})
+        yield pd.DataFrame({"uri": [uri], "n_records": [len(index)], "n_bytes": [sum(r[2] for r in index)]})
 
-    return rows.select("page_id", "url", "payload", "digest", "refers_to").mapInPandas(run, "uri string, n_records long")
+    return rows.select("page_id", "url", "payload", "digest", "refers_to").mapInPandas(run, "uri string, n_records long, n_bytes long")
 
 
 def directory(file) -> dict[str, tuple[int, int]]:
@@ -172,8 +172,11 @@ def read_index(archives: DataFrame) -> DataFrame:
     return archives.select("uri").mapInPandas(run, "uri string, offset long, length long")
 
 
-def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
-    """page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type and refers_to of every record."""
+def read_records(index: DataFrame, with_payload: bool = True, parts: int | None = None) -> DataFrame:
+    """page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type and refers_to of every record.
+
+    ``parts`` tasks read (the index is small, so that its own size would ask for too few).
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         uri, file, out = None, None, []
@@ -194,7 +197,8 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
                     out, size = [], 0
         yield pd.DataFrame(out, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    dealt = index.repartition("uri", (F.col("offset") / BLOCK_BYTES).cast("long")).sortWithinPartitions("uri", "offset")
+    block = ("uri", (F.col("offset") / BLOCK_BYTES).cast("long"))
+    dealt = (index.repartition(parts, *block) if parts else index.repartition(*block)).sortWithinPartitions("uri", "offset")
     return dealt.mapInPandas(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
@@ -202,5 +206,6 @@ def round_trip(pages: DataFrame, min_bytes: int = 100, with_payload: bool = True
     """Write ``pages`` as archives in the shared folder and read their records back."""
     ws = Workspace(pages.sparkSession, "warc-zip")
     archives = ws.write(write(pages, ws.at("archives"), min_bytes), "list")
-    parts = max(1, min(archives.count(), 10_000))
-    return read_records(read_index(archives.repartition(parts, "uri")), with_payload)
+    total = archives.agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("n_bytes")).first()
+    index = read_index(archives.repartition(max(1, min(total["n"], 10_000)), "uri"))
+    return read_records(index, with_payload, max(1, min((total["n_bytes"] or 0) // BLOCK_BYTES, 100_000)))
