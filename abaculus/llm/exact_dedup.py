@@ -15,7 +15,9 @@ gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abaculus.llm.shared import Workspace, broadcast_if_small, lower_az, without_ids
@@ -67,11 +69,15 @@ def read_registry(spark: SparkSession, registry_path: str) -> DataFrame:
     return rows.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.max_by("keep_locator", "batch").alias("keep_locator"), F.max("group_size").alias("group_size"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 and keep_locator for every row of ``docs``."""
+def sha256(norm: Column) -> Column:
+    return F.sha2(norm, 256)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 (what ``digest`` gives) and keep_locator for every row of ``docs``."""
     spark = docs.sparkSession
     ws = Workspace(spark, "exact-dedup")
-    norm = normalised(docs, id_col, text_col).withColumn("digest", F.sha2("norm", 256))
+    norm = normalised(docs, id_col, text_col).withColumn("digest", digest(F.col("norm")))
     arrivals = ws.write(norm.select("doc_id", "digest", F.concat_ws("#", F.input_file_name(), F.col("doc_id")).alias("locator")), "arrivals")
     update_registry(spark, ws.at("arrivals"), ws.at("registry"), ws.at("state"), arrivals.schema)
     registry = ws.write(read_registry(spark, ws.at("registry")), "entries")

@@ -37,6 +37,17 @@ def test_exact_dedup_cases(spark):
     assert kept.columns == documents(spark, rows).columns and {r.doc_id for r in kept.collect()} == {2, 3, 5, 7}
 
 
+def test_clashing_digests_are_told_apart_by_bytes(spark):
+    """With a digest of one character most texts clash; groups still follow the texts."""
+    from pyspark.sql import functions as F
+
+    texts = {i: f"Text {i % 7}" for i in range(30)} | {30: "alone", 31: None}
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in ed.exact_dedup(documents(spark, texts), digest=lambda c: F.left(F.sha2(c, 256), F.lit(1))).collect()}
+    for i, t in texts.items():
+        same = [j for j, u in texts.items() if (u or "").lower() == (t or "").lower()]
+        assert got[i] == (max(same), len(same), i == max(same))
+
+
 def test_registry_continues(spark, tmp_path):
     """The keyed state goes on from its checkpoint as more files arrive."""
     inbox, registry, state = (str(tmp_path / n) for n in ("in", "reg", "state"))
@@ -143,6 +154,26 @@ def test_large_bucket_of_unlike_documents(spark):
     assert got == brute_components(docs)
 
 
+def test_many_copies_of_one_text(spark):
+    """Changes of their own, changes that a few share, and copies of changed copies, in buckets far beyond all pairs."""
+    r = random.Random(6)
+    base = [f"b{i}" for i in range(120)]
+    shared = {f"s{k}": [(r.randrange(120), f"s{k}_{j}") for j in range(3)] for k in range(8)}
+    docs = {}
+    for i in range(260):
+        words = list(base)
+        for at, w in shared[f"s{i % 8}"] if i % 3 == 0 else []:
+            words[at] = w
+        for at in r.sample(range(120), r.choice([0, 1, 1, 2, 3, 4])):
+            words[at] = f"own{i}_{at}"
+        docs[i] = " ".join(words)
+    for i in range(260, 300):
+        docs[i] = docs[i - 200] + f" end{i} of it"
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in mh.near_duplicates(documents(spark, docs)).collect()}
+    want = brute_components(docs)
+    assert got == want and 1 < len({c for _, c in want.values()}) < 250
+
+
 def test_near_duplicates_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (7, "A b c d e f")], "doc_id long, text string")
     got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in mh.near_duplicates(df).collect())
@@ -163,3 +194,11 @@ def test_sketch_estimates():
     assert max(errors) < 0.15
     few = np.unique(r.integers(0, 2**64, 3, dtype=np.uint64))
     assert (mh.registers(few) == mh.registers(few)).all()
+
+
+def test_decontamination_of_repeated_rows(spark):
+    """Equal rows of one id give one row; rows of one id with unlike texts one each."""
+    passage = " ".join(f"m{i}" for i in range(12))
+    rows = [(1, passage), (1, passage), (2, "clean words"), (2, passage + " x"), (None, None)]
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit) for r in dc.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(9, passage)], "item_id long, text string")).collect())
+    assert got == [("1", 12, 12), ("2", 2, 0), ("2", 13, 12), ("None", 0, 0)]

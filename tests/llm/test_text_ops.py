@@ -337,6 +337,50 @@ def test_quality(spark, sf_dir):
     assert quality_rules.score_quality(odd.limit(0), labels).count() == 0
 
 
+def test_held_out_rows_follow_crc32(spark, sf_dir):
+    """Held-out rows by zlib's crc32 of the id as text; scores are bounded and answers follow them; odd rows are answered."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for r in QUERIES["op5_rule_ensemble"](spark, sf_dir).collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+    langs = {r.lang for r in docs.select("lang").distinct().collect()}
+    for r in QUERIES["op8_language_id"](spark, sf_dir).collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.lang_pred in langs | {"und"}
+    rows = spark.createDataFrame([(None, "some text", "clash"), (7, None, "clash"), (7, None, "clash"), (8, "", None)], "doc_id long, text string, score string")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    assert sorted(str(r.doc_id) for r in quality_rules.score_quality(rows, labels).collect()) == ["7", "7", "8", "None"]
+    assert sorted((str(r.doc_id), r.spans) for r in pii.find_pii(rows).collect()) == [("7", ""), ("7", ""), ("8", ""), ("None", "")]
+
+
+def test_language_scores_equal_plain_arithmetic():
+    """Score and language of a text by dictionaries and loops, from the model's weights."""
+    import math
+
+    r = random.Random(3)
+    rows = [("".join(r.choice(a) for _ in range(80)), lang) for lang, a in (("aa", "abcd e"), ("bb", "fghi j")) for _ in range(40)]
+    model = lang_id.fit(rows)
+
+    def bucket(gram):
+        h = 0
+        for c in gram:
+            h = h * 0x110000 + ord(c)
+        h = (h + (len(gram) << 62)) * 0x9E3779B97F4A7C15 % 2**64
+        return ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % 2**64) >> 49
+
+    for text in ("ab cd fg", "jj, hello 12 ab!", "a", "".join(r.choice("abcdfg \n.") for _ in range(250_000))):
+        plain = re.sub(r"[^a-z]+", " ", text.lower())
+        counts = {}
+        for n in (1, 2, 3):
+            for i in range(len(plain) - n + 1):
+                if (b := bucket(plain[i : i + n])) is not None:
+                    counts[b] = counts.get(b, 0) + 1
+        x = {b: (1 + math.log(c)) * model.idf[b] for b, c in counts.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        z = [(sum(v / norm * float(model.weights[b, k]) for b, v in x.items()) + model.bias[k]) / model.temperature for k in range(2)]
+        p = [math.exp(v - max(z)) for v in z]
+        lang, score = model.predict(text)
+        assert lang == model.langs[p.index(max(p))] and abs(score - max(p) / sum(p)) < 1e-6
+
+
 def test_rules_equal_columns(spark):
     """The compiled column gives what the rules give in numpy."""
     r = np.random.default_rng(1)
@@ -387,6 +431,23 @@ def test_pipeline(spark, sf_dir):
     assert all(table.decode(np.frombuffer(bytes(r.ids), table.dtype)) == left[r.doc_id] for r in rows)
 
 
+def test_pipeline_odd_rows(spark):
+    """Every stage on empty tables, null columns and repeated rows; columns stay those of documents."""
+    import corpus_pipeline
+    from abaculus.llm import decontaminate, exact_dedup, minhash
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, comp long"
+    rows = [(i, f"common words of text number {i} " * 3, "en", None, None, 1.0, 2) for i in range(30)] + [(1, "common words of text number 1 " * 3, "en", None, None, None, None), (None, "no id at all here", None, None, None, None, None), (40, None, None, None, None, None, None), (41, "", None, None, None, None, None)]
+    items = spark.createDataFrame([(1, "some benchmark text that no document has at all, not one of them")], "item_id long, text string")
+    for df in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        stages = [lang_id.keep_known, exact_dedup.keep_one, minhash.keep_representatives, lambda d: decontaminate.keep_clean(d, items)]
+        for stage in stages:
+            assert stage(df).columns == df.columns
+            assert stage(df).count() <= df.count()
+        assert sps.encode(df).count() == df.count()
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "minhash_near_dedup", "benchmark_decontamination", "sentencepiece_encoding"]
+
+
 def test_rare_language_and_whole_counts(spark):
     """A language with one in some hundred rows is learned; copies don't fill the sample; every row outside the hold counts."""
     r = random.Random(6)
