@@ -52,6 +52,18 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
+def merged(ws: Workspace, labels: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """``labels`` (node, comp) after further edges (a, b): only the components that these connect are worked on."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+    joined = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
+    between = ws.write(joined.where("a <> b").distinct(), f"{name}-between")
+    if between.isEmpty():
+        return labels
+    moves = components(ws, between, name)
+    moved = labels.join(moves.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return ws.write(moved.union(moves.join(labels, "node", "left_anti").select("node", "comp")), f"{name}-merged")
+
+
 def shared_buckets(ws: Workspace, members: DataFrame) -> DataFrame:
     """(place, bucket, node, size) of the (node, place, bucket) whose bucket holds two nodes or more."""
     counts = members.groupBy("place", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -110,8 +122,8 @@ def group(
             done = done.union(found.select("a", "b", "linked"))
         else:
             found = done = verify(stars.union(pairs).distinct(), f"round-{step}")
-        if not step or not found.where("linked").isEmpty():
-            labels = components(ws, done.where("linked"), f"comps-{step}")
+        linked = found.where("linked").select("a", "b")
+        labels = merged(ws, labels, linked, f"comps-{step}") if step else components(ws, linked, f"comps-{step}")
         used = centres.select(F.col("bucket_b").alias("bucket"), F.col("place_b").alias("place"), F.col("b").alias("node"))
         left = many.join(used, ["place", "bucket", "node"], "left_anti").drop("comp")
         left = left.join(labels, "node", "left").select("place", "bucket", "node", "sketch", F.coalesce("comp", "node").alias("comp"), "n", "own")
