@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -192,11 +193,17 @@ class Redactor:
         if not found:
             return base, []
         p = self.probability(np.array([features(text, a, b, g) for _, a, b, g in found]))
-        taken, added = sorted((a, b) for _, a, b in base), []
+        starts, ends, added = [], [], []  # what is taken, as disjoint spans in order
+        for a, b in sorted((a, b) for _, a, b in base):
+            if ends and a < ends[-1]:
+                ends[-1] = max(b, ends[-1])
+            else:
+                starts.append(a), ends.append(b)
         for i in np.argsort(-p, kind="stable"):
             kind, a, b, _ = found[i]
-            if p[i] >= self.thresholds.get(kind, 2.0) and all(b <= s or e <= a for s, e in taken):
-                taken.append((a, b))
+            at = bisect_right(ends, a)  # the first taken span that ends behind the beginning
+            if p[i] >= self.thresholds.get(kind, 2.0) and (at == len(starts) or b <= starts[at]):
+                starts.insert(at, a), ends.insert(at, b)
                 added.append((kind, a, b))
         return base, added
 
