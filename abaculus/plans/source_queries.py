@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abaculus.adapters import LEDGER_SQL, ledger, read
-from abaculus.functions import masks
+from abaculus.functions import accounts, amounts, masks
 from abaculus.operators import attachments, impact, knowledge
 from abaculus.plans.ledger_queries import QUERIES, SQL, register
 from abaculus.sources import cells, files, statements
@@ -200,6 +200,20 @@ def _(df):
     return knowledge.merged_results(knowledge.search(df, ISSUES), knowledge.keyword_search(df, ISSUES), "msg")
 
 
+@register("f2_numeric_texts", """with v as (select event_id, case event_id % 7 when 0 then ' -'||event_id||' ' when 1 then event_id||',000' when 2 then 'TRUE' when 3 then event_id||'e3' when 4 then '' when 5 then event_type else '.'||event_id end as v from events)
+select event_id, coalesce(lower(trim(v)) in ('true', 'false') or (try_cast(trim(v) as double) is not null and not contains(v, ',')), false) as is_numeric, case when contains(v, ',') then null else try_cast(trim(v) as double) end as number from v""", lambda s, d: read(s, d, "events"))
+def _(df):
+    key, k = F.col("event_id").cast("string"), F.col("event_id") % 7
+    texts = [F.concat(F.lit(" -"), key, F.lit(" ")), F.concat(key, F.lit(",000")), F.lit("TRUE"), F.concat(key, F.lit("e3")), F.lit(""), F.col("event_type"), F.concat(F.lit("."), key)]
+    value = F.element_at(F.array(*texts), (k + 1).cast("int"))
+    return df.select("event_id", amounts.is_numeric(value).alias("is_numeric"), amounts.to_float(value).alias("number"))
+
+
+@register("f6_unique_ids", "select event_id, strftime(cast(ts as timestamp), '%Y%m%d%H%M%S%f')||md5(event_id||'|'||event_type) as uid from events", lambda s, d: read(s, d, "events"))
+def _(df):
+    return df.select("event_id", accounts.unique_id(F.col("ts").cast("timestamp"), F.col("event_id"), F.col("event_type")).alias("uid"))
+
+
 CARDS = [
     statements.Card("debit", ("debit", "借记"), ("日期", "金额", "余额")),
     statements.Card("credit", ("credit", "bill"), ("日期", "金额", "商户", "分期")),
