@@ -46,6 +46,28 @@ def statement_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.unionByName(head)
 
 
+def nation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of one CSV file per region, with the region in its folder's name, and a file of another kind; scanned."""
+    folder = shared_folder(spark, "files")
+    nations = read(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", "n_name").repartition("n_regionkey").sortWithinPartitions("n_nationkey")
+    nations.write.partitionBy("n_regionkey").option("header", "true").option("sep", ";").csv(folder)
+    nations.select(F.col("n_name").alias("value")).coalesce(1).write.text(f"{folder}/notes")
+    return files.with_format(files.scan(spark, folder)).withColumn("region", F.regexp_extract("path", "n_regionkey=([0-9]+)", 1).cast("int"))
+
+
+@register("s1_scanned_files", "select n_regionkey as region, 'csv' as format, count(distinct n_regionkey) as n from nation group by all", nation_files)
+def _(df):
+    return df.groupBy("region", "format").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("s5_csv_cells", """with r as (select n_regionkey as region, n_nationkey, n_name, row_number() over (partition by n_regionkey order by n_nationkey) + 1 as row from nation)
+select region, cast(row as integer) as row, 1 as col, cast(n_nationkey as varchar) as value from r union all select region, cast(row as integer), 2, n_name from r
+union all select distinct n_regionkey, 1, 1, 'n_nationkey' from nation union all select distinct n_regionkey, 1, 2, 'n_name' from nation""", nation_files)
+def _(df):
+    regions = df.select(F.col("path").alias("file"), "region")
+    return cells.read_cells(df).join(regions, "file").select("region", "row", "col", "value")
+
+
 RULE = statements.BankRule("any", (1, 2), 3, {"trade_date": 1, "payment": 2, "receipt": 3, "counterparty": 4, "summary": 5, "txn_id": 6}, expected_headers={"trade_date": ["交易日期"], "payment": ["付款"], "receipt": ["收入金额", "收款"]})
 
 
