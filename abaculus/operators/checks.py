@@ -47,6 +47,14 @@ def busy_days(df: DataFrame, threshold: int | None) -> DataFrame:
     return days.where(F.col("n") >= limit if limit > 0 else F.lit(False)).select(F.lit("high_frequency").alias("risk_type"), _level(F.col("n") / F.lit(float(limit or 1)), 3, 1.5).alias("risk_level"), "trade_date", "n", "amount", "bank", "txn_ids")
 
 
+def busy_day_rows(df: DataFrame, threshold: int | None) -> DataFrame:
+    """The rows of busy dates, one by one: for dates with too many rows for a list (A2)."""
+    limit = threshold or 0
+    counts = df.where("trade_date is not null").groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"))
+    days = counts.where(F.col("n") >= limit if limit > 0 else F.lit(False)).select("trade_date", _level(F.col("n") / F.lit(float(limit or 1)), 3, 1.5).alias("risk_level"))
+    return df.join(days, "trade_date").select(F.lit("high_frequency").alias("risk_type"), "risk_level", "trade_date", "txn_uid", "txn_id")
+
+
 @dataclass
 class FrequencyRule:
     name: str

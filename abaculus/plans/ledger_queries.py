@@ -578,6 +578,12 @@ def _(df):
     return checks.busy_days(df, 5).withColumn("txn_ids", F.array_join("txn_ids", ","))
 
 
+@register("a2_busy_day_rows", f"""{L}, d as (select trade_date, case when count(*) >= 15 then 'high' when count(*) >= 7.5 then 'medium' else 'low' end as risk_level from ledger group by trade_date having count(*) >= 5)
+select 'high_frequency' as risk_type, risk_level, trade_date, txn_uid, txn_id from ledger join d using (trade_date)""")
+def _(df):
+    return checks.busy_day_rows(df, 5)
+
+
 def event_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.select(F.col("event_id").cast("string").alias("txn_uid"), F.col("user_id").cast("string").alias("counterparty"), F.col("ts").cast("date").alias("trade_date"), F.lit(None).cast("decimal(20,2)").alias("payment"), F.abs(F.round("value", 2)).cast("decimal(20,2)").alias("receipt"))
