@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from abaculus.llm import line_dedup, pii, sentencepiece_sampling, token_files, warc_zip
 from abaculus.llm.decontaminate import decontaminate
 from abaculus.llm.exact_dedup import exact_dedup
+from abaculus.llm.hard_negatives import hard_negatives
 from abaculus.llm.lang_id import language_id
 from abaculus.llm.minhash import near_duplicates
 from abaculus.llm.quality_rules import score_quality
+from abaculus.llm.resampling import resample
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +59,15 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return hard_negatives(embeddings.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -69,6 +81,8 @@ QUERIES = {
         op8_language_id,
         op9_exact_dedup,
         op10_winnowing,
+        op11_hard_negatives,
+        op13_importance_resampling,
     )
 }
 
@@ -107,4 +121,32 @@ it as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct ca
 select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
        coalesce(n_hit, 0) > 0 as contaminated
 from d left join hit using (doc_id) left join it using (doc_id)""",
+    "op11_hard_negatives": """
+with e as (select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q
+      from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.id as anchor_id, r.id, a.label = r.label as same, list_inner_product(a.q, r.q)::bigint as score from e a join e r on a.id % 50 = 0 and a.id <> r.id),
+p as (select anchor_id, id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+n as (select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, id) as rank, id as negative_id, positive_score, score as negative_score
+      from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 3""",
+    "op13_importance_resampling": rf"""
+with t8 as materialized (select list(c order by i) as tab from (
+        select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+        from (select unnest(range(256)) as i))),
+w as (select 'd' as side, doc_id as id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+      union all select 'b', item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+f as (select side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1]))) as f from w),
+c as (select side, id, f, count(*) as n from f group by all),
+x as materialized (select f, hex(encode(f)) as h from (select distinct f from c)),
+k as materialized (select f, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(h), 2), lambda i: ('0x' || h[i:i+1])::bigint)),
+        lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])), 4294967295) % 10000 as bucket from x, t8),
+n as (select bucket, sum(n) filter (side = 'b') as t, sum(n) filter (side = 'd') as s from c join k using (f) group by bucket),
+g as (select b.bucket, floor(1000 * ln((coalesce(t, 0)::double + 1) * (sum(s) over ()::double + 10000) / ((coalesce(s, 0)::double + 1) * (sum(t) over ()::double + 10000))))::bigint as gain
+      from (select unnest(range(10000)) as bucket) b left join n on n.bucket = b.bucket),
+d as (select id, sum(n)::bigint as n_features, floor(sum(n * gain)::double / sum(n))::bigint as weight from c join k using (f) join g using (bucket) where side = 'd' group by id),
+s as (select doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+      coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || doc_id)[1:8])::bigint::double + 0.5) / 4294967296)))::bigint as score
+      from documents left join d on id = doc_id),
+r as (select doc_id, row_number() over (order by score desc, doc_id) as r, count(*) over () as n from s where n_features >= 39)
+select doc_id, n_features, weight, score, case when r <= n * 25 // 100 then r end as rank from s left join r using (doc_id)""",
 }
