@@ -136,15 +136,16 @@ n as (select anchor_id, positive_id, row_number() over (partition by anchor_id,
       from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
 select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 3""",
     "op12_suffix_merge": """
-with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-w as (select doc_id, i, h[2 * i + 1:2 * i + 100] as w from (select doc_id, h, unnest(range(0, len(h) // 2 - 49)) as i from d)),
+with d as (select doc_id, encode(coalesce(text, '')) as b from documents),
+w as (select doc_id, i, b[i + 1:i + 50] as w from (select doc_id, b, unnest(range(0, octet_length(b) - 49)) as i from d)),
 f as (select w, min(doc_id) as first_id from w group by w having min(doc_id) < max(doc_id)),
 c as (select doc_id, i, coalesce(i > lag(i) over (partition by doc_id order by i) + 50, true) as new from w join f using (w) where doc_id > first_id),
 g as (select doc_id, i, count_if(new) over (partition by doc_id order by i) as n from c),
 r as (select doc_id, min(i) as lo, max(i) + 50 as hi from g group by doc_id, n),
-k as (select doc_id, lo, hi, h[2 * coalesce(lag(hi) over (partition by doc_id order by lo), 0) + 1:2 * lo] as piece from r join d using (doc_id)),
+k as (select doc_id, lo, hi, hex(b[coalesce(lag(hi) over (partition by doc_id order by lo), 0) + 1:lo]) as piece from r join d using (doc_id)),
 a as (select doc_id, sum(hi - lo)::bigint as n_removed, count(*) as n_spans, string_agg(piece, '' order by lo) as head, max(hi) as z from k group by doc_id)
-select doc_id, len(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(head, '') || h[2 * coalesce(z, 0) + 1:])) as kept_sha256
+select doc_id, octet_length(b) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+       sha256(unhex(coalesce(head, '') || coalesce(hex(b[coalesce(z, 0) + 1:octet_length(b)]), ''))) as kept_sha256
 from d left join a using (doc_id)""",
     "op13_importance_resampling": rf"""
 with t8 as materialized (select list(c order by i) as tab from (
