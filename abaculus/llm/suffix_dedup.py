@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,7 +146,7 @@ def _classes(parts: int, rows: Iterator[tuple[bytes, int, int, int, int, int, in
     held: dict[tuple, list] = {}
     for content, ahead, lo, hi, doc, mark, pos in rows:
         held.setdefault((content, ahead, lo, hi), []).append({"doc_id": doc, "mark": mark, "pos": pos})
-    out = [_empty(part=m[0]["pos"] % parts, kind="class", content=k[0], ahead=k[1], o_lo=k[2], o_hi=k[3], members=m) for k, m in held.items()]
+    out = [_empty(part=zlib.crc32(k[0]) % parts, kind="class", content=k[0], ahead=k[1], o_lo=k[2], o_hi=k[3], members=m) for k, m in held.items()]
     for at in range(0, len(out), 2048):
         yield pa.RecordBatch.from_pylist(out[at : at + 2048], _FOUND)
 
