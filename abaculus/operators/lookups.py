@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from abaculus.functions.accounts import account_key, normalize_account
-from abaculus.functions.texts import similarity
+from abaculus.operators.sizes import broadcast_if_small
 
-#: A lookup is broadcast while its counted rows stay below this bound; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+#: Accounts in a block of the fuzzy lookup; a tile compares two blocks.
+BLOCK = 256
 
 
 def best_entries(lookup: DataFrame) -> DataFrame:
@@ -26,17 +22,22 @@ def resolve(df: DataFrame, lookup: DataFrame, extras: tuple[str, ...] = ()) -> D
     """``df`` with the lookup's subject of its account (null if none) and extra fields as columns."""
     entries = best_entries(lookup).select("account_key", F.col("subject").alias("found_subject"), *[F.element_at("extra", F.lit(e)).alias(e) for e in extras])
     keyed = df.withColumn("account_key", account_key(F.col("account")))
-    return keyed.join(_small(entries), "account_key", "left")
+    return keyed.join(broadcast_if_small(entries), "account_key", "left")
+
 
+def _blocks(df: DataFrame, length: str, sizes: DataFrame) -> DataFrame:
+    """Rows of ``df`` packed by length: (length, block, items), of about BLOCK items each."""
+    placed = df.join(F.broadcast(sizes), length).withColumn("block", F.pmod(F.xxhash64(df.columns[0]), F.col("blocks")).cast("int"))
+    return placed.groupBy(length, "block").agg(F.collect_list(F.struct(*[c for c in df.columns if c != length])).alias("items"))
 
-def fuzzy_accounts(accounts: DataFrame, lookup: DataFrame, threshold: float = 0.6, nested_rows: int = 0) -> DataFrame:
+
+def fuzzy_accounts(accounts: DataFrame, lookup: DataFrame, threshold: float = 0.6) -> DataFrame:
     """The most similar lookup account of each distinct unmatched account, where similar enough.
 
-    One way for all sizes, exact for all lengths and thresholds. The lengths of a pair give the edits it may
-    have; of that many segments and one more of the lookup account, one stands unchanged in the account, at a place
-    that the edits before and after it allow. So the two meet on both lengths and a segment.
-    Where the edits reach the lookup account's length, they meet on the lengths alone.
-    ``nested_rows`` has no effect; callers may still give it.
+    Edits may change two fifths of an account, so no part of it is selective. Both sides are packed into blocks of
+    accounts of one length, and a tile holds a block of either side, for the lengths that can be near enough. A tile is one
+    row: inside it the edit distance is taken with the bound that the lengths give (so most comparisons end early), and
+    only an account's best candidate of the tile leaves it. What is shuffled are tiles and bests, never pairs.
     """
     left = accounts.select(normalize_account(F.col("account")).alias("account")).where("account <> ''").distinct()
     keyed = left.withColumn("account_key", account_key(F.col("account")))
@@ -44,26 +45,23 @@ def fuzzy_accounts(accounts: DataFrame, lookup: DataFrame, threshold: float = 0.
     right = lookup.groupBy(normalize_account(F.col("account")).alias("candidate")).agg(F.min("row_id").alias("row_id")).where("candidate <> ''")
     right = right.withColumn("lb", F.length("candidate"))
     edits = F.floor(F.greatest("la", "lb") * (1 - threshold) + 1e-6).cast("int")
-    near = F.abs(F.col("la") - F.col("lb")) <= edits
-
-    def segments(df: DataFrame, other: DataFrame) -> DataFrame:
-        """Rows by length of the other side and segment (number, first place from 0, length)."""
-        own = df.join(F.broadcast(other), near).withColumn("k", edits)  # the distinct lengths of the other side
-        own = own.withColumn("i", F.explode(F.sequence(F.lit(0), F.when(F.col("lb") > F.col("k"), F.col("k")).otherwise(0))))
-        place = lambda i: F.when(F.col("lb") > F.col("k"), F.floor(i * F.col("lb") / (F.col("k") + 1)).cast("int")).otherwise(0)
-        return own.withColumns({"at": place(F.col("i")), "size": place(F.col("i") + 1) - place(F.col("i"))})
-
-    b = segments(right, left.select("la").distinct()).select("candidate", "row_id", "la", "lb", "i", F.substring("candidate", F.col("at") + 1, F.col("size")).alias("part"))
-    a, longer = segments(left, right.select("lb").distinct()), F.col("la") - F.col("lb")
-    whole, rest = F.col("size") == 0, F.col("k") - F.col("i")
-    first = F.greatest(F.lit(0), F.col("at") - F.col("i"), F.col("at") + longer - rest)
-    last = F.least(F.col("la") - F.col("size"), F.col("at") + F.col("i"), F.col("at") + longer + rest)
-    places = F.when(whole, F.array(F.lit(0))).when(first <= last, F.sequence(first, last))
-    a = a.withColumn("place", F.explode(places)).select("account", "la", "lb", "i", F.substring("account", F.col("place") + 1, F.col("size")).alias("part"))
-    pairs = a.join(b, ["la", "lb", "i", "part"]).select("account", "candidate", "row_id").distinct()
-    scored = pairs.withColumn("score", F.round(similarity(F.col("account"), F.col("candidate")), 6)).where(F.col("score") >= threshold)
-    best = F.min_by(F.struct("candidate", "score"), F.struct((-F.col("score")).alias("s"), "row_id"))
-    return scored.groupBy("account").agg(best.alias("best")).select("account", "best.candidate", "best.score")
+
+    sizes = lambda df, c: df.groupBy(c).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))  # noqa: E731  a row per length
+    of_left, of_right = sizes(left, "la"), sizes(right, "lb")
+    near = F.broadcast(of_left.withColumnRenamed("blocks", "left_blocks").join(F.broadcast(of_right.withColumnRenamed("blocks", "right_blocks")), F.abs(F.col("la") - F.col("lb")) <= edits))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    a = _blocks(left, "la", of_left).join(near, "la").select("la", "lb", F.col("block").alias("i"), upto("right_blocks").alias("j"), F.col("items").alias("ours"))
+    b = _blocks(right, "lb", of_right).join(near, "lb").select("la", "lb", upto("left_blocks").alias("i"), F.col("block").alias("j"), F.col("items").alias("theirs"))
+    tiles = a.join(b, ["la", "lb", "i", "j"]).withColumn("k", edits)
+
+    def best(x: Column) -> Column:
+        distances = F.transform("theirs", lambda y: F.struct(F.call_function("levenshtein", x["account"], y["candidate"], F.col("k")).alias("d"), y["row_id"].alias("row_id"), y["candidate"].alias("candidate")))
+        return F.struct(x["account"].alias("account"), F.array_min(F.filter(distances, lambda e: e["d"] >= 0)).alias("best"))
+
+    found = tiles.select("la", "lb", F.explode(F.transform("ours", best)).alias("f")).where("f.best is not null")
+    scored = found.select("f.account", "f.best.candidate", "f.best.row_id", F.round(1 - F.col("f.best.d") / F.greatest("la", "lb"), 6).alias("score")).where(F.col("score") >= threshold)
+    first = F.min_by(F.struct("candidate", "score"), F.struct((-F.col("score")).alias("s"), "row_id"))
+    return scored.groupBy("account").agg(first.alias("first")).select("account", "first.candidate", "first.score")
 
 
 def add_entries(lookup: DataFrame, new: DataFrame) -> DataFrame:

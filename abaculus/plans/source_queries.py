@@ -12,7 +12,7 @@ from abaculus.adapters import LEDGER_SQL, ledger, read
 from abaculus.functions import accounts, amounts, masks
 from abaculus.operators import attachments, impact, knowledge
 from abaculus.plans.ledger_queries import QUERIES, SQL, register
-from abaculus.sources import cells, files, statements
+from abaculus.sources import cells, files, statements, workbooks
 from abaculus.streaming import ingest
 
 L = LEDGER_SQL
@@ -68,6 +68,13 @@ def _(df):
     return cells.read_cells(df).join(regions, "file").select("region", "row", "col", "value")
 
 
+def ledger_workbooks(spark: SparkSession, sf_dir: str, **asked) -> DataFrame:
+    """The statement sheets as a folder of workbooks, written by tasks and read again by row ranges."""
+    folder = shared_folder(spark, "workbooks")
+    workbooks.write_cells(statement_cells(spark, sf_dir), folder)
+    return workbooks.read_workbooks(spark, folder, rows=500, **asked)
+
+
 RULE = statements.BankRule("any", (1, 2), 3, {"trade_date": 1, "payment": 2, "receipt": 3, "counterparty": 4, "summary": 5, "txn_id": 6}, expected_headers={"trade_date": ["交易日期"], "payment": ["付款"], "receipt": ["收入金额", "收款"]})
 
 
@@ -76,6 +83,33 @@ def _(df):
     return statements.extract(df, RULE).select("txn_id", "account", "trade_date", "payment", "receipt", "counterparty", "summary")
 
 
+@register("s4_workbook_rows", f"{L} select txn_id, account, trade_date, payment, receipt, counterparty, summary from ledger", ledger_workbooks)
+def _(df):
+    return statements.extract(df, RULE).select("txn_id", "account", "trade_date", "payment", "receipt", "counterparty", "summary")
+
+
+@register("s6_row_ranges", f"""{L}, r as (select bank, account, row_number() over (partition by bank, account order by trade_date, txn_uid) + 2 as row, strftime(trade_date, '%Y/%m/%d') as day, txn_id from ledger)
+select account as sheet, cast(row as integer) as row, 1 as col, day as value from r where row between 11 and 40 union all select account, cast(row as integer), 6, txn_id from r where row between 11 and 40""", lambda s, d: ledger_workbooks(s, d, first_row=11, last_row=40, columns=[1, 6]))
+def _(df):
+    return df.select("sheet", "row", "col", "value")
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, folder = ledger(spark, sf_dir), shared_folder(spark, "report")
+    banks = df.groupBy("bank").agg(F.count(F.lit(1)).alias("n"), F.sum("receipt").alias("received"))
+    years = df.groupBy(F.year("trade_date").alias("year")).agg(F.count_distinct("account").alias("accounts"))
+    workbooks.write_report({"banks": (banks, [F.col("bank")]), "years": (years, [F.col("year")])}, folder, "report")
+    return workbooks.read_workbooks(spark, folder).select("sheet", "row", "col", "value")
+
+
+QUERIES["k10_report_sheets"] = _report
+SQL["k10_report_sheets"] = f"""{L}, b as (select row_number() over (order by bank) + 1 as row, * from (select bank, count(*) as n, sum(receipt) as received from ledger group by bank)),
+y as (select row_number() over (order by year) + 1 as row, * from (select year(trade_date) as year, count(distinct account) as accounts from ledger group by 1)),
+c as (select 'banks' as sheet, row, unnest([1, 2, 3]) as col, unnest([bank, n::varchar, received::varchar]) as value from b union all select 'years', row, unnest([1, 2]), unnest([year::varchar, accounts::varchar]) from y
+union all select 'banks', 1, unnest([1, 2, 3]), unnest(['bank', 'n', 'received']) union all select 'years', 1, unnest([1, 2]), unnest(['year', 'accounts']))
+select sheet, row::int as row, col, value from c where value is not null"""
+
+
 @register("s9_account_blocks", f"{L}, n as (select bank as file, account, count(*) as n from ledger group by all) select file, account, 2 as header_row, 3 as data_start_row, n + 2 as data_end_row from n", statement_cells)
 def _(df):
     return statements.account_blocks(df).select("file", "account", "header_row", "data_start_row", "data_end_row")

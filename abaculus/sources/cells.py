@@ -1,14 +1,14 @@
-"""Spreadsheets as cells: (file, sheet, row, col, value), decoded by tasks."""
+"""Files that Spark has read, as cells (file, sheet, row, col, value), decoded by tasks.
+
+Workbooks that need no other reader are better read by ``workbooks``, which opens them by range.
+"""
 
 from __future__ import annotations
 
 import csv
 import io
-import re
-import zipfile
 from collections.abc import Iterator
-from datetime import datetime, timedelta
-from xml.etree import ElementTree
+from itertools import batched
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,47 +16,16 @@ from pyspark.sql import functions as F
 
 from abaculus.schema import CELLS
 from abaculus.session import ship_package
-
-MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-DATE_FORMATS = frozenset(range(14, 23)) | frozenset((27, 30, 36, 45, 46, 47, 50, 57))
-
-
-def _number(letters: str) -> int:
-    n = 0
-    for c in letters:
-        n = n * 26 + ord(c) - 64
-    return n
-
+from abaculus.sources.workbooks import Workbook, texts
 
 def xlsx_cells(content: bytes) -> Iterator[tuple[str, int, int, str]]:
     """Non-empty cells of all sheets as text; numbers in date formats become dates."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names, strings, dates = set(z.namelist()), [], []
-        if "xl/sharedStrings.xml" in names:
-            strings = ["".join(t.text or "" for t in s.iter(f"{MAIN}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-        if "xl/styles.xml" in names:
-            styles = ElementTree.fromstring(z.read("xl/styles.xml"))
-            own = {f.get("numFmtId") for f in styles.iter(f"{MAIN}numFmt") if re.search("[ymd]", f.get("formatCode", ""), re.I)}
-            dates = [x.get("numFmtId") in own or int(x.get("numFmtId", 0)) in DATE_FORMATS for x in styles.iterfind(f"{MAIN}cellXfs/{MAIN}xf")]
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{MAIN}sheet"):
-            target = targets[sheet.get(LINK)]
-            path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-            for _, c in ElementTree.iterparse(z.open(path)):
-                if c.tag != f"{MAIN}c":
-                    continue
-                m = re.match(r"([A-Z]+)(\d+)", c.get("r", "A1"))
-                value, kind = c.findtext(f"{MAIN}v"), c.get("t")
-                if kind == "inlineStr":
-                    value = "".join(t.text or "" for t in c.iter(f"{MAIN}t"))
-                elif kind == "s" and value is not None:
-                    value = strings[int(value)]
-                elif kind in (None, "n") and value and dates and dates[int(c.get("s", 0))]:
-                    value = (datetime(1899, 12, 30) + timedelta(days=float(value))).isoformat(" ", "seconds").removesuffix(" 00:00:00")
-                if value not in (None, ""):
-                    yield sheet.get("name"), int(m[2]), _number(m[1]), value
-                c.clear()
+    book = Workbook(io.BytesIO(content))
+    dates = book.date_styles()
+    for sheet, member, _ in book.sheets():
+        numbers = {int(value) for _, cells in book.rows(member) for _, value, kind, _ in cells if kind == "s"}
+        for cell in texts(book.rows(member), book.shared_texts(numbers), dates):
+            yield sheet, *cell
 
 
 def csv_cells(content: bytes) -> Iterator[tuple[str, int, int, str]]:
@@ -84,8 +53,8 @@ def read_cells(files: DataFrame) -> DataFrame:
         for batch in batches:
             for path, content, kind in zip(batch["path"], batch["content"], batch["format"]):
                 read = {"xlsx": xlsx_cells, "xlsm": xlsx_cells, "csv": csv_cells}.get(kind)
-                if read:
-                    yield pd.DataFrame([(path, *cell) for cell in read(bytes(content))], columns=["file", "sheet", "row", "col", "value"])
+                for some in batched(read(bytes(content)), 10_000) if read else ():
+                    yield pd.DataFrame([(path, *cell) for cell in some], columns=["file", "sheet", "row", "col", "value"])
 
     return files.select("path", "content", "format").mapInPandas(run, CELLS)
 

@@ -96,15 +96,14 @@ def test_lookup(spark):
     assert lookups.delete_entries(look, look.where("account_key = '9'")).count() == 2
 
 
-@pytest.mark.parametrize("nested_rows", [1000, 0])
-def test_fuzzy_equals_brute_force(spark, nested_rows):
+def test_fuzzy_equals_brute_force(spark):
     import random
 
     random.seed(3)
     known = [f"{random.randrange(10**8):08d}" for _ in range(60)]
     typed = sorted({k[:i] + random.choice("0123456789") + k[i + random.choice((0, 1)) :] for k in known for i in (random.randrange(8),)} - {k.lstrip("0") for k in known})
     look = spark.createDataFrame([("S", k, k.lstrip("0"), 0, {}, i) for i, k in enumerate(known)], "subject string, account string, account_key string, priority int, extra map<string,string>, row_id long")
-    got = {r.account: (r.candidate, r.score) for r in lookups.fuzzy_accounts(spark.createDataFrame([(t,) for t in typed], "account string"), look, 0.75, nested_rows).collect()}
+    got = {r.account: (r.candidate, r.score) for r in lookups.fuzzy_accounts(spark.createDataFrame([(t,) for t in typed], "account string"), look, 0.75).collect()}
 
     def lev(a, b):
         d = list(range(len(b) + 1))
@@ -248,7 +247,7 @@ def test_personal_query_is_whole(spark):
 
 
 @pytest.mark.parametrize("threshold", [0.6, 0.8, 0.3])
-def test_fuzzy_one_way_for_all_sizes(spark, threshold):
+def test_fuzzy_one_way_for_all_sizes(spark, monkeypatch, threshold):
     """Short accounts that share no gram of two characters, against all pairs; a lookup of any size takes the same way."""
     r = random.Random(3)
     known = ["12345"] + ["".join(r.choice("123") for _ in range(r.randint(1, 12))) for _ in range(60)]
@@ -270,6 +269,7 @@ def test_fuzzy_one_way_for_all_sizes(spark, threshold):
         if -s >= threshold:
             want[t] = (c, -s)
     accounts = spark.createDataFrame([(t,) for t in typed], "account string")
-    for rows_ in (1000, 0):
-        got = {x.account: (x.candidate, x.score) for x in lookups.fuzzy_accounts(accounts, look, threshold, rows_).collect()}
+    for block in (lookups.BLOCK, 4):
+        monkeypatch.setattr(lookups, "BLOCK", block)
+        got = {x.account: (x.candidate, x.score) for x in lookups.fuzzy_accounts(accounts, look, threshold).collect()}
         assert got == want and (threshold > 0.6 or "1X3Y5" in got)
