@@ -206,9 +206,9 @@ class WorkbookReader(DataSourceReader):
                             free = self.size
                         out[-1].ranges.append((sheet, member, first, first + n - 1))
                         free -= n
-        except zipfile.BadZipFile:
+        except (zipfile.BadZipFile, pa.ArrowInvalid) as e:  # the latter: too short to hold a directory
             if not self.broken:
-                raise
+                raise zipfile.BadZipFile(f"{file} is no zip archive") from e
         return out
 
     def partitions(self) -> list[Ranges]:
