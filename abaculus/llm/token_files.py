@@ -4,7 +4,7 @@ A file is::
 
     magic (8 bytes), SHA-256 of the dictionary (32 bytes)
     one zstandard frame per document: its ids as little-endian unsigned 16-bit integers
-    index: per document id, first frame byte, frame bytes, ids (four little-endian 64-bit integers)
+    index: per document id, whether it has one (0: a null id), first frame byte, frame bytes, ids (five little-endian 64-bit integers)
     footer: first index byte, number of documents (two 64-bit integers), magic
 
 The dictionary is trained on the serialized ids of a bounded sample of documents
@@ -20,7 +20,7 @@ that holds a special token, is encoded whole.
 
 Defined results: null counts as empty, and an empty text is the end id alone;
 repeated ids are ordered by the hash of their text; rows with a null id come
-first; extra columns are ignored; an empty table makes no rows.
+first and are read back with a null id; extra columns are ignored; an empty table makes no rows.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from abaculus.llm.shared import Workspace, open_fs, prepare_workers, publish, smallest_hashes
 
-MAGIC = b"ABTOKEN1"
+MAGIC = b"ABTOKEN2"
 MODEL = "byte_bpe_50k.json"
 END_ID = 2
 #: Fixed value: the splitter of byte-level BPE vocabularies of this family, in this module's syntax.
@@ -180,18 +180,19 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
             out.write(MAGIC + digest)
             at = len(MAGIC) + len(digest)
             for batch in batches:
-                for doc_id, ids in zip(batch["doc_id"], serialized(batch["text"].tolist(), path, end_id)):
+                for doc_id, known, ids in zip(batch["doc_id"], batch["known"], serialized(batch["text"].tolist(), path, end_id)):
                     frame = compressor.compress(ids)
                     out.write(frame)
-                    index.append((-1 if pd.isna(doc_id) else int(doc_id), at, len(frame), len(ids) // 2))
+                    index.append((int(doc_id), int(known), at, len(frame), len(ids) // 2))
                     at += len(frame)
             out.write(np.array(index, "<i8").tobytes())
             out.write(struct.pack("<QQ", at, len(index)) + MAGIC)
 
         publish(uri, body, task.taskAttemptId())
-        yield pd.DataFrame({"shard": [task.partitionId()], "uri": [uri], "n_docs": [len(index)], "n_tokens": [sum(r[3] for r in index)]})
+        yield pd.DataFrame({"shard": [task.partitionId()], "uri": [uri], "n_docs": [len(index)], "n_tokens": [sum(r[4] for r in index)]})
 
     ordered = texts.withColumn("text", F.coalesce("text", F.lit(""))).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = ordered.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "text")  # pandas has no null integers
     return ordered.mapInPandas(run, "shard long, uri string, n_docs long, n_tokens long")
 
 
@@ -208,11 +209,11 @@ class TokenFile:
         head = self.file.read_at(40, 0)
         if magic != MAGIC or head[:8] != MAGIC or head[8:] != hashlib.sha256(dictionary).digest():
             raise ValueError(f"{uri}: not a token file of this dictionary")
-        self.index = np.frombuffer(self.file.read_at(size - 24 - at, at), "<i8").reshape(n, 4)
+        self.index = np.frombuffer(self.file.read_at(size - 24 - at, at), "<i8").reshape(n, 5)
         self._decompress = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary)).decompress
 
     def ids(self, place: int) -> np.ndarray:
-        _, at, length, _ = self.index[place].tolist()
+        _, _, at, length, _ = self.index[place].tolist()
         return np.frombuffer(self._decompress(self.file.read_at(length, at)), "<u2")
 
 
@@ -222,6 +223,10 @@ def read(spark: SparkSession, shards: DataFrame, folder: str, with_ids: bool = T
     ordered = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one small row per file
     based = shards.withColumn("base", F.coalesce(F.sum("n_tokens").over(ordered), F.lit(0)))
 
+    def frame(out: list) -> pd.DataFrame:
+        found = pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
+        return found.assign(doc_id=pd.array([r[0] for r in out], "Int64"))  # a float would round large ids beside a null
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, path = open_fs(f"{folder}/dictionary")
         with store.open_input_file(path) as f:
@@ -230,14 +235,14 @@ def read(spark: SparkSession, shards: DataFrame, folder: str, with_ids: bool = T
             for uri, start in zip(batch["uri"], batch["base"]):
                 tokens = TokenFile(uri, dictionary)
                 out, held = [], 0
-                for place, (doc_id, _, _, n) in enumerate(tokens.index.tolist()):
+                for place, (doc_id, known, *_) in enumerate(tokens.index.tolist()):
                     ids = tokens.ids(place)
-                    out.append((doc_id, start, len(ids), ids.tobytes() if with_ids else None, zlib.crc32(ids.astype("<u4").tobytes())))
+                    out.append((doc_id if known else None, start, len(ids), ids.tobytes() if with_ids else None, zlib.crc32(ids.astype("<u4").tobytes())))
                     start, held = start + len(ids), held + len(ids)
                     if len(out) == 500 or held >= 1 << 20:
-                        yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
+                        yield frame(out)
                         out, held = [], 0
-                yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
+                yield frame(out)
 
     parts = max(1, based.count())
     return based.where("n_docs > 0").repartition(parts, "shard").mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
