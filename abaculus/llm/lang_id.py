@@ -2,8 +2,9 @@
 
 Texts are lower-cased, every run of non-letters becomes one space, and grams of
 one to three characters are hashed to ``DIM`` buckets. Document frequencies cover
-every row not held out. The classifier is fitted on a sample bounded per language
-(``max_train_rows`` distinct texts of each, those with the smallest hashes) by
+every labelled row not held out. The classifier is fitted on a sample bounded per language
+(``max_train_rows`` distinct texts of each, those with the smallest hashes; tasks count their grams, and
+the driver gets the counts, at most ``DIM`` of a text, not the texts) by
 follow-the-regularised-leader with elastic-net penalties, which leaves most weights
 at zero; a slice of the sample that the fit does not see, every fifth row of a
 language, sets the temperature of the softmax. Every whole text is scored
@@ -91,13 +92,18 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, str]], counted: tuple[int, np.ndarray] | None = None, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, epochs: int = 3) -> LanguageModel:
-    """Fit on (text, lang) rows; every fifth row of a language is kept for the temperature only.
+def fit(rows: list[tuple[str, str]], **settings) -> LanguageModel:
+    """Fit on (text, lang) rows."""
+    return fit_counts([(gram_counts(text), lang) for text, lang in rows], **settings)
+
+
+def fit_counts(rows: list[tuple[tuple[np.ndarray, np.ndarray] | None, str]], counted: tuple[int, np.ndarray] | None = None, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, epochs: int = 3) -> LanguageModel:
+    """Fit on (gram counts, lang) rows; every fifth row of a language is kept for the temperature only.
 
     ``counted`` is the number of documents with letters and how many of them have each bucket (else those of the rows).
     """
     langs = sorted({lang for _, lang in rows})
-    seen = [(g, langs.index(lang)) for text, lang in rows if (g := gram_counts(text)) is not None]
+    seen = [(g, langs.index(lang)) for g, lang in rows if g is not None]
     if not seen:
         return LanguageModel([], np.zeros((DIM, 0)), np.zeros(0), np.zeros(DIM), 1.0)
     tuning, training = seen, seen
@@ -158,8 +164,15 @@ def document_counts(docs: DataFrame) -> tuple[int, np.ndarray]:
     return int(out[DIM]), out[:DIM]
 
 
-def training_rows(docs: DataFrame, rows: int) -> list[tuple[str, str]]:
-    """(text, lang) of up to ``rows`` distinct texts of every language, those with the smallest hashes.
+def _packed_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        grams = [gram_counts(t) for t in batch["text"]]
+        packed = [None if g is None else (g[0].astype("<u2").tobytes(), g[1].astype("<u4").tobytes()) for g in grams]
+        yield pd.DataFrame({"lang": batch["lang"], "hash": batch["_hash"], "at": [p and p[0] for p in packed], "counts": [p and p[1] for p in packed]})
+
+
+def training_rows(docs: DataFrame, rows: int) -> list[tuple[tuple[np.ndarray, np.ndarray] | None, str]]:
+    """(gram counts, lang) of up to ``rows`` distinct texts of every language, those with the smallest hashes.
 
     A cut on the hash, by each language's count, leaves about 1.25 times as many before they are ranked.
     """
@@ -169,14 +182,18 @@ def training_rows(docs: DataFrame, rows: int) -> list[tuple[str, str]]:
     hashed = hashed.join(broadcast_if_small(sizes), "lang").where((share > 0.6) | (F.col("_hash") < share * 2.0**64 - 2.0**63))
     distinct = hashed.groupBy("lang", "_hash").agg(F.first("text").alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_hash"))
-    return [(r["text"], r["lang"]) for r in distinct.withColumn("_rank", rank).where(F.col("_rank") <= rows).orderBy("_hash", "lang").collect()]
+    chosen = distinct.withColumn("_rank", rank).where(F.col("_rank") <= rows).select("lang", "_hash", "text")
+    prepare_workers(docs.sparkSession)
+    found = chosen.mapInPandas(_packed_counts, "lang string, hash long, at binary, counts binary").orderBy("hash", "lang").collect()
+    unpack = lambda r: None if r["at"] is None else (np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<u4").astype(np.int64))
+    return [(unpack(r), r["lang"]) for r in found]
 
 
 def train(docs: DataFrame, max_train_rows: int = 1000, hold: Column | None = None) -> LanguageModel:
-    """Fit on the labelled rows outside ``hold``, up to ``max_train_rows`` texts a language; count buckets in all rows outside it."""
-    seen = docs.where("text is not null").where(~(held_out() if hold is None else hold))
-    rows = training_rows(seen.where("lang is not null"), max_train_rows)
-    return fit(rows, document_counts(seen) if rows else None)
+    """Fit on the labelled rows outside ``hold``, up to ``max_train_rows`` texts a language; count buckets in all of them."""
+    seen = docs.where("text is not null and lang is not null").where(~(held_out() if hold is None else hold))
+    rows = training_rows(seen, max_train_rows)
+    return fit_counts(rows, document_counts(seen) if rows else None)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

@@ -82,6 +82,9 @@ def test_token_files(spark):
     assert token_files.round_trip(frame(spark, [])).count() == 0
     odd = spark.createDataFrame([(None, "x"), (3, "a"), (3, "a")], "doc_id long, text string")
     assert [x.start for x in token_files.round_trip(odd).orderBy("start").collect()] == [0, 2, 4]
+    ids = [(None, "x"), (-1, "y"), (2**60 + 1, "z"), (None, "w"), (3, None)]
+    back = token_files.round_trip(spark.createDataFrame(ids, "doc_id long, text string").coalesce(1)).orderBy("start").collect()
+    assert [x.doc_id for x in back] == [None, None, -1, 3, 2**60 + 1]
 
 
 def test_token_file_random_access(spark, tmp_path):
@@ -448,6 +451,46 @@ def test_pipeline_odd_rows(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "minhash_near_dedup", "benchmark_decontamination", "sentencepiece_encoding"]
 
 
+def test_fit_equals_plain_ftrl():
+    """The fit against follow-the-regularised-leader with one weight at a time, in dictionaries."""
+    import math
+    from collections import defaultdict
+
+    r = random.Random(8)
+    rows = [("".join(r.choice(a) for _ in range(30)), lang) for lang, a in (("aa", "abc "), ("bb", "bcd "), ("cc", "cde ")) for _ in range(7)]
+    r.shuffle(rows)
+    alpha, beta, l1, l2 = 0.4, 0.9, 0.03, 0.2
+    model = lang_id.fit(rows, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=2)
+    counts = [dict(zip(*(x.tolist() for x in lang_id.gram_counts(t)), strict=True)) for t, _ in rows]
+    df = defaultdict(int)
+    for c in counts:
+        for b in c:
+            df[b] += 1
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(key):
+        if abs(z[key]) <= l1:
+            return 0.0
+        return -(z[key] - math.copysign(l1, z[key])) / ((beta + math.sqrt(n[key])) / alpha + l2)
+
+    for _ in range(2):
+        for c, (_, lang) in zip(counts, rows, strict=True):
+            x = {b: (1 + math.log(k)) * (math.log((1 + len(rows)) / (1 + df[b])) + 1) for b, k in c.items()}
+            norm = math.sqrt(sum(v * v for v in x.values()))
+            x = {b: v / norm for b, v in x.items()} | {"bias": 1.0}
+            w = {(b, y): weight((b, y)) for b in x for y in range(3)}
+            e = [math.exp(sum(w[b, y] * v for b, v in x.items())) for y in range(3)]
+            for b, v in x.items():
+                for y in range(3):
+                    g = v * (e[y] / sum(e) - (model.langs[y] == lang))
+                    z[b, y] += g - (math.sqrt(n[b, y] + g * g) - math.sqrt(n[b, y])) / alpha * w[b, y]
+                    n[b, y] += g * g
+    for b in df:
+        assert np.allclose(model.weights[b], [weight((b, y)) for y in range(3)], atol=1e-6)
+    assert np.allclose(model.bias, [weight(("bias", y)) for y in range(3)])
+    assert (model.weights[sorted(df)] == 0).any() and (model.weights != 0).any()
+
+
 def test_rare_language_and_whole_counts(spark):
     """A language with one in some hundred rows is learned; copies don't fill the sample; every row outside the hold counts."""
     r = random.Random(6)
@@ -456,15 +499,19 @@ def test_rare_language_and_whole_counts(spark):
     docs += [(2000 + i, words("uvwxyz", 12), "zz") for i in range(6)] + [(3000, words("opqr", 9), None)]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     sample = lang_id.training_rows(df.where("lang is not null"), 20)
-    assert len(sample) == 26 and len(set(sample)) == 26 and sum(lang == "zz" for _, lang in sample) == 6
+    packed = {(g[0].tobytes(), g[1].tobytes()) for g, _ in sample}
+    assert len(sample) == 26 and len(packed) == 26 and sum(lang == "zz" for _, lang in sample) == 6
+    own = {(g[0].tobytes(), g[1].tobytes()) for g in (lang_id.gram_counts(text) for _, text, lang in docs if lang)}
+    assert packed <= own
     none = F.lit(False)
     model = lang_id.train(df, 20, none)
     assert model.langs == ["aa", "zz"] and model.predict(words("uvwxyz", 12))[0] == "zz"
-    n, counts = lang_id.document_counts(df)
+    n, counts = lang_id.document_counts(df.where("lang is not null"))
     want = np.zeros(lang_id.DIM)
-    for _, text, _ in docs:
-        want[lang_id.gram_counts(text)[0]] += 1
-    assert n == len(docs) and (counts == want).all()
+    for _, text, lang in docs:
+        if lang:
+            want[lang_id.gram_counts(text)[0]] += 1
+    assert n == len(docs) - 1 and (counts == want).all()
     assert np.allclose(model.idf, np.log((1 + n) / (1 + want)) + 1)
 
 
