@@ -46,8 +46,8 @@ from abaculus.llm.shared import Workspace, broadcast_if_small, prepare_workers
 
 MATCH, GRAM = 50, 16
 REACH = MATCH - GRAM  # the bytes of a window that can stand before its anchor
-SLICE, RUN_BYTES, PART_BYTES = 1 << 20, 3 << 20, 8 << 20
-RUN_ENTRIES, RANGE_ENTRIES = 1 << 17, 1 << 16
+SLICE, RUN_BYTES, PART_BYTES = 1 << 20, 2 << 20, 8 << 20
+RUN_ENTRIES, RANGE_ENTRIES = 1 << 16, 1 << 16
 #: Anchors with one gram in one batch of texts, and over all, beyond which their windows are folded by content.
 OFTEN, MOST = 64, 100_000
 SAMPLE = 64  # one gram in so many is sampled for the splitters
