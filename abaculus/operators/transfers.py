@@ -46,7 +46,7 @@ def internal_transfers(df: DataFrame, window_days: int = 7, tolerance: str = "0.
     Classes of equal legs meet instead of the legs. In each round the class pairs that are nearest for both
     sides settle: where one class is the only nearest of all those it is nearest to, their legs pair off by rank
     at once; else (ties across several classes) the first legs of the best class pair do. Either way
-    the pairs are those that going through all pairs in order would give. Rounds are cut with a checkpoint.
+    the pairs are those that going through all pairs in order would give. A round has one checkpoint, of its pairs.
     """
     outs, ins = _legs(df, "payment", "payment < 0").checkpoint(), _legs(df, "receipt", "receipt > 0").checkpoint()
     payment, receipt = df.schema["payment"].dataType, df.schema["receipt"].dataType
@@ -54,12 +54,12 @@ def internal_transfers(df: DataFrame, window_days: int = 7, tolerance: str = "0.
     near = candidate_pairs(reps, window_days, tolerance, strict).withColumnsRenamed({"out_id": "a", "in_id": "b"}).checkpoint()
     outs = outs.join(near.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi").select("cls", "id").checkpoint()
     ins = ins.join(near.select(F.col("b").alias("cls")).distinct(), "cls", "left_semi").select("cls", "id").checkpoint()
-    found, live = None, near
+    found = None
     while True:
+        # what earlier rounds have paired leaves the legs; only a round's pairs are cut with a checkpoint
+        left_out, left_in = (legs if found is None else legs.join(found.select(F.col(c).alias("id")), "id", "left_anti") for legs, c in ((outs, "out_id"), (ins, "in_id")))
         first = lambda legs, c: legs.groupBy(F.col("cls").alias(c)).agg(F.min("id").alias(f"first_{c}"))
-        live = live.join(first(outs, "a"), "a").join(first(ins, "b"), "b").checkpoint()
-        if live.isEmpty():
-            break
+        live = near.join(first(left_out, "a"), "a").join(first(left_in, "b"), "b")
         # nearest for both sides; the number of classes that are as near for a and for b
         key, order = ["days", "gap", "out_date"], ["days", "gap", "out_date", "first_a", "first_b"]
         ranked = live
@@ -73,17 +73,15 @@ def internal_transfers(df: DataFrame, window_days: int = 7, tolerance: str = "0.
             alone = F.col(f"near_{other}") & (F.col(f"n_{other}") == 1)
             ranked = ranked.withColumn(f"star_{c}", F.min(F.when(F.col(f"near_{c}"), alone)).over(Window.partitionBy(c)))
         mutual = ranked.where("near_a and near_b").withColumn("centre", F.when(F.col("star_a"), F.concat(F.lit("a"), "a")).when(F.col("star_b"), F.concat(F.lit("b"), "b")))
-        mutual = mutual.checkpoint()
         stars, single = mutual.where("centre is not null"), mutual.where("centre is null and best_a and best_b")
         rank = F.row_number().over(Window.partitionBy("centre").orderBy("id"))
         side = lambda legs, c: legs.join(stars.select("centre", F.col(c).alias("cls")).distinct(), "cls").withColumn("n", rank).select("centre", "n", F.col("id").alias(f"{c}_id"), F.col("cls").alias(c))
-        paired = side(outs, "a").join(side(ins, "b"), ["centre", "n"]).select("a", "b", F.col("a_id").alias("out_id"), F.col("b_id").alias("in_id"))
+        paired = side(left_out, "a").join(side(left_in, "b"), ["centre", "n"]).select("a", "b", F.col("a_id").alias("out_id"), F.col("b_id").alias("in_id"))
         paired = paired.unionByName(single.select("a", "b", F.col("first_a").alias("out_id"), F.col("first_b").alias("in_id"))).checkpoint()
+        if paired.isEmpty():
+            found = paired if found is None else found
+            break
         found = paired if found is None else found.unionByName(paired)
-        outs = outs.join(paired.select(F.col("out_id").alias("id")), "id", "left_anti").checkpoint()
-        ins = ins.join(paired.select(F.col("in_id").alias("id")), "id", "left_anti").checkpoint()
-        live = live.drop("first_a", "first_b")
-    found = near.select("a", "b", F.lit("").alias("out_id"), F.lit("").alias("in_id")).limit(0) if found is None else found
     return found.join(near, ["a", "b"]).select("out_id", "in_id", "out_subject", "in_subject", "out_date", "in_date", "out_amount", "in_amount", "days", "gap")
 
 

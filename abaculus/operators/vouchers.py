@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from abaculus.operators.numbering import numbered
+
 MONEY = "decimal(20,2)"
 
 #: Account codes and names.
@@ -28,8 +30,8 @@ LAYOUTS = ("yonyou_voucher", "kingdee_voucher", "bank_journal")
 def entries(df: DataFrame, operator: str = "", accounts: dict[str, tuple[str, str]] = ACCOUNTS, payment_words: tuple = PAYMENT_WORDS, receipt_words: tuple = RECEIPT_WORDS) -> DataFrame:
     """Two entries a transaction, the bank's first; debit equals credit; rows without an amount make none.
 
-    Vouchers are numbered 记-202401-0001 by month, date and txn_uid. A month may hold a large share
-    of all rows, so places are counted in two steps: sums by day, then ranks inside a day.
+    Vouchers are numbered 记-202401-0001 by month, date and txn_uid. A month or a day may hold a large share
+    of all rows; its places are counted over ranges of the order, each by a task of its own.
     """
     pays = F.coalesce(F.col("payment") != 0, F.lit(False))
     amount = F.when(pays, F.abs("payment")).otherwise(F.nullif(F.abs("receipt"), F.lit(0)))
@@ -42,13 +44,9 @@ def entries(df: DataFrame, operator: str = "", accounts: dict[str, tuple[str, st
         return out
 
     counter = F.when(pays, other(payment_words, "accounts_payable")).otherwise(other(receipt_words, "accounts_receivable"))
-    month = F.date_format("trade_date", "yyyyMM")
-    days = rows.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy(month).orderBy("trade_date").rowsBetween(Window.unboundedPreceding, -1))
-    starts = days.select(F.col("trade_date").alias("_day"), F.coalesce(before, F.lit(0)).alias("_start"))
-    place = F.col("_start") + F.row_number().over(Window.partitionBy("trade_date").orderBy("txn_uid"))
-    number = F.concat(F.lit("记-"), F.coalesce(month, F.lit("000000")), F.lit("-"), F.lpad(place.cast("string"), 4, "0"))
-    numbered = rows.join(starts, F.col("trade_date").eqNullSafe(F.col("_day"))).withColumns({"voucher_no": number, "_counter": counter, "_pays": pays})
+    month = F.coalesce(F.date_format("trade_date", "yyyyMM"), F.lit("000000"))
+    placed = numbered(rows.withColumns({"_month": month, "_counter": counter, "_pays": pays}), [F.col("trade_date"), F.col("txn_uid")], "_place", within=["_month"])
+    vouchers = placed.withColumn("voucher_no", F.concat(F.lit("记-"), "_month", F.lit("-"), F.lpad(F.col("_place").cast("string"), 4, "0")))
     code = F.create_map(*[F.lit(x) for k, (c, _) in accounts.items() for x in (k, c)])
     name = F.create_map(*[F.lit(x) for k, (_, n) in accounts.items() for x in (k, n)])
     zero = F.lit(0).cast(MONEY)
@@ -60,7 +58,7 @@ def entries(df: DataFrame, operator: str = "", accounts: dict[str, tuple[str, st
         )
 
     both = F.array(entry(1, F.lit("bank_deposit"), ~F.col("_pays")), entry(2, F.col("_counter"), F.col("_pays")))
-    return numbered.select("voucher_no", "txn_uid", "trade_date", "summary", "counterparty", F.lit(operator).alias("prepared_by"), F.inline(both))
+    return vouchers.select("voucher_no", "txn_uid", "trade_date", "summary", "counterparty", F.lit(operator).alias("prepared_by"), F.inline(both))
 
 
 def layout(rows: DataFrame, kind: str) -> DataFrame:
