@@ -38,13 +38,14 @@ def large_amounts(df: DataFrame, threshold: float | None) -> DataFrame:
     return rows.where(F.col("amount") >= limit).select(F.lit("large_amount").alias("risk_type"), F.when(F.col("amount") >= limit * 5, "high").when(F.col("amount") >= limit * 2, "medium").otherwise("low").alias("risk_level"), "txn_uid", "trade_date", "amount")
 
 
-def busy_days(df: DataFrame, threshold: int | None) -> DataFrame:
-    """Dates with at least ``threshold`` rows over all accounts (A2). Ids are a sorted list per date."""
+def busy_days(df: DataFrame, threshold: int | None, with_ids: bool = False) -> DataFrame:
+    """Dates with at least ``threshold`` rows over all accounts (A2); a sorted list of a date's ids only on request,
+    as it is as long as the date has rows (``busy_day_rows`` gives them one by one)."""
     rows = df.where("trade_date is not null").withColumn("amount", pick_amount(F.col("payment"), F.col("receipt")))
     n = F.count(F.lit(1))
-    days = rows.groupBy("trade_date").agg(n.alias("n"), F.coalesce(F.sum("amount"), F.lit(0).cast(MONEY)).alias("amount"), F.min_by("bank", "txn_uid").alias("bank"), F.array_sort(F.collect_list("txn_id")).alias("txn_ids"))
+    days = rows.groupBy("trade_date").agg(n.alias("n"), F.coalesce(F.sum("amount"), F.lit(0).cast(MONEY)).alias("amount"), F.min_by("bank", "txn_uid").alias("bank"), *[F.array_sort(F.collect_list("txn_id")).alias("txn_ids")] * with_ids)
     limit = threshold or 0
-    return days.where(F.col("n") >= limit if limit > 0 else F.lit(False)).select(F.lit("high_frequency").alias("risk_type"), _level(F.col("n") / F.lit(float(limit or 1)), 3, 1.5).alias("risk_level"), "trade_date", "n", "amount", "bank", "txn_ids")
+    return days.where(F.col("n") >= limit if limit > 0 else F.lit(False)).select(F.lit("high_frequency").alias("risk_type"), _level(F.col("n") / F.lit(float(limit or 1)), 3, 1.5).alias("risk_level"), "trade_date", "n", "amount", "bank", *["txn_ids"] * with_ids)
 
 
 def busy_day_rows(df: DataFrame, threshold: int | None) -> DataFrame:

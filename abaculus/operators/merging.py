@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abaculus.functions.texts import same_amount, same_value
@@ -94,14 +94,19 @@ def unmatched_edits(table: DataFrame, edits: DataFrame, key: str = "txn_uid") ->
     return edits.join(table.select(key), key, "left_anti")
 
 
-def delete_where(table: DataFrame, subject: str | None = None, account: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """The table without rows that meet all given conditions; nothing goes without a condition (K7)."""
+def deleted(subject: str | None = None, account: str | None = None, start: str | None = None, end: str | None = None) -> Column:
+    """Whether a row meets all given conditions; no row does without a condition (K7)."""
     hit = F.lit(any(x is not None for x in (subject, account, start, end)))
     for c, v in (("subject", subject), ("account", account)):
         hit = hit & (F.col(c) == v) if v is not None else hit
     hit = hit & (F.col("trade_date") >= F.lit(start).cast("date")) if start else hit
     hit = hit & (F.col("trade_date") <= F.lit(end).cast("date")) if end else hit
-    return table.where(~F.coalesce(hit, F.lit(False)))
+    return F.coalesce(hit, F.lit(False))
+
+
+def delete_where(table: DataFrame, **conditions: str | None) -> DataFrame:
+    """The table without rows that meet all given conditions (K7)."""
+    return table.where(~deleted(**conditions))
 
 
 def manifest(files: DataFrame) -> DataFrame:

@@ -116,9 +116,9 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy(F.col("o_custkey").alias("batch_id")).agg(F.min("o_orderdate").alias("started_at"), F.when(n % 3 == 0, "failed").otherwise("done").alias("status"), n.alias("n_records"), F.sum(F.col("o_totalprice").cast("decimal(20,2)")).alias("amount")).withColumn("operator", F.concat(F.lit("op-"), (F.col("batch_id") % 7).cast("string")))
 
 
-@register("p9_batch_query", f"with b as ({BATCH}) select batch_id, status, n_records from b where cast(started_at as date) between date '1992-01-01' and date '1993-12-31' and status = 'done' and operator ilike '%3%' and n_records >= 5", batches)
+@register("p9_batch_query", f"with b as ({BATCH}) select batch_id, status, n_records from b where cast(started_at as date) between date '1995-01-15' and date '1995-12-31' and status = 'done' and operator ilike '%3%' and n_records >= 5", batches)
 def _(df):
-    return query.batch_query(df, "1992-01-01", "1993-12-31", "done", "3", 5).select("batch_id", "status", "n_records")
+    return query.batch_query(df, "1995-01-15", "1995-12-31", "done", "3", 5).select("batch_id", "status", "n_records")
 
 
 @register("p10_workflow_list", f"with w as ({BATCH}) select cast(batch_id as varchar) as workflow_id, status, (select count(*) from w where status = 'failed') as total from w where status = 'failed' order by started_at desc, workflow_id limit 25 offset 10", batches)
@@ -127,9 +127,9 @@ def _(df):
     return query.workflow_list(flows, 25, 10, status="failed").select("workflow_id", "status", "total")
 
 
-@register("p11_pipeline_filter", f"{L} select {COLS_SQL} from ledger where bank in ('CHINA','FRANCE','BRAZIL') and trade_date >= date '1997-01-01'")
+@register("p11_pipeline_filter", f"{L} select {COLS_SQL} from ledger where bank in ('NATION_7','NATION_11','NATION_20') and trade_date >= date '1997-01-01'")
 def _(df):
-    return query.pipeline_filter(df, ["CHINA", "FRANCE", "BRAZIL"], "1997-01-01").select(*COLS)
+    return query.pipeline_filter(df, ["NATION_7", "NATION_11", "NATION_20"], "1997-01-01").select(*COLS)
 
 
 @register("p12_derived_columns", f"""{L} select txn_uid, coalesce(payment,0)+coalesce(receipt,0) as net, case when payment is not null then '支出' else '收入' end as direction,
@@ -575,7 +575,7 @@ def _(df):
 @register("a2_busy_days", f"""{L} select 'high_frequency' as risk_type, case when count(*) >= 15 then 'high' when count(*) >= 7.5 then 'medium' else 'low' end as risk_level, trade_date, count(*) as n, sum(coalesce(abs(payment), receipt)) as amount,
   arg_min(bank, txn_uid) as bank, string_agg(txn_id, ',' order by txn_id) as txn_ids from ledger group by trade_date having count(*) >= 5""")
 def _(df):
-    return checks.busy_days(df, 5).withColumn("txn_ids", F.array_join("txn_ids", ","))
+    return checks.busy_days(df, 5, with_ids=True).withColumn("txn_ids", F.array_join("txn_ids", ","))
 
 
 @register("a2_busy_day_rows", f"""{L}, d as (select trade_date, case when count(*) >= 15 then 'high' when count(*) >= 7.5 then 'medium' else 'low' end as risk_level from ledger group by trade_date having count(*) >= 5)

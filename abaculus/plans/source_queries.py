@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from abaculus.adapters import LEDGER_SQL, ledger, read
 from abaculus.functions import accounts, amounts, masks
 from abaculus.operators import attachments, impact, knowledge
-from abaculus.plans.ledger_queries import QUERIES, SQL, register
-from abaculus.sources import cells, files, statements, workbooks
-from abaculus.streaming import ingest
+from abaculus.operators.query import first_per_key
+from abaculus.plans.ledger_queries import K as KEYED
+from abaculus.plans.ledger_queries import QUERIES, SQL, keyed, register
+from abaculus.sources import cells, files, statements, tables, workbooks
+from abaculus.streaming import ingest, progress, routing, stability
 
 L = LEDGER_SQL
 
@@ -132,11 +134,26 @@ def _(df):
     return statements.infer_templates(df).select("file", "sheet", "header_row", F.size("fields").alias("n_fields"), "confidence")
 
 
-@register("s13_table_header", f"{L} select distinct bank as file, account as sheet, 2 + length(bank) % 3 as header_row from ledger", statement_cells)
+def document_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statement sheets as tables of documents: two columns of amounts, one with a direction, or names of two fields
+    only, by the account's last digit; notes stand above the header, as many rows as the file's name asks for."""
+    df = statement_cells(spark, sf_dir)
+    digit = F.right("sheet", F.lit(1)).cast("int")
+    title = F.when(digit % 3 == 1, F.element_at(F.array(*map(F.lit, ["记账日期", "金额", "借贷标志", "余额", "币种", "对方开户行"])), F.col("col"))).when(digit % 3 == 2, F.element_at(F.array(*map(F.lit, ["日期", "金额", "?", "?", "?", "?"])), F.col("col"))).otherwise(F.col("value"))
+    header = F.col("row") == 2
+    return df.withColumns({"value": F.when(header, title).otherwise(F.col("value")), "row": F.when(F.col("row") > 1, F.col("row") + F.length("file") % 3).otherwise(F.col("row"))})
+
+
+@register("s13_table_header", f"{L} select distinct bank as file, account as sheet, 2 + length(bank) % 3 as header_row from ledger where cast(right(account, 1) as integer) % 3 <> 2", document_tables)
+def _(df):
+    return statements.table_header(df)
+
+
+@register("s15_table_columns", f"""{L}, a as (select distinct bank as file, account as sheet, cast(right(account, 1) as integer) % 3 as k from ledger)
+select file, sheet, unnest(['trade_date', 'payment', 'receipt', 'amount', 'counterparty', 'summary', 'txn_id']) as field, unnest([1, 2, 3, 2, 4, 5, 6]) as col from a where k = 0
+union all select file, sheet, unnest(['trade_date', 'amount', 'direction', 'balance', 'currency', 'counterpart_bank']), unnest([1, 2, 3, 4, 5, 6]) from a where k = 1""", document_tables)
 def _(df):
-    # notes stand above the header, as many rows as the file's name asks for
-    lower = df.withColumn("row", F.when(F.col("row") > 1, F.col("row") + F.length("file") % 3).otherwise(F.col("row")))
-    return statements.table_header(lower)
+    return statements.table_columns(df, statements.table_header(df)).select("file", "sheet", "field", "col")
 
 
 @register("j13_rule_impact", f"{L} select case when payment is null then '未变' else '变更' end as change, count(*) as n from ledger group by 1", statement_cells)
@@ -188,6 +205,12 @@ def _(df):
     return statements.text_rows(df.select("txn_uid", text.alias("text")), "txn_uid").select("txn_uid", "trade_date", "payment", "receipt", "balance")
 
 
+def labelled_accounts(events: DataFrame) -> DataFrame:
+    key, k = F.col("event_id").cast("string"), F.col("event_id") % 4
+    text = F.when(k == 0, F.concat(F.lit("账 号：6222"), F.lpad(key, 10, "0"))).when(k == 1, F.concat(F.lit("账户 62-"), key)).when(k == 2, F.concat(F.lit("A/C # 1234567-"), key, F.lit(" of 99998888777766665555")))
+    return events.select((F.col("event_id") + 1000000000).alias("doc_id"), text.otherwise(F.concat(F.lit("account 123 or 400000"), F.lpad(key, 12, "0"))).alias("text"))
+
+
 BANKS = {"first": ["the", "and of"], "second": ["des", "une la"], "third": ["los", "que"]}
 
 
@@ -198,10 +221,13 @@ def _(df):
     return statements.identify_bank_by_text(df, BANKS, "doc_id")
 
 
-@register("s20_account_in_text", """select doc_id, regexp_extract(text, '(\\d{16,22})', 1) as account from documents where regexp_matches(text, '\\d{16,22}') and not regexp_matches(text, '(?i)(account|a/c|acct)[：: \\t\\n\\x0B\\f\\r#]*[0-9]{6}')""", lambda s, d: read(s, d, "documents"))
+@register("s20_account_in_text", r"""with d as (select doc_id, text from documents union all select event_id + 1000000000, case event_id % 4 when 0 then '账 号：6222'||lpad(event_id::varchar, 10, '0') when 1 then '账户 62-'||event_id
+  when 2 then 'A/C # 1234567-'||event_id||' of 99998888777766665555' else 'account 123 or 400000'||lpad(event_id::varchar, 12, '0') end from events),
+f as (select doc_id, [regexp_extract(text, '(?:账[ \t\n\x0B\f\r]*号|账[ \t\n\x0B\f\r]*户)[：:\s]*([0-9]{6,25}[-\s]?[0-9]*)', 1), regexp_extract(text, '(?i)(?:account|a/c|acct)[：:\s#]*([0-9]{6,25}[-\s]?[0-9]*)', 1), regexp_extract(text, '([0-9]{16,22})', 1)] as found from d),
+a as (select doc_id, list_filter(list_transform(found, lambda x: regexp_replace(x, '[-\s]', '', 'g')), lambda x: length(x) >= 6) as found from f)
+select doc_id, found[1] as account from a where len(found) > 0""", lambda s, d: read(s, d, "documents").select("doc_id", "text").unionByName(labelled_accounts(read(s, d, "events"))))
 def _(df):
-    plain = df.where(~F.col("text").rlike(r"(?i)(account|a/c|acct)[：:\s#]*[0-9]{6}"))
-    return plain.select("doc_id", statements.account_in_text(F.col("text")).alias("account")).where("account is not null")
+    return df.select("doc_id", statements.account_in_text(F.col("text")).alias("account")).where("account is not null")
 
 
 @register("s17_bank_by_name", "select c_custkey, case when c_custkey % 4 = 0 then '工商银行' when c_custkey % 4 = 1 then '招商银行' end as bank from customer", lambda s, d: read(s, d, "customer"))
@@ -316,8 +342,8 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.watch(spark, folder, events.schema)
 
 
-def run(spark: SparkSession, stream: DataFrame, mode: str = "complete") -> DataFrame:
-    return ingest.run_to_table(spark, stream, shared_folder(spark, "stream-out"), shared_folder(spark, "stream-state"), mode)
+def run(spark: SparkSession, stream: DataFrame, mode: str = "complete", out: str | None = None, state: str | None = None) -> DataFrame:
+    return ingest.run_to_table(spark, stream, out or shared_folder(spark, "stream-out"), state or shared_folder(spark, "stream-state"), mode)
 
 
 QUERIES["t1_tumbling_days"] = lambda s, d: run(s, ingest.tumbling(event_stream(s, d), "1 day", "1 day", "event_type")).select(F.col("window.start").cast("date").alias("day"), "event_type", "n", "total")
@@ -329,17 +355,149 @@ s as (select user_id, sum(fresh) over (partition by user_id order by ts rows unb
 
 
 def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two arrivals of overlapping rows, each by its own run of the same stream; keys enter once."""
-    events = read(spark, sf_dir, "events").select(F.concat_ws("::", "user_id", "event_type").alias("match_key"), F.col("event_id").cast("string").alias("txn_uid"))
+    """Three arrivals of overlapping rows, each by its own run of the same stream; keys enter once."""
+    rows = keyed(spark, sf_dir).select("match_key", "txn_uid", "trade_date")
     folder, table, state = (shared_folder(spark, n) for n in ("inbox", "ledger", "ingest-state"))
-    for part in (0, 1):
-        events.where(f"cast(txn_uid as long) % 2 = {part}").write.mode("append").parquet(folder)
-        ingest.ingest(ingest.watch(spark, folder, events.schema), table, state).awaitTermination()
+    for kept in ("day(trade_date) % 3 = 0", "day(trade_date) % 2 = 0", "month(trade_date) < 4"):
+        rows.where(kept).write.mode("append").parquet(folder)
+        ingest.ingest(ingest.watch(spark, folder, rows.schema), table, state).awaitTermination()
     return spark.read.parquet(table).select("match_key")
 
 
 QUERIES["t4_exactly_once"] = _ingested
-SQL["t4_exactly_once"] = "select distinct user_id||'::'||event_type as match_key from events"
+SQL["t4_exactly_once"] = f"{KEYED} select distinct match_key from keyed where day(trade_date) % 3 = 0 or day(trade_date) % 2 = 0 or month(trade_date) < 4"
+
+
+def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of the rows of odd days, to which those of the first half of each month are staged twice and committed once."""
+    rows = keyed(spark, sf_dir).select("match_key", "txn_uid", "trade_date")
+    table, staging = shared_folder(spark, "ledger"), shared_folder(spark, "staging")
+    ingest.commit(spark, ingest.stage(rows.where("day(trade_date) % 2 = 1"), table, f"{staging}/1"), table, 1)
+    staged = ingest.stage(rows.where("day(trade_date) < 16"), table, f"{staging}/2")
+    ingest.commit(spark, staged, table, 2), ingest.commit(spark, staged, table, 2)
+    total = spark.read.parquet(table).groupBy("part").agg(F.count(F.lit(1)).alias("n_after"))
+    return ingest.manifest(spark, staged).join(total, "part").select("part", "n_incoming", "n_new", "n_duplicate", "n_after")
+
+
+QUERIES["a25_staged_manifest"] = _staged
+SQL["a25_staged_manifest"] = f"""{KEYED}, k as (select match_key, min(strftime(trade_date, '%Y-%m')) as part, max(day(trade_date) % 2) as old, count_if(day(trade_date) < 16) as n from keyed group by match_key)
+select part, sum(n)::bigint as n_incoming, count_if(n > 0 and old = 0) as n_new, (sum(n) - count_if(n > 0 and old = 0))::bigint as n_duplicate, count_if(n > 0 or old = 1) as n_after from k group by part having sum(n) > 0"""
+
+
+def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of odd days by month, then all of the first half of the year upserted."""
+    rows, path = keyed(spark, sf_dir), shared_folder(spark, "ledger")
+    tables.write_ledger(first_per_key(rows.where("day(trade_date) % 2 = 1"), ["match_key"], [F.col("txn_uid")]), path)
+    tables.upsert_ledger(spark, rows.where("month(trade_date) < 7"), path)
+    return tables.read_ledger(spark, path).select("match_key")
+
+
+QUERIES["k5_upsert"] = _upserted
+SQL["k5_upsert"] = f"{KEYED} select distinct match_key from keyed where day(trade_date) % 2 = 1 or month(trade_date) < 7"
+
+
+def _deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger in a folder without one subject's rows of some years; a month is left of nothing."""
+    rows, path = ledger(spark, sf_dir).withColumn("match_key", F.col("txn_uid")), shared_folder(spark, "ledger")
+    tables.write_ledger(rows, path)
+    tables.delete_in_place(spark, path, subject="BUILDING", start="1996-01-01", end="1997-12-31")
+    tables.delete_in_place(spark, path, start="1998-02-01", end="1998-02-28")
+    return tables.read_ledger(spark, path).select("txn_uid", "subject", "trade_date")
+
+
+QUERIES["k7_delete_in_place"] = _deleted
+SQL["k7_delete_in_place"] = f"""{L} select txn_uid, subject, trade_date from ledger where not coalesce(subject = 'BUILDING' and trade_date between date '1996-01-01' and date '1997-12-31', false) and not coalesce(trade_date between date '1998-02-01' and date '1998-02-28', false)"""
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger in a folder with the summaries of one bank's rows of a quarter changed."""
+    rows, path = ledger(spark, sf_dir).withColumn("match_key", F.col("txn_uid")), shared_folder(spark, "ledger")
+    tables.write_ledger(rows, path)
+    hit = rows.where("bank = 'NATION_11' and trade_date between date '1996-01-01' and date '1996-03-31'")
+    edits = hit.select("txn_uid", F.date_format("trade_date", "yyyy-MM").alias("trade_month"), F.concat(F.lit("seen "), "txn_id").alias("summary"), F.lit(" ").alias("counterparty"))
+    tables.edit_in_place(spark, path, edits, ("summary", "counterparty"))
+    return tables.read_ledger(spark, path).select("txn_uid", "summary", "counterparty")
+
+
+QUERIES["k8_edit_in_place"] = _edited
+SQL["k8_edit_in_place"] = f"""{L} select txn_uid, case when bank = 'NATION_11' and trade_date between date '1996-01-01' and date '1996-03-31' then 'seen '||txn_id else summary end as summary, counterparty from ledger"""
+
+
+def _database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of odd customers in a database in memory, all of the first half upserted twice, read again in ranges."""
+    url, orders = f"jdbc:derby:memory:db{uuid.uuid4().hex};create=true", read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("decimal(20,2)").alias("o_totalprice"))
+    tables.write_jdbc(orders.where("o_custkey % 2 = 1").withColumnsRenamed({c: c.upper() for c in orders.columns}), url, "ORDERS")
+    half = orders.where("o_orderkey % 4 < 2").withColumnsRenamed({c: c.upper() for c in orders.columns})
+    for _ in range(2):
+        tables.upsert_jdbc(half, url, "ORDERS", "O_ORDERKEY")
+    return tables.read_jdbc(spark, url, "ORDERS", "O_ORDERKEY", 6).where("O_TOTALPRICE > 1000").toDF("o_orderkey", "o_custkey", "o_totalprice")
+
+
+QUERIES["s23_jdbc_ranges"] = _database
+SQL["s23_jdbc_ranges"] = "select o_orderkey, o_custkey, cast(o_totalprice as decimal(20,2)) as o_totalprice from orders where (o_custkey % 2 = 1 or o_orderkey % 4 < 2) and o_totalprice > 1000"
+
+
+def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as lines of JSON, some cut short and some without a user, told apart by a stream."""
+    e, k = read(spark, sf_dir, "events"), F.col("event_id") % 11
+    line = F.to_json(F.struct("event_id", F.when(k != 3, F.col("user_id")).alias("user_id"), "event_type"))
+    folder, good, bad, state = (shared_folder(spark, n) for n in ("lines", "good", "bad", "routing"))
+    e.select(F.when(k == 5, F.substring(line, 1, 12)).otherwise(line).alias("value")).write.text(folder)
+    routing.route(ingest.watch(spark, folder, "value string", "text"), "event_id long, user_id long, event_type string", good, bad, state, ("user_id",)).awaitTermination()
+    entered = spark.read.parquet(good).select(F.lit("entered").alias("side"), F.col("event_type").alias("what"), F.col("event_id"))
+    left = spark.read.parquet(bad).select(F.lit("left out").alias("side"), F.col("reason").alias("what"), F.get_json_object("value", "$.event_id").cast("long").alias("event_id"))
+    return entered.unionByName(left).groupBy("side", "what").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+QUERIES["t5_error_routing"] = _routed
+SQL["t5_error_routing"] = """select 'entered' as side, event_type as what, count(*) as n, sum(event_id)::bigint as ids from events where event_id % 11 not in (3, 5) group by event_type
+union all select 'left out', case event_id % 11 when 3 then 'no user_id' else 'unreadable' end, count(*), sum(case event_id % 11 when 3 then event_id end)::bigint from events where event_id % 11 in (3, 5) group by event_id % 11"""
+
+
+def _progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of the events in four files, one a batch, whose progress is written as a table."""
+    events = read(spark, sf_dir, "events").select("event_id", "value")
+    folder, out, state, table = (shared_folder(spark, n) for n in ("arrivals", "stream-out", "stream-state", "progress"))
+    events.repartition(4, "event_id").write.parquet(folder)
+    listener = progress.ProgressTable(spark, table)
+    spark.streams.addListener(listener)
+    try:
+        stream = progress.observed(ingest.watch(spark, folder, events.schema, files_per_batch=1), "rows", n=F.count(F.lit(1)), ids=F.sum("event_id"))
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+        listener.wait(query)
+    finally:
+        spark.streams.removeListener(listener)
+    told = spark.read.schema(progress.SCHEMA).parquet(table).where("n_rows > 0")
+    return told.groupBy("metric").agg(F.count_distinct("batch_id").alias("batches"), F.sum("n_rows").alias("n_rows"), F.sum("value").alias("value"))
+
+
+QUERIES["t7_progress"] = _progress
+SQL["t7_progress"] = "select unnest(['rows.n', 'rows.ids']) as metric, 4::bigint as batches, count(*) as n_rows, unnest([count(*)::double, sum(event_id)::double]) as value from events"
+
+
+LISTED = "select 'f'||(user_id % 40) as path, (day(ts) // 3 * 10 + user_id % 2)::bigint as size, user_id % 40 as modified, ts as seen_at, event_id % 29 = 0 as locked from events"
+
+
+def _stable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as listings of growing files, in arrivals of ten days; a file passes when it has stayed for twelve hours."""
+    e = read(spark, sf_dir, "events").withColumn("seen_at", F.col("ts").cast("timestamp"))
+    seen = e.select(F.concat(F.lit("f"), F.col("user_id") % 40).alias("path"), (F.floor(F.dayofmonth("seen_at") / 3) * 10 + F.col("user_id") % 2).alias("size"), (F.col("user_id") % 40).alias("modified"), "seen_at", (F.col("event_id") % 29 == 0).alias("locked"))
+    folder, out, state = (shared_folder(spark, n) for n in ("listings", "stable", "stable-state"))
+    for n in range(4):
+        seen.where(F.floor((F.dayofmonth("seen_at") - 1) / 10) == n).write.mode("append").parquet(folder)
+        found = run(spark, stability.stable_files(ingest.watch(spark, folder, seen.schema), 43_200), "append", out, state)
+    return found
+
+
+QUERIES["t2_stable_files"] = _stable
+SQL["t2_stable_files"] = f"""with l as ({LISTED}), s as (select *, coalesce(locked or lag(locked) over f or size <> lag(size) over f or modified <> lag(modified) over f, true) as fresh from l window f as (partition by path order by seen_at)),
+r as (select *, count_if(fresh) over (partition by path order by seen_at) as streak from s), b as (select *, min(seen_at) over (partition by path, streak) as since from r)
+select path, size, min(seen_at) as seen_at from b where not locked and epoch_us(seen_at) - epoch_us(since) >= 43200000000 group by path, streak, size"""
+
+
+QUERIES["w2_frequent_spans"] = lambda s, d: run(s, stability.frequent(event_stream(s, d), 7, 5, "1 day", "user_id")).select("user_id", F.col("window.start").cast("date").alias("start"), "n")
+SQL["w2_frequent_spans"] = "with d as (select user_id, unnest(generate_series(ts::date - interval 6 day, ts::date::timestamp, interval 1 day))::date as start from events) select user_id, start, count(*) as n from d group by all having count(*) >= 5"
 
 
 @register("s12_header_scores", """with t as (select event_id, case event_id % 5 when 0 then 'Date' when 1 then 'trade date (utc)' when 2 then 'the date is' when 3 then 'dat' else 'amount' end as x from events)

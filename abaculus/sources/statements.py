@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -67,6 +68,7 @@ def extract(cells: DataFrame, rule: BankRule) -> DataFrame:
     return found.where("trade_date is not null")
 
 
+#: Fixed value: what stands before an account.
 ACCOUNT_LABEL = r"(?i)账\s*号|账\s*户|卡\s*号|account"
 
 
@@ -105,15 +107,30 @@ def validated(rows: DataFrame, problems: DataFrame, mode: str = "warn") -> DataF
     return flagged.withColumn("header_problem", F.when(F.col("header_problem"), F.raise_error(F.concat(F.lit("header mismatch in "), F.col("file")))).otherwise(F.lit(False)))
 
 
-#: Words of the header of each field.
-HEADER_WORDS = {
-    "trade_date": ["交易日期", "记账日期", "日期", "date", "trade date"],
-    "payment": ["支出", "付出", "付款", "借方", "支取", "debit", "withdrawal", "payment"],
-    "receipt": ["收入", "存入", "收款", "贷方", "credit", "deposit", "receipt"],
-    "balance": ["余额", "结余", "balance"],
-    "counterparty": ["对方户名", "对方单位", "对方名称", "交易对手", "counterparty", "beneficiary"],
-    "summary": ["摘要", "用途", "备注", "附言", "description", "remark", "summary"],
-    "txn_id": ["交易流水号", "流水号", "交易编号", "凭证号", "reference no", "transaction id"],
+#: Header texts by field, for sheets whose template is inferred.
+SHEET_WORDS = {
+    "trade_date": ["交易日期", "交易时间日期", "记账日期", "日期", "交易日期时间", "发生日期", "业务日期", "入账日期", "账务日期", "交易发生日期", "transdate", "transactiondate", "date", "交易日期/时间"],
+    "payment": ["支出金额", "支出", "借方金额", "付款金额", "付款", "借方发生额", "支出(元)", "借方", "付款(元)", "转出金额", "转出", "debit", "payment", "withdrawal", "支出金额(元)"],
+    "receipt": ["收入金额", "收入", "贷方金额", "收款金额", "收款", "贷方发生额", "收入(元)", "贷方", "收款(元)", "转入金额", "转入", "credit", "receipt", "deposit", "收入金额(元)"],
+    "balance": ["余额", "账户余额", "当前余额", "可用余额", "实时余额", "balance", "账面余额", "结余"],
+    "counterparty": ["对方户名", "对方名称", "交易对方", "对方账户名", "对方", "对方姓名", "交易对方名称", "收付款人", "付款人", "收款人", "counterpart", "对方信息", "交易描述/对方", "对方账户名称"],
+    "summary": ["摘要", "交易摘要", "用途", "备注", "交易备注", "交易用途", "摘要/备注", "说明", "交易说明", "摘要说明", "summary", "description", "remark"],
+    "txn_id": ["交易流水号", "流水号", "交易号", "凭证号码", "交易编号", "交易序号", "业务流水号", "交易参考号", "参考号", "transactionid", "reference", "refno"],
+}
+#: Words inside the header cells of each field, for tables taken from documents.
+TABLE_WORDS = {
+    "trade_date": ["交易日期", "记账日期", "日期", "Date", "Trade Date"],
+    "payment": ["支出", "付出", "付款", "借方", "支取", "Debit", "Withdrawal", "支出金额", "借方发生额"],
+    "receipt": ["收入", "存入", "收款", "贷方", "Credit", "Deposit", "收入金额", "贷方发生额"],
+    "amount": ["金额", "交易金额", "Amount"],
+    "direction": ["借贷标志", "借贷", "收付", "方向"],
+    "summary": ["摘要", "用途", "备注", "附言", "说明", "Description", "Remark", "Summary"],
+    "counterparty": ["对方户名", "对方单位", "收款人", "付款人", "对方名称", "交易对手", "Counterparty", "Beneficiary"],
+    "counterpart_account": ["对方账号", "对方账户"],
+    "counterpart_bank": ["对方开户行", "对方银行"],
+    "balance": ["余额", "结余", "Balance"],
+    "txn_id": ["交易流水号", "流水号", "交易编号", "凭证号", "Reference No", "Transaction ID"],
+    "currency": ["币种", "货币", "Currency"],
 }
 
 
@@ -133,7 +150,7 @@ def infer_templates(cells: DataFrame, top: int = 30, least: float = 0.7) -> Data
     """(file, sheet, header_row, fields, confidence): the first row with two cells that score, the best column
     per field, and 0.5 * share of fields + 0.25 with an account + 0.25 with a date (S11, A23)."""
     head = cells.where(F.col("row") <= top)
-    scores = F.array(*[F.struct(F.lit(f).alias("field"), header_score(F.col("text"), ws).alias("score")) for f, ws in HEADER_WORDS.items()])
+    scores = F.array(*[F.struct(F.lit(f).alias("field"), header_score(F.col("text"), ws).alias("score")) for f, ws in SHEET_WORDS.items()])
     named = head.select("file", "sheet", "row", "col", header_text(F.col("value")).alias("text"))
     known = named.select("text").distinct().select("text", F.inline(scores)).where(F.col("score") >= least)  # each text is scored once
     scored = named.join(known, "text").drop("text")
@@ -141,17 +158,28 @@ def infer_templates(cells: DataFrame, top: int = 30, least: float = 0.7) -> Data
     best = scored.join(header, ["file", "sheet"]).where("row = header_row").groupBy("file", "sheet", "header_row", "field").agg(F.min_by("col", F.struct((-F.col("score")).alias("s"), "col")).alias("col"))
     accounts = head.groupBy("file", "sheet").agg(F.max(F.col("value").rlike(ACCOUNT_LABEL) | F.col("value").rlike(r"^\d{6,30}$")).alias("has_account"))
     fields = best.groupBy("file", "sheet", "header_row").agg(F.array_sort(F.collect_list(F.struct("field", "col"))).alias("fields"))
-    sure = 0.5 * F.size("fields") / len(HEADER_WORDS) + F.when(F.col("has_account"), 0.25).otherwise(0.0) + F.when(F.exists("fields", lambda f: f["field"] == "trade_date"), 0.25).otherwise(0.0)
+    sure = 0.5 * F.size("fields") / len(SHEET_WORDS) + F.when(F.col("has_account"), 0.25).otherwise(0.0) + F.when(F.exists("fields", lambda f: f["field"] == "trade_date"), 0.25).otherwise(0.0)
     return fields.join(accounts, ["file", "sheet"]).select("file", "sheet", "header_row", "fields", F.round(sure, 2).alias("confidence"))
 
 
+def _table_fields(text: Column) -> Column:
+    """The fields, in the order of TABLE_WORDS, of which a word stands in a header cell; letter case counts."""
+    plain = F.trim(half_width(text))
+    return F.array_compact(F.array(*[F.when(plain.rlike("|".join(words)), F.lit(f)) for f, words in TABLE_WORDS.items()]))
+
+
 def table_header(cells: DataFrame, rows: int = 10, least: int = 3) -> DataFrame:
     """(file, sheet, header_row) of extracted tables: of the first rows that name ``least`` fields the one that names most, the earliest on a tie."""
-    named = F.array_compact(F.array(*[F.when(F.lower("value").rlike("|".join(w.replace(" ", " ?") for w in ws)), F.lit(f)) for f, ws in HEADER_WORDS.items()]))
-    counts = cells.where(F.col("row") <= rows).select("file", "sheet", "row", F.explode(named).alias("field")).groupBy("file", "sheet", "row").agg(F.countDistinct("field").alias("n")).where(F.col("n") >= least)
+    counts = cells.where(F.col("row") <= rows).select("file", "sheet", "row", F.explode(_table_fields(F.col("value"))).alias("field")).groupBy("file", "sheet", "row").agg(F.countDistinct("field").alias("n")).where(F.col("n") >= least)
     return counts.groupBy("file", "sheet").agg(F.min_by("row", F.struct((-F.col("n")).alias("n"), "row")).alias("header_row"))
 
 
+def table_columns(cells: DataFrame, header: DataFrame) -> DataFrame:
+    """(file, sheet, field, col): of each field the first header cell that names it; one cell may stand for several."""
+    of_header = cells.join(header, ["file", "sheet"]).where("row = header_row")
+    return of_header.select("file", "sheet", "col", F.explode(_table_fields(F.col("value"))).alias("field")).groupBy("file", "sheet", "field").agg(F.min("col").alias("col"))
+
+
 #: Marks of a payment in a direction column.
 PAYMENT_MARKS = ["借", "支出", "付款", "付", "debit", "dr"]
 
@@ -172,6 +200,7 @@ def table_rows(rows: DataFrame) -> DataFrame:
     return found.where("trade_date is not null")
 
 
+#: A date and an amount in a line of text.
 LINE_DATE, LINE_AMOUNT = r"(\d{4}[-/.]\d{1,2}[-/.]\d{1,2})", r"-?\d[\d,]*\.\d{2}"
 
 
