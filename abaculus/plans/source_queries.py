@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from abaculus.adapters import LEDGER_SQL, ledger, read
 from abaculus.functions import accounts, amounts, masks
-from abaculus.operators import attachments, impact, knowledge
+from abaculus.operators import attachments, impact, knowledge, rule_tables, rules
 from abaculus.operators.query import first_per_key
 from abaculus.plans.ledger_queries import K as KEYED
 from abaculus.plans.ledger_queries import QUERIES, SQL, keyed, register
@@ -396,6 +396,32 @@ QUERIES["k5_upsert"] = _upserted
 SQL["k5_upsert"] = f"{KEYED} select distinct match_key from keyed where day(trade_date) % 2 = 1 or month(trade_date) < 7"
 
 
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the words of the benchmark, as rules of four kinds, the first that each turn of a conversation matches."""
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]+"), F.lit(0)))).alias("keyword")
+    table = read(spark, sf_dir, "benchmark").select(words).distinct()
+    k = F.length("keyword") % 4
+    table = table.withColumns({"mode": F.when(k == 0, "startswith").when(k == 1, "endswith").when(k == 2, "exact").otherwise("contains"), "priority": -F.length("keyword")})
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower("text").alias("text"))
+    return turns.join(rule_tables.first_match(turns, "text", table, ["priority", "keyword"]), "text").select("conv_id", "turn", "keyword", "mode")
+
+
+QUERIES["j14_rule_table"] = _tagged
+SQL["j14_rule_table"] = """with w as (select distinct unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) as k from benchmark), t as (select distinct lower(text) as t from conversations where text <> ''),
+m as (select t, k, case length(k) % 4 when 0 then 'startswith' when 1 then 'endswith' when 2 then 'exact' else 'contains' end as mode from t, w
+  where case length(k) % 4 when 0 then starts_with(t, k) when 1 then suffix(t, k) when 2 then t = k else contains(t, k) end),
+b as (select t, k, mode from m qualify row_number() over (partition by t order by length(k) desc, k) = 1)
+select conv_id, turn, k as keyword, mode from conversations join b on lower(text) = t"""
+
+
+QUERIES["a17_cashflow_by_table"] = lambda s, d: rule_tables.classify_cashflow(ledger(s, d), rule_tables.cashflow_rule_table(s, TABLE_RULES)).select("txn_uid", "cf_main_code", "cf_rule", "cf_keyword", "cf_source")
+TABLE_RULES = [rules.CashflowRule("machines", "fixed_asset", ["URGENT"], ["MACHINERY"], "payment", 5), rules.CashflowRule("homes", "customer", ["HIGH", "SPECIFIED"], ["HOUSE"], "receipt", 7), rules.CashflowRule("any", "transfer", ["4-"], [], "any", 9)]
+SQL["a17_cashflow_by_table"] = f"""{L}, m as (select txn_uid, case when coalesce(payment, 0) <> 0 and contains(summary, 'URGENT') then 1 when coalesce(payment, 0) <> 0 and contains(counterparty, 'MACHINERY') then 2
+  when coalesce(receipt, 0) <> 0 and contains(summary, 'HIGH') then 3 when coalesce(receipt, 0) <> 0 and contains(summary, 'SPECIFIED') then 4 when coalesce(receipt, 0) <> 0 and contains(counterparty, 'HOUSE') then 5 when contains(summary, '4-') then 6 else 7 end as k from ledger)
+select txn_uid, ['investing', 'investing', 'operating', 'operating', 'operating', 'unclassified', 'unclassified'][k] as cf_main_code, ['machines', 'machines', 'homes', 'homes', 'homes', 'any', ''][k] as cf_rule,
+  ['URGENT', 'MACHINERY', 'HIGH', 'SPECIFIED', 'HOUSE', '4-', ''][k] as cf_keyword, ['summary', 'counterpart', 'summary', 'summary', 'counterpart', 'summary', ''][k] as cf_source from m"""
+
+
 def _deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ledger in a folder without one subject's rows of some years; a month is left of nothing."""
     rows, path = ledger(spark, sf_dir).withColumn("match_key", F.col("txn_uid")), shared_folder(spark, "ledger")
