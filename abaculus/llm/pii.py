@@ -80,7 +80,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 #: High-recall generators of further candidates: kind, what may hold one, and the group that is its span.
 GENERATORS = (
-    ("email", re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?:(?: ?(?:\(dot\)|\[dot\]) ?| dot |\.)[A-Za-z]{2,24}){1,3}")),
+    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++(?:(?: ?(?:\(dot\)|\[dot\]) ?| dot |\.)[A-Za-z]{2,}+)+")),
     ("secret", re.compile(r"(?i:token|secret|password|passwd|pwd|api[_-]?key|key|auth)\"? ?[=:] ?[\"']?([^\s\"']{8,})")),
     ("secret", re.compile(r"(?<![A-Za-z0-9])[A-Z]{4}[A-Z0-9]{16}(?![A-Za-z0-9])")),
     ("secret", re.compile(r"(?<![A-Za-z0-9])[0-9a-f]{16,}+(?![A-Za-z0-9])")),

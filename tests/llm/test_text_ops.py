@@ -515,6 +515,39 @@ def test_rare_language_and_whole_counts(spark):
     assert np.allclose(model.idf, np.log((1 + n) / (1 + want)) + 1)
 
 
+def test_pii_columns_equal_plain_rules(spark, sf_dir):
+    """All columns of the query's rows from the contract's patterns; added spans stand beside the base ones."""
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    digits = lambda t: re.sub("[^0-9]", "", t)
+
+    def luhn(d):
+        doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(d))]
+        return sum(x - 9 * (x > 9) for x in doubled) % 10 == 0
+
+    passes = {"email": lambda t: True, "ip": lambda t: all(int(x) <= 255 for x in t.split(".")), "card": lambda t: 13 <= len(digits(t)) <= 19 and luhn(digits(t)), "phone": lambda t: 9 <= len(digits(t)) <= 15}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "é a@b.co, 10.0.0.256 +1 (555) 123-4567 4111-1111-1111-1111 " * 3)], "doc_id long, text string"))
+    found = {r.doc_id: r for r in pii.find_pii(docs).collect()}
+    for doc_id, text in docs.collect():
+        base = [(k, m.start(), m.end()) for k, p in patterns.items() for m in re.finditer(p, text or "") if passes[k](m[0])]
+        row, plain = found[doc_id], ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert [row[f"n_{k}"] for k in patterns] == [sum(b[0] == k for b in base) for k in patterns]
+        assert row.base_sha256 == hashlib.sha256(plain.encode()).hexdigest()
+        spans = row.spans.split(",") if row.spans else []
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(spans) and len(spans) == len(base) + row.n_added
+        assert spans == sorted(spans, key=lambda s: (pii.KINDS.index(s.split(":")[0]), *map(int, s.split(":")[1:])))
+
+
+def test_spelled_out_address_of_any_length():
+    import time
+
+    for n in (5, 100, 3000):
+        text = f"write to {'x' * n} at {'y' * n} dot {'z' * n} dot com now"
+        assert [text[a:b] for kind, a, b, g in pii.candidates(text) if g == 0] == [text[9:-4]]
+    begin = time.perf_counter()
+    pii.candidates("a." * 500_000), pii.candidates("x at " * 200_000)
+    assert time.perf_counter() - begin < 20
+
+
 def test_added_spans_equal_plain_choice():
     """Accepted candidates by comparing each with all taken spans, over texts with many overlapping ones."""
     r, model = random.Random(4), pii.train()
