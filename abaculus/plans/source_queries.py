@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from abaculus.adapters import LEDGER_SQL, ledger, read
@@ -34,8 +34,6 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def statement_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger as statement sheets: one file per bank, one sheet per account, account in B1, headers in row 2."""
     df = ledger(spark, sf_dir)
-    from pyspark.sql import Window
-
     row = F.row_number().over(Window.partitionBy("bank", "account").orderBy("trade_date", "txn_uid")) + 2
     body = df.withColumn("row", row).select(
         F.col("bank").alias("file"), F.col("account").alias("sheet"), "row",
@@ -62,6 +60,26 @@ def _(df):
     return df.groupBy("region", "format").agg(F.count(F.lit(1)).alias("n"))
 
 
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV file per region with the first bytes of an archive, a document or a table, those of regions above 2 named .PDF; all scanned."""
+    folder = shared_folder(spark, "documents")
+    k = F.col("r_regionkey") % 3
+    read(spark, sf_dir, "region").select("r_regionkey", F.when(k == 0, "PK\x03\x04 archive").when(k == 1, "%PDF-1.7").otherwise(F.col("r_name")).alias("value")).repartition("r_regionkey").write.partitionBy("r_regionkey").csv(folder)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in store.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/r_regionkey=*/*.csv")):  # a file per region
+        region = int(found.getPath().getParent().getName().split("=")[1])
+        if region > 2:
+            store.rename(found.getPath(), jvm.org.apache.hadoop.fs.Path(f"{found.getPath().getParent().toString()}/{region}.PDF"))
+    return files.with_format(files.scan_all(spark, folder)).withColumn("region", F.regexp_extract("path", "r_regionkey=([0-9]+)", 1).cast("int"))
+
+
+@register("s2_document_scan", "select r_regionkey::int as region, case r_regionkey % 3 when 0 then 'xlsx' when 1 then 'pdf' else case when r_regionkey > 2 then 'pdf' else 'csv' end end as format, case when r_regionkey > 2 then 'PDF' else 'csv' end as extension from region", document_files)
+def _(df):
+    return df.select("region", "format", F.regexp_extract("name", "([^.]+)$", 1).alias("extension"))
+
+
 @register("s5_csv_cells", """with r as (select n_regionkey as region, n_nationkey, n_name, row_number() over (partition by n_regionkey order by n_nationkey) + 1 as row from nation)
 select region, cast(row as integer) as row, 1 as col, cast(n_nationkey as varchar) as value from r union all select region, cast(row as integer), 2, n_name from r
 union all select distinct n_regionkey, 1, 1, 'n_nationkey' from nation union all select distinct n_regionkey, 1, 2, 'n_name' from nation""", nation_files)
@@ -422,6 +440,53 @@ select txn_uid, ['investing', 'investing', 'operating', 'operating', 'operating'
   ['URGENT', 'MACHINERY', 'HIGH', 'SPECIFIED', 'HOUSE', '4-', ''][k] as cf_keyword, ['summary', 'counterpart', 'summary', 'summary', 'counterpart', 'summary', ''][k] as cf_source from m"""
 
 
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample file per nation, saved on a day of its own; the records of the newest ten are read."""
+    c, folder = read(spark, sf_dir, "customer"), shared_folder(spark, "samples")
+    record = F.struct(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("text"))
+    saved = c.groupBy("c_nationkey").agg(F.collect_list(record).alias("records")).select("c_nationkey", F.concat(F.lit("N"), "c_nationkey").alias("bank"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("c_nationkey").cast("int")), "yyyy-MM-dd'T'HH:mm:ss").alias("saved_at"), "records")
+    saved.repartition("c_nationkey").write.partitionBy("c_nationkey").json(folder)
+    return tables.read_samples(spark, f"{folder}/*", "id: long, text: string", 10).select("bank", "id", "text")
+
+
+QUERIES["s24_sample_store"] = _samples
+SQL["s24_sample_store"] = "select 'N'||c_nationkey as bank, c_custkey as id, c_mktsegment as text from customer where c_nationkey in (select distinct c_nationkey from customer order by 1 desc limit 10)"
+
+
+def lookup_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lookup sheet per nation in a workbook: aliases of headers by nation, accounts as numbers, some of them missing, and one further field."""
+    c = read(spark, sf_dir, "customer")
+    even = F.col("c_nationkey") % 2 == 0
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) + 1
+    sheet = F.concat(F.lit("n"), "c_nationkey").alias("sheet")
+    body = c.withColumn("row", place).select(F.lit("lookup").alias("file"), sheet, "row", F.inline(F.array(*[F.struct(F.lit(n).alias("col"), v.alias("value")) for n, v in enumerate([F.col("c_name"), F.when(F.col("c_custkey") % 10 != 3, F.concat(F.lit("622"), F.col("c_custkey"), F.lit(".0"))), F.when(F.col("c_custkey") % 4 > 0, (F.col("c_custkey") % 4).cast("string")), F.col("c_mktsegment")], 1)]))).where("value is not null")
+    titles = [F.when(even, "主体名称").otherwise("主体"), F.when(even, "账号").otherwise("银行账号"), F.lit("优先级"), F.lit("segment")]
+    head = c.select("c_nationkey").distinct().select(F.lit("lookup").alias("file"), sheet, F.lit(1).alias("row"), F.inline(F.array(*[F.struct(F.lit(n).alias("col"), v.alias("value")) for n, v in enumerate(titles, 1)])))
+    folder = shared_folder(spark, "lookups")
+    workbooks.write_cells(body.unionByName(head), folder)
+    return workbooks.read_workbooks(spark, folder)
+
+
+@register("s25_lookup_scan", """select c_name as subject, '622'||c_custkey as account, (c_custkey % 4)::int as priority, c_mktsegment as segment,
+  row_number() over (partition by c_nationkey order by c_custkey) + 1 as row_id from customer qualify c_custkey % 10 <> 3""", lookup_sheets)
+def _(df):
+    return statements.lookup_entries(df).select("subject", "account", "priority", F.element_at("extra", F.lit("segment")).alias("segment"), "row_id")
+
+
+def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch's counts for each order year, appended one after the other, and the latest three; written and read as JSON lines."""
+    rows, path, out = read(spark, sf_dir, "orders"), shared_folder(spark, "batches"), shared_folder(spark, "report")
+    years = rows.groupBy(F.year("o_orderdate").cast("string").alias("batch_id")).agg(F.count(F.lit(1)).alias("n_records"), F.count_if(F.col("o_orderstatus") == "F").alias("n_done"))
+    tables.append_batch(years.where("batch_id < '1998'"), path)
+    tables.append_batch(years.where("batch_id >= '1998'"), path)
+    tables.write_report(tables.latest_batches(spark, path, 3), out)
+    return spark.read.schema("batch_id string, n_records long, n_done long").json(out)
+
+
+QUERIES["k17_latest_batches"] = _batches
+SQL["k17_latest_batches"] = "select year(o_orderdate)::varchar as batch_id, count(*) as n_records, count_if(o_orderstatus = 'F') as n_done from orders group by 1 order by 1 desc limit 3"
+
+
 def _deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ledger in a folder without one subject's rows of some years; a month is left of nothing."""
     rows, path = ledger(spark, sf_dir).withColumn("match_key", F.col("txn_uid")), shared_folder(spark, "ledger")
