@@ -33,11 +33,14 @@ def candidate_pairs(df: DataFrame, window_days: int = 7, tolerance: str = "0.01"
     return pairs.where((F.col("out_subject") != F.col("in_subject")) & (gap <= F.lit(tolerance).cast("decimal(20,2)")) & (days <= window_days)).select("out_id", "in_id", "out_subject", "in_subject", "out_date", "in_date", "out_amount", "in_amount", days.alias("days"), gap.alias("gap"))
 
 
-def _legs(df: DataFrame, amount: str, wanted: str) -> DataFrame:
-    """id and cls of each leg: legs of equal names, date and amount are one class, named by its smallest id."""
-    legs = df.where(f"{wanted} and subject is not null and trade_date is not null and txn_uid is not null").dropDuplicates(["txn_uid"])
-    names = Window.partitionBy("subject", "counterparty", "trade_date", amount)
-    return legs.select(F.col("txn_uid").alias("id"), F.min("txn_uid").over(names).alias("cls"), "subject", "counterparty", "trade_date", amount)
+def _legs(df: DataFrame) -> DataFrame:
+    """Both kinds of legs with their class: legs of equal names, date and amounts are one, named by its smallest id."""
+    legs = df.where("(payment < 0 or receipt > 0) and subject is not null and trade_date is not null and txn_uid is not null").dropDuplicates(["txn_uid"])
+    sides = F.explode(F.array_compact(F.array(F.when(F.col("payment") < 0, "out"), F.when(F.col("receipt") > 0, "in"))))
+    legs = legs.select(F.col("txn_uid").alias("id"), sides.alias("side"), "subject", "counterparty", "trade_date", "payment", "receipt")
+    legs = legs.withColumns({"payment": F.when(F.col("side") == "out", F.col("payment")), "receipt": F.when(F.col("side") == "in", F.col("receipt"))})
+    names = Window.partitionBy("side", "subject", "counterparty", "trade_date", "payment", "receipt")
+    return legs.withColumn("cls", F.min("id").over(names))
 
 
 def internal_transfers(df: DataFrame, window_days: int = 7, tolerance: str = "0.01", strict: bool = True) -> DataFrame:
@@ -46,33 +49,32 @@ def internal_transfers(df: DataFrame, window_days: int = 7, tolerance: str = "0.
     Classes of equal legs meet instead of the legs. In each round the class pairs that are nearest for both
     sides settle: where one class is the only nearest of all those it is nearest to, their legs pair off by rank
     at once; else (ties across several classes) the first legs of the best class pair do. Either way
-    the pairs are those that going through all pairs in order would give. A round has one checkpoint, of its pairs.
+    the pairs are those that going through all pairs in order would give. A round has two small checkpoints.
     """
-    outs, ins = _legs(df, "payment", "payment < 0").checkpoint(), _legs(df, "receipt", "receipt > 0").checkpoint()
-    payment, receipt = df.schema["payment"].dataType, df.schema["receipt"].dataType
-    reps = outs.where("id = cls").withColumn("receipt", F.lit(None).cast(receipt)).unionByName(ins.where("id = cls").withColumn("payment", F.lit(None).cast(payment))).withColumnRenamed("id", "txn_uid")
-    near = candidate_pairs(reps, window_days, tolerance, strict).withColumnsRenamed({"out_id": "a", "in_id": "b"}).checkpoint()
-    outs = outs.join(near.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi").select("cls", "id").checkpoint()
-    ins = ins.join(near.select(F.col("b").alias("cls")).distinct(), "cls", "left_semi").select("cls", "id").checkpoint()
+    legs = _legs(df).checkpoint()
+    near = candidate_pairs(legs.where("id = cls").withColumnRenamed("id", "txn_uid"), window_days, tolerance, strict).withColumnsRenamed({"out_id": "a", "in_id": "b"}).checkpoint()
+    paired_classes = near.select(F.col("a").alias("cls")).union(near.select("b")).distinct()
+    legs = legs.select("side", "cls", "id").join(paired_classes, "cls", "left_semi").checkpoint()
+    outs, ins = (legs.where(F.col("side") == side).select("cls", "id") for side in ("out", "in"))
     found = None
     while True:
-        # what earlier rounds have paired leaves the legs; only a round's pairs are cut with a checkpoint
+        # what earlier rounds have paired leaves the legs
         left_out, left_in = (legs if found is None else legs.join(found.select(F.col(c).alias("id")), "id", "left_anti") for legs, c in ((outs, "out_id"), (ins, "in_id")))
         first = lambda legs, c: legs.groupBy(F.col("cls").alias(c)).agg(F.min("id").alias(f"first_{c}"))
         live = near.join(first(left_out, "a"), "a").join(first(left_in, "b"), "b")
+        if found is not None and live.isEmpty():
+            break
         # nearest for both sides; the number of classes that are as near for a and for b
         key, order = ["days", "gap", "out_date"], ["days", "gap", "out_date", "first_a", "first_b"]
         ranked = live
-        for c in ("a", "b"):
+        # a star: all classes as near to its centre have the centre as their only nearest
+        star = lambda c, other: F.min(F.when(F.col(f"near_{c}"), F.col(f"near_{other}") & (F.col(f"n_{other}") == 1))).over(Window.partitionBy(c))
+        for c in ("a", "b"):  # what is asked of one side stands together, so each side is dealt out once, and a again for its stars
             own = Window.partitionBy(c)
             ranked = ranked.withColumns({f"near_{c}": F.rank().over(own.orderBy(*key)) == 1, f"best_{c}": F.row_number().over(own.orderBy(*order)) == 1})
-        for c in ("a", "b"):
-            ranked = ranked.withColumn(f"n_{c}", F.sum(F.col(f"near_{c}").cast("int")).over(Window.partitionBy(c)))
-        # a star: all classes as near to its centre have the centre as their only nearest
-        for c, other in (("a", "b"), ("b", "a")):
-            alone = F.col(f"near_{other}") & (F.col(f"n_{other}") == 1)
-            ranked = ranked.withColumn(f"star_{c}", F.min(F.when(F.col(f"near_{c}"), alone)).over(Window.partitionBy(c)))
-        mutual = ranked.where("near_a and near_b").withColumn("centre", F.when(F.col("star_a"), F.concat(F.lit("a"), "a")).when(F.col("star_b"), F.concat(F.lit("b"), "b")))
+            ranked = ranked.withColumn(f"n_{c}", F.sum(F.col(f"near_{c}").cast("int")).over(own))
+        ranked = ranked.withColumn("star_b", star("b", "a")).withColumn("star_a", star("a", "b"))
+        mutual = ranked.where("near_a and near_b").withColumn("centre", F.when(F.col("star_a"), F.concat(F.lit("a"), "a")).when(F.col("star_b"), F.concat(F.lit("b"), "b"))).checkpoint()
         stars, single = mutual.where("centre is not null"), mutual.where("centre is null and best_a and best_b")
         rank = F.row_number().over(Window.partitionBy("centre").orderBy("id"))
         side = lambda legs, c: legs.join(stars.select("centre", F.col(c).alias("cls")).distinct(), "cls").withColumn("n", rank).select("centre", "n", F.col("id").alias(f"{c}_id"), F.col("cls").alias(c))
