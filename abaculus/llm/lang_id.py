@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from abaculus.llm.shared import broadcast_if_small, prepare_workers
+from abaculus.llm.shared import broadcast_if_small, give_back, prepare_workers
 
 DIM = 1 << 15
 UNKNOWN = "und"
@@ -156,6 +156,7 @@ def document_counts(docs: DataFrame) -> tuple[int, np.ndarray]:
                     counts[DIM] += 1
         at = np.flatnonzero(counts)
         yield pd.DataFrame({"bucket": at.astype(np.int32), "n": counts[at]})
+        give_back()
 
     prepare_workers(docs.sparkSession)
     out = np.zeros(DIM + 1)
@@ -205,6 +206,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             yield pd.DataFrame([shared.value.predict(t) for t in batch], columns=["lang_pred", "score"])
+        give_back()
 
     return docs.withColumn("_found", predict(F.col(text_col))).select(*docs.columns, F.col("_found.lang_pred").alias("lang_pred"), F.col("_found.score").alias("score"))
 

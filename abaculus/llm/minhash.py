@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from abaculus.llm.grouping import group, shared_buckets
-from abaculus.llm.shared import Workspace, broadcast_if_small, prepare_workers, without_ids
+from abaculus.llm.shared import Workspace, broadcast_if_small, give_back, prepare_workers, without_ids
 
 BUCKETS, BANDS, ROWS, MANTISSA = 128, 25, 5, 10
 SHINGLE = 5
@@ -151,6 +151,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 else:
                     out.append((doc_id, 0, None, None, None, None))
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_hash", "regs", "bands", "code"]).astype({"doc_id": "Int64"})
+        give_back()
         _memo.clear()
 
     prepare_workers(docs.sparkSession)

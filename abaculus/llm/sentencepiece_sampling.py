@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abaculus.llm.shared import prepare_workers
+from abaculus.llm.shared import give_back, prepare_workers
 
 MODEL = "piece_bpe_32k.model"
 #: Units that no piece crosses: words, other characters, line breaks. For a model with pieces that
@@ -333,6 +333,7 @@ def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", pat
                 columns=["n_pieces", "ids", "ids_crc32", "lossless"],
             )
         table.memo.clear()
+        give_back()
 
     kept = [c for c in docs.columns if c not in ("n_pieces", "ids", "ids_crc32", "lossless")]
     found = docs.select(*kept, run(F.coalesce(F.col(key_col).cast("long"), F.lit(0)), F.coalesce(F.col(text_col), F.lit(""))).alias("_enc"))

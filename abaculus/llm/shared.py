@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
@@ -90,6 +91,17 @@ def prepare_workers(spark: SparkSession) -> None:
         spark.conf.set(BATCH_CONF, f"{BATCH_BYTES}b")
 
 
+def give_back() -> None:
+    """Return freed memory of this Python worker, which later tasks and stages reuse, to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+
 def open_fs(uri: str):
     """(pyarrow file system, path in it) of a shared folder's URI; usable on executors."""
     from pyarrow import fs
