@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abaculus.llm.shared import Workspace, broadcast_if_small, prepare_workers
+from abaculus.llm.shared import Workspace, broadcast_if_small, give_back, prepare_workers
 
 MATCH, GRAM = 50, 16
 REACH = MATCH - GRAM  # the bytes of a window that can stand before its anchor
@@ -200,6 +200,7 @@ def _deal_anchors(parts: int, run_bytes: int, most_in_batch: int):
             raw = b.tobytes()
             hot = np.flatnonzero(often)
             yield from _classes(parts, ((raw[lo[i] : hi[i] + MATCH], int(place[i] - lo[i]), int(place[i] - hi[i]), int(place[i] - lo[i]), int(ids[text[i]]), int(marks[text[i]]), int(pos[i])) for i in hot))
+        give_back()
 
     return deal
 
@@ -233,6 +234,7 @@ def _keep_repeated(table: pa.Table, most: int) -> pa.Table:
             hit = flag[by][new][np.minimum(np.searchsorted(grams, some), len(grams) - 1)] == 1
             rows = [_empty(kind="sample", prefix=int(p)) for p in prefix[hit]]
             out.append(pa.Table.from_pylist(rows, _FOUND))
+    give_back()
     return pa.concat_tables([t.cast(_FOUND) for t in out])
 
 
@@ -400,6 +402,7 @@ def _merge_range(table: pa.Table) -> pa.Table:
         far[hit] = o
         near[hit & (near < 0)] = o
     hit = np.flatnonzero(far >= 0)
+    give_back()
     return pa.table({"doc_id": doc[hit], "mark": stack(lambda r: r.mark)[hit], "lo": (pos - far)[hit], "hi": (pos - near + MATCH)[hit]})
 
 
@@ -439,6 +442,7 @@ def _cut_runs(splitters: np.ndarray, parts: int):
                     held, n = [], 0
         if held:
             yield from sorted_run(held)
+        give_back()
 
     return cut
 
