@@ -156,7 +156,7 @@ def test_screening(spark):
     df = rows(spark, {"payment": -600000}, {"receipt": 1200000}, {"payment": -3000000}, {"receipt": -5})
     assert {r.txn_uid: r.risk_level for r in checks.large_amounts(df, 500000).collect()} == {"U0": "low", "U1": "medium", "U2": "high"}
     assert checks.large_amounts(df, 0).count() == 0 == checks.busy_days(df, None).count()
-    busy = checks.busy_days(df, 2).first()
+    busy = checks.busy_days(df, 2, with_ids=True).first()
     assert (busy.n, busy.risk_level, busy.txn_ids) == (4, "medium", ["T000", "T001", "T002", "T003"])
     often = rows(spark, *[{"counterparty": "P", "payment": -1, "trade_date": f"2024-01-{d:02d}"} for d in (1, 2, 2, 8, 9)])
     hits = checks.frequent_counterparties(often, (checks.FrequencyRule("r", 7, 3),)).collect()
