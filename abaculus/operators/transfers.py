@@ -87,6 +87,15 @@ def internal_transfers(df: DataFrame, window_days: int = 7, tolerance: str = "0.
     return found.join(near, ["a", "b"]).select("out_id", "in_id", "out_subject", "in_subject", "out_date", "in_date", "out_amount", "in_amount", "days", "gap")
 
 
+def candidate_legs(df: DataFrame, window_days: int = 7, tolerance: str = "0.01", strict: bool = True) -> DataFrame:
+    """``txn_uid`` of every leg that has a fitting leg, paired off or not (A8); classes of equal legs meet instead of the legs."""
+    legs = _legs(df).checkpoint()
+    near = candidate_pairs(legs.where("id = cls").withColumnRenamed("id", "txn_uid"), window_days, tolerance, strict)
+    fitting = near.select("out_id", "in_id").checkpoint()
+    classes = fitting.select(F.lit("out").alias("side"), F.col("out_id").alias("cls")).union(fitting.select(F.lit("in"), "in_id")).distinct()
+    return legs.join(classes, ["side", "cls"], "left_semi").select(F.col("id").alias("txn_uid")).distinct()
+
+
 def mark_transfers(df: DataFrame, pairs: DataFrame) -> DataFrame:
     """``df`` with mark, direction and pair id of internal transfers."""
     pair = F.concat_ws("-", "out_id", "in_id").alias("transfer_pair")

@@ -273,3 +273,11 @@ def test_fuzzy_one_way_for_all_sizes(spark, monkeypatch, threshold):
         monkeypatch.setattr(lookups, "BLOCK", block)
         got = {x.account: (x.candidate, x.score) for x in lookups.fuzzy_accounts(accounts, look, threshold).collect()}
         assert got == want and (threshold > 0.6 or "1X3Y5" in got)
+
+
+def test_candidate_legs_without_a_partner_left(spark):
+    """Two equal outgoing legs and one incoming leg: one pair, but all three have a fitting leg."""
+    legs = [{"subject": "A", "counterparty": "B", "payment": -5}, {"subject": "A", "counterparty": "B", "payment": -5}, {"subject": "B", "counterparty": "A", "receipt": 5}, {"subject": "B", "counterparty": "A", "receipt": 6}]
+    df = rows(spark, *legs)
+    assert transfers.internal_transfers(df).count() == 1
+    assert {r.txn_uid for r in transfers.candidate_legs(df).collect()} == {"U0", "U1", "U2"}
