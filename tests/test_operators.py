@@ -281,3 +281,12 @@ def test_candidate_legs_without_a_partner_left(spark):
     df = rows(spark, *legs)
     assert transfers.internal_transfers(df).count() == 1
     assert {r.txn_uid for r in transfers.candidate_legs(df).collect()} == {"U0", "U1", "U2"}
+
+
+def test_fuzzy_near_accounts_without_tiles(spark, monkeypatch):
+    """Up to two edits (a changed, a lost and a new character, two changed, two lost) are met by keys alone."""
+    monkeypatch.setattr(lookups, "_blocks", None)
+    look = spark.createDataFrame([("S", a, a, 0, i) for i, a in enumerate(["1234567890", "5555555555", "123456789077"])], "subject string, account string, account_key string, priority int, row_id long")
+    typed = ["1234567891", "2345678900", "1299567890", "5555555577", "9999999999"]
+    got = lookups.fuzzy_accounts(spark.createDataFrame([(a,) for a in typed], "account string"), look, 0.8)
+    assert {(r.account, r.candidate, r.score) for r in got.collect()} == {("1234567891", "1234567890", 0.9), ("2345678900", "1234567890", 0.8), ("1299567890", "1234567890", 0.8), ("5555555577", "5555555555", 0.8)}
