@@ -4,8 +4,9 @@
     spark.read.format("workbook").option("rows", 50_000).load(folder)        # (file, sheet, row, col, value)
     write_cells(cells, folder)                                               # a workbook per value of ``file``
 
-A scan has a partition per sheet and range of ``rows`` rows (small sheets share one). What it opens is read by range: the archive's directory, then
-the one sheet. Rows are parsed as a stream, leave in batches of ``chunk`` cells, and are forgotten. Sheets, columns and a range of rows are
+A scan has a partition per sheet and range of ``rows`` rows; small sheets share one, of up to ``PACK`` bytes. Planning streams
+each archive's directory and opens only sheets that may hold more than ``rows`` rows, so what the driver holds doesn't grow with
+the number of sheets; a task gets a slice of the directory and looks up the names of its own sheets. What it opens is read by range. Rows are parsed as a stream, leave in batches of ``chunk`` cells, and are forgotten. Sheets, columns and a range of rows are
 asked for by options of the scan (a filter pushed down to a Python source would hold for all scans of the same
 relation): other sheets and ranges get no partition, other columns aren't kept, and a task ends behind its last row. Shared texts are gone through once per task; only those are kept whose number stands
 in the range. So a task holds what its own range refers to, whatever the size of the workbook.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import io
 import json
 import re
+import struct
 import zipfile
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -46,6 +48,12 @@ DATE_FORMATS = frozenset((14, 15, 16, 17, 18, 19, 20, 21, 22, 27, 30, 36, 45, 46
 #: Fixed value: the most rows that a sheet can have.
 SHEET_ROWS = 1_048_576
 ROWS, CHUNK = 50_000, 4000
+#: Bytes of small sheets, not compressed, that share a partition.
+PACK = 32 << 20
+#: Fixed value: the fewest bytes of a row with a cell, <row><c><v>1</v></c></row>.
+ROW_BYTES = 27
+#: Parts of a workbook that readers of any sheet need.
+PARTS = frozenset(("xl/workbook.xml", "xl/_rels/workbook.xml.rels", "xl/styles.xml", "xl/sharedStrings.xml"))
 SCHEMA = pa.schema([("file", pa.string()), ("sheet", pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("value", pa.string())])
 
 
@@ -55,10 +63,13 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
 
 @dataclass
 class Ranges(InputPartition):
-    """Ranges of rows of a workbook's sheets, as (sheet, member, first, last)."""
+    """Of a workbook ranges of rows of large sheets, as (sheet, member, first, last), or the sheets in a slice of its
+    directory; and the places in the directory of the other members that are needed."""
 
     file: str
+    places: list[int]
     ranges: list[tuple[str, str, int, int]]
+    slice: tuple[int, int] | None = None
 
     def __post_init__(self):
         super().__init__(None)
@@ -90,24 +101,103 @@ def column_letters(n: int) -> str:
     return column_letters((n - 1) // 26) + chr(65 + (n - 1) % 26) if n else ""
 
 
-class Workbook:
-    """An open archive: its sheets, and the rows of one of them as a stream."""
+class _Archive(zipfile.ZipFile):
+    """An archive of which only the members that are added are known."""
 
-    def __init__(self, stream):
-        self.zip = zipfile.ZipFile(stream)
-        self.names = set(self.zip.namelist())
+    def _RealGetContents(self):
+        pass
 
-    def sheets(self) -> Iterator[tuple[str, str, int]]:
-        """(name, member, last row as far as the sheet tells, else the most that there can be)."""
+    def add(self, member: zipfile.ZipInfo) -> None:
+        self.NameToInfo[member.filename] = member
+
+
+def directory(stream) -> tuple[int, int, int]:
+    """Start and end of an archive's directory, and how far the places given in it are off."""
+    size = stream.seek(0, 2)
+    first = max(0, size - 65_557 - 76)
+    stream.seek(first)
+    tail = stream.read(size - first)
+    at = tail.rfind(b"PK\x05\x06")
+    if at < 0 or len(tail) < at + 22:
+        raise zipfile.BadZipFile("no directory")
+    (length, offset), end = struct.unpack("<II", tail[at + 12 : at + 20]), first + at
+    if 0xFFFFFFFF in (length, offset) or tail[at + 10 : at + 12] == b"\xff\xff":
+        if tail[at - 20 : at - 16] == b"PK\x06\x07":
+            end = first + at - 20 - 56
+            stream.seek(end)
+            length, offset = struct.unpack("<QQ", stream.read(56)[40:])
+    if end < length:
+        raise zipfile.BadZipFile("no directory")
+    return end - length, end, end - length - offset
+
+
+def members(stream, first: int, last: int, off: int, one: bool = False) -> Iterator[tuple[int, zipfile.ZipInfo]]:
+    """(place in the directory, member) of a slice of it, read as a stream; or only the first one."""
+    held, at, end = b"", 0, first  # what has been read of the directory, up to ``end``
+    while (place := end - len(held) + at) < last:
+        if len(held) - at < 1 << 18 and end < last:
+            stream.seek(end)
+            more = stream.read(min(last - end, 1 << 12 if one else 1 << 20))
+            held, at, end = held[at:] + more, 0, end + len(more)
+            if not more:
+                raise zipfile.BadZipFile("short directory")
+            continue
+        flags, method, crc, packed, plain, n, m, k, offset = struct.unpack("<HH4xIIIHHH8xI", held[at + 8 : at + 46])
+        raw, extra = held[at + 46 : at + 46 + n], held[at + 46 + n : at + 46 + n + m]
+        found = zipfile.ZipInfo(raw.decode("utf-8" if flags & 0x800 else "cp437"))
+        while len(extra) >= 4:  # sizes and places beyond 32 bits
+            kind, length = struct.unpack("<HH", extra[:4])
+            if kind == 1:
+                wide = iter(struct.unpack(f"<{length // 8}Q", extra[4 : 4 + length // 8 * 8]))
+                plain, packed, offset = (next(wide, v) if v == 0xFFFFFFFF else v for v in (plain, packed, offset))
+            extra = extra[4 + length :]
+        found.flag_bits, found.compress_type, found.CRC, found.compress_size, found.file_size, found.header_offset = flags, method, crc, packed, plain, offset + off
+        yield place, found
+        if one:
+            return
+        at += 46 + n + m + k
+
+
+class Workbook:
+    """An open archive: its sheets, and the rows of one of them as a stream. Of its members all are known, or those at
+    ``places`` and in a slice of the directory."""
+
+    def __init__(self, stream, places: list[int] | None = None, slice: tuple[int, int] | None = None):
+        first, last, off = directory(stream)
+        self.zip, self.small = _Archive(stream), set()
+        for _, member in members(stream, *((first, last) if places is None else slice or (0, 0)), off):
+            self.zip.add(member)
+            self.small.add(member.filename)
+        for place in places or ():
+            self.zip.add(next(members(stream, place, last, off, True))[1])
+        self.names = self.zip.NameToInfo.keys()
+
+    def named(self, wanted: set[str]) -> Iterator[tuple[str, str]]:
+        """(name, member) of the sheets that these members hold; the lists are gone through as streams."""
         if "xl/workbook.xml" not in self.names:
             return
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(self.zip.read("xl/_rels/workbook.xml.rels"))}
-        for sheet in ElementTree.fromstring(self.zip.read("xl/workbook.xml")).iter(f"{MAIN}sheet"):
-            target = targets[sheet.get(LINK)]
-            member = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-            with self.zip.open(member) as head:
-                extent = re.search(rb'<dimension ref="[A-Z]+\d+:[A-Z]+(\d+)"', head.read(4096))
-            yield sheet.get("name"), member, int(extent[1]) if extent else SHEET_ROWS
+        targets = {}
+        with self.zip.open("xl/_rels/workbook.xml.rels") as stream:
+            for r in _elements(stream, "}Relationship"):
+                target = r.get("Target")
+                member = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+                if member in wanted:
+                    targets[r.get("Id")] = member
+        with self.zip.open("xl/workbook.xml") as stream:
+            for sheet in _elements(stream, f"{MAIN}sheet"):
+                if member := targets.get(sheet.get(LINK)):
+                    yield sheet.get("name"), member
+
+    def extent(self, member: str) -> int:
+        """The last row as far as the sheet tells, else the most that there can be."""
+        with self.zip.open(member) as head:
+            found = re.search(rb'<dimension ref="[A-Z]+\d+:[A-Z]+(\d+)"', head.read(4096))
+        return int(found[1]) if found else SHEET_ROWS
+
+    def sheets(self) -> Iterator[tuple[str, str, int]]:
+        """(name, member, last row) of all known sheets."""
+        for sheet, member in self.named(set(self.names)):
+            yield sheet, member, self.extent(member)
 
     def date_styles(self) -> list[bool]:
         if "xl/styles.xml" not in self.names:
@@ -161,7 +251,7 @@ def _elements(stream, tag: str) -> Iterator[ElementTree.Element]:
             parents.append(element)
             continue
         parents.pop()
-        if element.tag == tag:
+        if element.tag == tag or (tag[0] == "}" and element.tag.endswith(tag)):
             yield element
             if parents:
                 parents[-1].clear()
@@ -190,21 +280,38 @@ class WorkbookReader(DataSourceReader):
         return sorted(f.path for f in listed if f.type == fs.FileType.File and re.search(r"(?i)\.(xlsx|xlsm)$", f.path) and not f.base_name.startswith("~$"))
 
     def _ranges(self, file: str) -> list[Ranges]:
-        """The ranges asked for; those of small sheets share a partition of up to ``rows`` rows."""
+        """The ranges asked for, each a partition; the directory's slices of small sheets, of up to ``PACK`` bytes; those of
+        large sheets' rests share a partition of up to ``rows`` rows."""
         want, out, free = self.wanted, [], 0
         try:
             with _store(self.path)[0].open_input_file(file) as stream:
-                for sheet, member, rows in Workbook(stream).sheets():
+                first, last, off = directory(stream)
+                parts, large, starts, held = [], {}, [], PACK + 1
+                for place, member in members(stream, first, last, off):
+                    if member.filename in PARTS:
+                        parts.append(place)
+                    elif member.file_size > self.size * ROW_BYTES:
+                        large[member.filename] = place
+                    elif not member.filename.endswith((".rels", "[Content_Types].xml")):
+                        if held > PACK:
+                            starts.append(place)
+                            held = 0
+                        held += member.file_size
+                out = [Ranges(file, parts, [], ends) for ends in zip(starts, [*starts[1:], last])]
+                book = Workbook(stream, parts + list(large.values()))
+                for sheet, member in book.named(set(large)) if large else ():
                     if want.sheets is not None and sheet not in want.sheets:
                         continue
+                    rows = book.extent(member)
                     step = self.size if rows < SHEET_ROWS else SHEET_ROWS  # a sheet that doesn't tell its extent is read as a whole
-                    last = min(rows, want.last)
-                    for first in range(want.first, last + 1, step):
-                        n = min(last, first + step - 1) - first + 1
+                    to = min(rows, want.last)
+                    for start in range(want.first, to + 1, step):
+                        n = min(to, start + step - 1) - start + 1
                         if n > free:
-                            out.append(Ranges(file, []))
+                            out.append(Ranges(file, list(parts), []))
                             free = self.size
-                        out[-1].ranges.append((sheet, member, first, first + n - 1))
+                        out[-1].places = [*out[-1].places, large[member]]
+                        out[-1].ranges.append((sheet, member, start, start + n - 1))
                         free -= n
         except (zipfile.BadZipFile, pa.ArrowInvalid) as e:  # the latter: too short to hold a directory
             if not self.broken:
@@ -220,11 +327,14 @@ class WorkbookReader(DataSourceReader):
             return
         columns = self.wanted.columns
         with _store(self.path)[0].open_input_file(partition.file) as stream:
-            book = Workbook(stream)
-            dates, strings = book.date_styles(), {}
+            book, want = Workbook(stream, partition.places, partition.slice), self.wanted
+            dates, strings, ranges = book.date_styles(), {}, partition.ranges
+            if partition.slice:
+                small = {m for m in book.small if m not in PARTS and book.zip.getinfo(m).file_size <= self.size * ROW_BYTES}
+                ranges = [(sheet, member, want.first, want.last) for sheet, member in book.named(small) if want.sheets is None or sheet in want.sheets]
             if "xl/sharedStrings.xml" in book.names:
-                strings = book.shared_texts({int(value) for _, member, first, last in partition.ranges for _, cells in book.rows(member, first, last, columns) for _, value, kind, _ in cells if kind == "s"})
-            cells = ((sheet, *cell) for sheet, member, first, last in partition.ranges for cell in texts(book.rows(member, first, last, columns), strings, dates))
+                strings = book.shared_texts({int(value) for _, member, first, last in ranges for _, cells in book.rows(member, first, last, columns) for _, value, kind, _ in cells if kind == "s"})
+            cells = ((sheet, *cell) for sheet, member, first, last in ranges for cell in texts(book.rows(member, first, last, columns), strings, dates))
             for some in batched(cells, self.chunk):
                 sheet, row, col, value = zip(*some, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([partition.file] * len(some)), pa.array(sheet), pa.array(row, pa.int32()), pa.array(col, pa.int32()), pa.array(value)], schema=SCHEMA)

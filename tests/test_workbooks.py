@@ -63,3 +63,25 @@ def test_report_has_a_sheet_for_each_table(spark, tmp_path):
     workbooks.write_report({"first": (a, [F.col("k")]), "second": (b, [F.col("z")])}, str(tmp_path / "r"), "report.xlsx")
     got = sorted((r.sheet, r.row, r.col, r.value) for r in workbooks.read_workbooks(spark, str(tmp_path / "r")).collect())
     assert got == [("first", 1, 1, "k"), ("first", 1, 2, "v"), ("first", 2, 1, "1"), ("first", 3, 1, "2"), ("first", 3, 2, "y"), ("second", 1, 1, "z")]
+
+
+def test_small_sheets_share_slices_of_the_directory(spark, tmp_path, monkeypatch):
+    """Planning opens no sheet that can't be large, and a partition holds few sheets' names; all cells come back, from archives with wide fields too."""
+    data = spark.range(3000).select(F.lit("f").alias("file"), F.concat(F.lit("s"), F.col("id") % 700).alias("sheet"), (F.floor(F.col("id") / 700) + 1).cast("int").alias("row"), F.lit(1).alias("col"), F.concat(F.lit("v"), "id").alias("value"))
+    folder = str(tmp_path / "out")
+    workbooks.write_cells(data, folder)
+    reader = workbooks.WorkbookReader({"path": folder, "rows": "500"})
+    opened, plain = [], workbooks.Workbook.extent
+    monkeypatch.setattr(workbooks.Workbook, "extent", lambda self, member: opened.append(member) or plain(self, member))
+    assert [p.ranges for p in reader.partitions()] == [[]] and not opened
+    monkeypatch.setattr(workbooks, "PACK", 10_000)
+    planned = reader.partitions()
+    assert len(planned) > 5 and not opened
+    got = [r for p in planned for b in reader.read(p) for r in b.drop_columns("file").to_pylist()]
+    want = [r.asDict() for r in data.drop("file").collect()]
+    key = lambda r: tuple(r.values())
+    assert sorted(map(key, got)) == sorted(map(key, want))
+    monkeypatch.undo()
+    with zipfile.ZipFile(f"{folder}/f.xlsx") as z, open(f"{folder}/f.xlsx", "rb") as stream:
+        first, last, off = workbooks.directory(stream)
+        assert [(m.filename, m.file_size, m.compress_size, m.header_offset) for _, m in workbooks.members(stream, first, last, off)] == [(m.filename, m.file_size, m.compress_size, m.header_offset) for m in z.infolist()]
