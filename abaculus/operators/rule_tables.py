@@ -1,7 +1,7 @@
-"""Keyword rules as a table, of any number, met with texts by their rarest gram.
+"""Keyword rules as a table, of any number, met with texts by equality or by their rarest gram.
 
-``rules.classify_cashflow`` compiles each keyword into the plan, which grows with the rules. Here rules are rows: every
-keyword stands in the table of grams under the one of its grams (of ``GRAM`` characters, or the whole keyword where it is
+``rules.classify_cashflow`` compiles each keyword into the plan, which grows with the rules. Here rules are rows: those for a
+whole text, its start or its end meet the texts' starts and ends of their own lengths; every other keyword stands in the table of grams under the one of its grams (of ``GRAM`` characters, or the whole keyword where it is
 shorter) that the fewest texts hold; texts meet keywords on grams, and those that meet are compared by the rule's mode. Equal
 texts are met once. The plan is the same for ten rules and ten thousand.
 """
@@ -23,6 +23,15 @@ def _grams(text: Column, size: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(text, i, size)))
 
 
+def _grams_of_length(text: Column, size: int) -> Column:
+    """The grams of a text, put together from its characters: places of a long text would be counted from its start for each."""
+    def of(chars: Column) -> Column:
+        starts = F.slice(chars, F.lit(1), F.greatest(F.size(chars) - size + 1, F.lit(0)))
+        return F.transform(starts, lambda c, i: F.concat(c, *[F.get(chars, i + n) for n in range(1, size)]))
+
+    return F.array_distinct(F.flatten(F.transform(F.array(F.split(text, "")), of)))  # split once
+
+
 def matches(texts: DataFrame, column: str, rules: DataFrame) -> DataFrame:
     """(column, columns of ``rules``) of every distinct text and rule that match.
 
@@ -31,18 +40,28 @@ def matches(texts: DataFrame, column: str, rules: DataFrame) -> DataFrame:
     """
     distinct = texts.select(F.col(column).alias("_text")).where("_text <> ''").distinct()
     rules = rules.where("keyword <> ''")
-    plain = rules.where("mode <> 'regex'").withColumn("_size", F.least(F.length("keyword"), F.lit(GRAM)))
-    own = plain.select("keyword", "_size").distinct().select("keyword", "_size", F.explode(_grams(F.col("keyword"), F.col("_size"))).alias("_gram"))
-    sizes = F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length("_text")))
-    grams = distinct.select("_text", F.explode(sizes).alias("_size")).select("_text", "_size", F.explode(_grams(F.col("_text"), F.col("_size"))).alias("_gram"))
+    text, keyword, mode = F.col("_text"), F.col("keyword"), F.col("mode")
+    names = [F.col(c) for c in rules.columns]
+
+    # rules for whole texts, starts and ends: equal to one of the texts' starts or ends of the lengths that the rules have
+    whole = distinct.join(broadcast_if_small(rules.where(mode == "exact")), text == keyword).select("_text", *names)
+    sides = rules.where(mode.isin("startswith", "endswith")).withColumn("_size", F.length("keyword"))
+    lengths = F.broadcast(sides.select("mode", "_size").distinct())  # two rows for a length of keywords
+    part = F.when(mode == "startswith", F.left("_text", F.col("_size"))).otherwise(F.right("_text", F.col("_size")))
+    parts = distinct.join(lengths, F.length("_text") >= F.col("_size")).select("_text", mode.alias("_mode"), part.alias("_part"))
+    at_side = parts.join(broadcast_if_small(sides), (F.col("_part") == keyword) & (F.col("_mode") == mode)).select("_text", *names)
+
+    # others: the rarest gram of each
+    inside = rules.where(~mode.isin("exact", "startswith", "endswith", "regex")).withColumn("_size", F.least(F.length("keyword"), F.lit(GRAM)))
+    own = inside.select("keyword", "_size").distinct().select("keyword", "_size", F.explode(_grams(keyword, F.col("_size"))).alias("_gram"))
+    used = [r[0] for r in inside.select("_size").distinct().collect()]  # of 1 to GRAM
+    grams = distinct.select("_text", F.explode(F.concat(F.array().cast("array<string>"), *[_grams_of_length(text, n) for n in used])).alias("_gram")).withColumn("_size", F.length("_gram"))
     asked = grams.join(broadcast_if_small(own.select("_size", "_gram").distinct()), ["_size", "_gram"], "left_semi")
     counts = asked.groupBy("_size", "_gram").agg(F.count(F.lit(1)).alias("_n"))
     rarest = own.join(counts, ["_size", "_gram"]).groupBy("keyword", "_size").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))  # of those that a text holds
-    chosen = broadcast_if_small(plain.join(rarest, ["keyword", "_size"]))
-    met = grams.join(chosen, ["_size", "_gram"])
-    text, keyword, mode = F.col("_text"), F.col("keyword"), F.col("mode")
-    holds = F.when(mode == "exact", text == keyword).when(mode == "startswith", F.startswith(text, keyword)).when(mode == "endswith", F.endswith(text, keyword)).otherwise(F.contains(text, keyword))
-    found = met.where(holds).select("_text", *rules.columns)
+    chosen = broadcast_if_small(inside.join(rarest, ["keyword", "_size"]))
+    found = grams.join(chosen, ["_size", "_gram"]).where(F.contains(text, keyword)).select("_text", *names)
+    found = found.unionByName(whole).unionByName(at_side)
     patterns = rules.where("mode = 'regex'")
     if not patterns.isEmpty():
         if not is_small(patterns, MOST_PATTERNS):

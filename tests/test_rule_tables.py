@@ -36,3 +36,13 @@ def test_plan_does_not_grow_with_rules(spark):
     table = lambda n: spark.range(n).select(F.concat(F.lit("text "), F.col("id")).alias("keyword"), F.lit("exact").alias("mode"))
     plans = [rule_tables.matches(texts, "t", table(n))._jdf.queryExecution().optimizedPlan().toString().count("\n") for n in (10, 10_000)]
     assert plans[0] == plans[1] and rule_tables.matches(texts, "t", table(10_000)).count() == 300
+
+
+def test_grams_only_of_the_sizes_of_inner_keywords(spark, monkeypatch):
+    """Exact, first and last keywords meet without grams; characters of four bytes count as one."""
+    sizes, plain = [], rule_tables._grams_of_length
+    monkeypatch.setattr(rule_tables, "_grams_of_length", lambda text, size: sizes.append(size) or plain(text, size))
+    texts = spark.createDataFrame([("a😀bcd",), ("a",)], "t string")
+    table = spark.createDataFrame([("a😀", "startswith"), ("d", "endswith"), ("a", "exact"), ("😀bc", "contains"), ("bcde", "contains")], "keyword string, mode string")
+    assert {(r.t, r.keyword) for r in rule_tables.matches(texts, "t", table).collect()} == {("a😀bcd", "a😀"), ("a😀bcd", "d"), ("a", "a"), ("a😀bcd", "😀bc")}
+    assert sizes == [3]
