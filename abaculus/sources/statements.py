@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -12,6 +13,7 @@ from abaculus.functions.accounts import normalize_account
 from abaculus.functions.amounts import parse_amount
 from abaculus.functions.dates import parse_date
 from abaculus.functions.texts import half_width
+from abaculus.operators.sizes import broadcast_if_small
 
 MONEY = "decimal(20,2)"
 FIELDS = ("trade_date", "payment", "receipt", "balance", "counterparty", "summary", "txn_id")
@@ -152,8 +154,11 @@ def infer_templates(cells: DataFrame, top: int = 30, least: float = 0.7) -> Data
     head = cells.where(F.col("row") <= top)
     scores = F.array(*[F.struct(F.lit(f).alias("field"), header_score(F.col("text"), ws).alias("score")) for f, ws in SHEET_WORDS.items()])
     named = head.select("file", "sheet", "row", "col", header_text(F.col("value")).alias("text"))
+    if least > 0.5:  # so good a text holds a word whole; others, nearly all cells, are neither dealt out nor scored
+        words = {w.replace(" ", "").lower() for ws in SHEET_WORDS.values() for w in ws}
+        named = named.where(F.col("text").rlike("|".join(map(re.escape, sorted(words)))))
     known = named.select("text").distinct().select("text", F.inline(scores)).where(F.col("score") >= least)  # each text is scored once
-    scored = named.join(known, "text").drop("text")
+    scored = named.join(broadcast_if_small(known), "text").drop("text")
     header = scored.groupBy("file", "sheet", "row").agg(F.countDistinct("col").alias("n")).where("n >= 2").groupBy("file", "sheet").agg(F.min("row").alias("header_row"))
     best = scored.join(header, ["file", "sheet"]).where("row = header_row").groupBy("file", "sheet", "header_row", "field").agg(F.min_by("col", F.struct((-F.col("score")).alias("s"), "col")).alias("col"))
     accounts = head.groupBy("file", "sheet").agg(F.max(F.col("value").rlike(ACCOUNT_LABEL) | F.col("value").rlike(r"^\d{6,30}$")).alias("has_account"))

@@ -97,3 +97,10 @@ def test_ingest_restart(spark, tmp_path):
     rows.write.mode("append").parquet(inbox)
     ingest.ingest(ingest.watch(spark, inbox, rows.schema), table, state).awaitTermination()
     assert spark.read.parquet(table).count() == 7
+
+
+def test_only_texts_with_header_words_are_scored(spark):
+    df = spark.createDataFrame([("f", "s", 1, 1, "交易日期"), ("f", "s", 1, 2, "支出(元)"), ("f", "s", 2, 1, "T123")], "file string, sheet string, row int, col int, value string")
+    found = statements.infer_templates(df)
+    assert found.first().header_row == 1 and [f.field for f in found.first().fields] == ["payment", "trade_date"]
+    assert "|transdate|" in found._jdf.queryExecution().optimizedPlan().toString()
