@@ -11,6 +11,9 @@ asked for by options of the scan (a filter pushed down to a Python source would
 relation): other sheets and ranges get no partition, other columns aren't kept, and a task ends behind its last row. Shared texts are gone through once per task; only those are kept whose number stands
 in the range. So a task holds what its own range refers to, whatever the size of the workbook.
 
+Writing deals cells out by sheet: tasks compress their sheets into parts, and a task per workbook then joins the packed sheets
+as bytes. So a task holds cells of single sheets, which the format bounds, and of a workbook only the names of its sheets.
+
 Defined results: empty cells give no rows; numbers in date formats become dates; a workbook without sheets gives
 no rows; files that are no archives fail the job, or are left out with ``ignoreBroken``.
 """
@@ -21,7 +24,9 @@ import io
 import json
 import re
 import struct
+import uuid
 import zipfile
+import zlib
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -348,10 +353,10 @@ class Written(WriterCommitMessage):
 
 
 class WorkbookWriter(DataSourceArrowWriter):
-    """Cells in order of file, sheet, row and column; a workbook goes out as its rows come in."""
+    """Packed sheets in order of file and part, as ``packed_sheets`` gives them; a workbook goes out as its sheets are copied."""
 
     def __init__(self, options: dict, overwrite: bool):
-        self.path = options["path"]
+        self.path, self.parts = options["path"], options["parts"]
         if overwrite:
             store, path = _store(self.path)
             store.create_dir(path, recursive=True)
@@ -363,13 +368,13 @@ class WorkbookWriter(DataSourceArrowWriter):
         store, folder = _store(self.path)
         store.create_dir(folder, recursive=True)
         attempt, out = TaskContext.get().taskAttemptId(), []
-        cells = (tuple(c.values()) for batch in batches for c in batch.select(["file", "sheet", "row", "col", "value", "last_row", "last_col"]).to_pylist())
-        for file, of_file in groupby(cells, lambda c: c[0]):
+        sheets = (tuple(c.values()) for batch in batches for c in batch.select(["file", "sheet", "part", "at", "crc", "packed", "plain"]).to_pylist())
+        for file, of_file in groupby(sheets, lambda c: c[0]):
             name = re.sub(r"[/\\]", "_", file or "")
             name = name if name.lower().endswith((".xlsx", ".xlsm")) else f"{name}.xlsx"
             part = f"{folder}/.{name}.{attempt}.part"
             with store.open_output_stream(part) as stream:
-                write_workbook(stream, (((sheet, *extent), (c[2:5] for c in of_sheet)) for (sheet, *extent), of_sheet in groupby(of_file, lambda c: (c[1], *c[5:]))))
+                write_workbook(stream, (c[1:] for c in of_file), store)
             out.append((part, f"{folder}/{name}"))
         return Written(out)
 
@@ -378,6 +383,7 @@ class WorkbookWriter(DataSourceArrowWriter):
         for m in messages:
             for part, name in m.files if m else ():
                 store.move(part, name)
+        self._forget_parts()
 
     def abort(self, messages: list[Written | None]) -> None:
         store, _ = _store(self.path)
@@ -385,6 +391,12 @@ class WorkbookWriter(DataSourceArrowWriter):
             for part, _ in m.files if m else ():
                 if store.get_file_info(part).type == fs.FileType.File:
                     store.delete_file(part)
+        self._forget_parts()
+
+    def _forget_parts(self) -> None:
+        store, parts = _store(self.parts)
+        if store.get_file_info(parts).type == fs.FileType.Directory:
+            store.delete_dir(parts)
 
 
 NUMBER = re.compile(r"-?(0|[1-9]\d{0,14})(\.\d{1,6})?$")
@@ -411,30 +423,68 @@ class _Forward(io.RawIOBase):
         pass
 
 
-def write_workbook(stream, sheets: Iterable[tuple[tuple[str, int, int], Iterable[tuple[int, int, str]]]]) -> None:
-    """A workbook of sheets ((name, last row, last column), cells (row, column, value) in order); plain decimal numbers
-    become numbers, others text. A sheet tells its extent first, so that readers can deal out its rows."""
+def sheet_xml(last_row: int, last_col: int, cells: Iterable[tuple[int, int, str]]) -> Iterator[bytes]:
+    """A sheet of cells (row, column, value) in order; plain decimal numbers become numbers, others text. It tells its extent
+    first, so that readers can deal out its rows."""
+    yield b'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
+    yield f'<dimension ref="A1:{column_letters(last_col)}{last_row}"/><sheetData>'.encode()
+    for row, of_row in groupby(cells, lambda c: c[0]):
+        line = [f'<row r="{row}">']
+        for _, col, value in of_row:
+            place = f"{column_letters(col)}{row}"
+            line.append(f'<c r="{place}"><v>{value}</v></c>' if NUMBER.match(value or "") else f'<c r="{place}" t="inlineStr"><is><t xml:space="preserve">{escape(value or "")}</t></is></c>')
+        yield "".join([*line, "</row>"]).encode()
+    yield b"</sheetData></worksheet>"
+
+
+def packed_sheets(batches: Iterator[pa.RecordBatch], parts: str) -> Iterator[pa.RecordBatch]:
+    """Pack the sheets of a task's cells, in order of file, sheet, row and column, into a file of each workbook's below ``parts``;
+    tells of every sheet the part and its place in it, its CRC and its bytes, packed and plain."""
+    from pyspark import TaskContext
+
+    store, folder = _store(parts)
+    store.create_dir(folder, recursive=True)
+    attempt, schema = TaskContext.get().taskAttemptId(), pa.schema([("file", pa.string()), ("sheet", pa.string()), ("part", pa.string()), *[(c, pa.int64()) for c in ("at", "crc", "packed", "plain")]])
+    cells = (tuple(c.values()) for batch in batches for c in batch.select(["file", "sheet", "row", "col", "value", "last_row", "last_col"]).to_pylist())
+    for n, (file, of_file) in enumerate(groupby(cells, lambda c: c[0])):
+        part, out = f"{folder}/{attempt}-{n}.part", []
+        with store.open_output_stream(part) as stream:
+            at = 0
+            for (sheet, *extent), of_sheet in groupby(of_file, lambda c: (c[1], *c[5:])):
+                packer, crc, packed, plain = zlib.compressobj(wbits=-15), 0, 0, 0
+                for xml in sheet_xml(*extent, (c[2:5] for c in of_sheet)):
+                    crc, plain = zlib.crc32(xml, crc), plain + len(xml)
+                    packed += stream.write(packer.compress(xml))
+                packed += stream.write(packer.flush())
+                out.append((file, sheet, part, at, crc, packed, plain))
+                at += packed
+        for some in batched(out, 10_000):
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in some], schema=schema)
+
+
+def write_workbook(stream, sheets: Iterable[tuple[str, str, int, int, int, int]], store: fs.FileSystem) -> None:
+    """A workbook of packed sheets (name, part, place, CRC, packed and plain bytes), which are copied as they are; it lists them by name."""
     names = []
     with zipfile.ZipFile(_Forward(stream), "w", zipfile.ZIP_DEFLATED) as z:
-        for n, ((sheet, last_row, last_col), cells) in enumerate(sheets, 1):
-            names.append(sheet)
-            with z.open(f"xl/worksheets/sheet{n}.xml", "w", force_zip64=True) as out:
-                out.write(b'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">')
-                out.write(f'<dimension ref="A1:{column_letters(last_col)}{last_row}"/><sheetData>'.encode())
-                for row, of_row in groupby(cells, lambda c: c[0]):
-                    line = [f'<row r="{row}">']
-                    for _, col, value in of_row:
-                        place = f"{column_letters(col)}{row}"
-                        line.append(f'<c r="{place}"><v>{value}</v></c>' if NUMBER.match(value or "") else f'<c r="{place}" t="inlineStr"><is><t xml:space="preserve">{escape(value or "")}</t></is></c>')
-                    out.write("".join([*line, "</row>"]).encode())
-                out.write(b"</sheetData></worksheet>")
+        for part, of_part in groupby(sheets, lambda c: c[1]):
+            with store.open_input_file(part) as source:
+                for sheet, _, at, crc, packed, plain in of_part:
+                    names.append(sheet)
+                    member = zipfile.ZipInfo(f"xl/worksheets/sheet{len(names)}.xml")
+                    member.compress_type, member.CRC, member.compress_size, member.file_size, member.header_offset = zipfile.ZIP_DEFLATED, crc, packed, plain, z.fp.tell()
+                    z.fp.write(member.FileHeader())
+                    for first in range(at, at + packed, 1 << 20):
+                        z.fp.write(source.read_at(min(1 << 20, at + packed - first), first))
+                    z.filelist.append(member)
+                    z.NameToInfo[member.filename] = member
+                    z.start_dir = z.fp.tell()
         part = '<Override PartName="/xl/{}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.{}+xml"/>'
         z.writestr("[Content_Types].xml", '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>' + part.format("workbook", "sheet.main") + "".join(part.format(f"worksheets/sheet{n}", "worksheet") for n in range(1, len(names) + 1)) + "</Types>")
         relation = '<Relationship Id="rId{}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/{}" Target="{}"/>'
         wrap = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{}</Relationships>'
         z.writestr("_rels/.rels", wrap.format(relation.format(1, "officeDocument", "xl/workbook.xml")))
         z.writestr("xl/_rels/workbook.xml.rels", wrap.format("".join(relation.format(n, "worksheet", f"worksheets/sheet{n}.xml") for n in range(1, len(names) + 1))))
-        entries = "".join(f'<sheet name={quoteattr(name or "")} sheetId="{n}" r:id="rId{n}"/>' for n, name in enumerate(names, 1))
+        entries = "".join(f'<sheet name={quoteattr(name)} sheetId="{n}" r:id="rId{n}"/>' for name, n in sorted((name or "", n) for n, name in enumerate(names, 1)))
         z.writestr("xl/workbook.xml", f'<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>{entries}</sheets></workbook>')
 
 
@@ -467,11 +517,13 @@ def read_workbooks(spark: SparkSession, path: str, rows: int = ROWS, first_row:
 
 
 def write_cells(cells: DataFrame, folder: str, mode: str = "append") -> None:
-    """A workbook for each value of ``file`` below ``folder``, with a sheet for each of its sheets; one shuffle, by file."""
+    """A workbook for each value of ``file`` below ``folder``, with a sheet for each of its sheets; one shuffle of the cells, by
+    sheet, and one of a row per sheet, by file."""
     register(cells.sparkSession)
-    sheet = Window.partitionBy("file", "sheet")
-    dealt = cells.select("file", "sheet", "row", "col", "value").repartition("file").withColumns({"last_row": F.max("row").over(sheet), "last_col": F.max("col").over(sheet)})
-    dealt.sortWithinPartitions("file", "sheet", "row", "col").write.format("workbook").mode(mode).save(folder)
+    sheet, parts = Window.partitionBy("file", "sheet"), f"{folder}/.parts-{uuid.uuid4().hex}"
+    dealt = cells.select("file", "sheet", "row", "col", "value").repartition("file", "sheet").withColumns({"last_row": F.max("row").over(sheet), "last_col": F.max("col").over(sheet)})
+    packed = dealt.sortWithinPartitions("file", "sheet", "row", "col").mapInArrow(lambda batches: packed_sheets(batches, parts), "file string, sheet string, part string, at long, crc long, packed long, plain long")
+    packed.repartition("file").sortWithinPartitions("file", "part", "at").write.format("workbook").option("parts", parts).mode(mode).save(folder)
 
 
 def sheet_cells(df: DataFrame, file: str, sheet: str, order: list[Column]) -> DataFrame:

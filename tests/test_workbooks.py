@@ -85,3 +85,33 @@ def test_small_sheets_share_slices_of_the_directory(spark, tmp_path, monkeypatch
     with zipfile.ZipFile(f"{folder}/f.xlsx") as z, open(f"{folder}/f.xlsx", "rb") as stream:
         first, last, off = workbooks.directory(stream)
         assert [(m.filename, m.file_size, m.compress_size, m.header_offset) for _, m in workbooks.members(stream, first, last, off)] == [(m.filename, m.file_size, m.compress_size, m.header_offset) for m in z.infolist()]
+
+
+def test_sheets_of_one_workbook_are_packed_by_several_tasks(spark, tmp_path):
+    """No task holds a whole workbook's cells: its sheets are dealt out, then copied packed; the archive is sound and lists them by name."""
+    data = spark.range(6000).select(F.lit("f").alias("file"), F.concat(F.lit("s"), F.lpad((F.col("id") % 40).cast("string"), 2, "0")).alias("sheet"), (F.floor(F.col("id") / 40) + 1).cast("int").alias("row"), F.lit(1).alias("col"), F.concat(F.lit("<&v"), "id").alias("value"))
+    seen, plain = tmp_path / "seen", workbooks.packed_sheets
+    seen.mkdir()
+
+    def watched(batches, parts):
+        for batch in plain(batches, parts):
+            for name in batch.column("part").unique().to_pylist():
+                (seen / name.rsplit("/", 1)[1]).touch()
+            yield batch
+
+    workbooks.packed_sheets = watched
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        workbooks.write_cells(data, str(tmp_path / "out"))
+    finally:
+        workbooks.packed_sheets = plain
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["f.xlsx"]
+    with zipfile.ZipFile(tmp_path / "out" / "f.xlsx") as z:
+        assert z.testzip() is None and len(z.namelist()) == len(set(z.namelist())) == 44
+        listed = z.read("xl/workbook.xml").decode()
+    places = [listed.index(f'name="s{n:02d}"') for n in range(40)]
+    assert places == sorted(places)
+    key = lambda df: sorted((r.sheet, r.row, r.col, r.value) for r in df.collect())
+    assert key(workbooks.read_workbooks(spark, str(tmp_path / "out"))) == key(data)
+    assert len(list(seen.iterdir())) > 1
