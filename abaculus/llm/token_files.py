@@ -51,6 +51,8 @@ END_ID = 2
 SPLITTER = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Latin texts, without the few characters that the library's splitter and this one class differently.
 SAFE = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]*")
+#: SPLITTER for safe texts: its classes as plain ranges, words first, runs that nothing after them can shorten.
+SAFE_SPLITTER = re.compile(r" ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]++|'(?:s|t|re|ve|m|ll|d)| ?[0-9]++| ?[^\s0-9A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]++|\s+(?!\S)|\s+")
 MEMO_PARTS = 500_000  # parts that a worker remembers (about 0.2 KB each)
 SLICE_CHARS = 400_000  # characters of the texts that are split at once
 JOINED = 200  # new words given to the library as one text
@@ -110,16 +112,18 @@ class Encoder:
         return out + self._encode(texts[begin:])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [SPLITTER.findall(t) if SAFE.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
+        cut = [SAFE_SPLITTER.findall(t) if SAFE.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
         if len(self.parts) > MEMO_PARTS:
             self.parts.clear()
-        fresh = sorted(set(filterfalse(self.parts.__contains__, chain.from_iterable(c for c in cut if c))))
+        found = [c and list(map(self.parts.get, c)) for c in cut]  # one look-up a part; again only where a part is new
+        new = [bool(f) and None in f for f in found]
+        fresh = sorted({p for c, f, n in zip(cut, found, new) if n for p, ids in zip(c, f) if ids is None})
         words = [p for p in fresh if p[0] == " " and p[1:].isalpha()]
         other = [p for p in fresh if not (p[0] == " " and p[1:].isalpha())]
         self.parts.update(zip(words, self._words(words)))
         self.parts.update(zip(other, self._ids(other)))
         known = self.parts.__getitem__
-        return [self._ids([t])[0] if c is None else b"".join(map(known, c)) for t, c in zip(texts, cut)]
+        return [self._ids([t])[0] if f is None else b"".join(map(known, c) if n else f) for t, c, f, n in zip(texts, cut, found, new)]
 
 
 @lru_cache(maxsize=2)

@@ -87,6 +87,43 @@ def test_token_files(spark):
     assert [x.doc_id for x in back] == [None, None, -1, 3, 2**60 + 1]
 
 
+def test_token_parts_equal_the_library():
+    """Safe texts have the library's ids; a known part is looked up once, not asked for and then fetched."""
+    import re
+
+    from tokenizers import Tokenizer
+
+    whole, encoder = Tokenizer.from_file(token_files.model_path()), token_files.Encoder(token_files.model_path())
+    r = random.Random(17)
+    safe = [c for c in map(chr, range(0x250)) if token_files.SAFE.fullmatch(c)]
+    pieces = [*" " * 6, "\n", "a", "née", "don't", "'s", "'re", "9", "x1", "--", "_", *safe]
+    for few in (pieces[:16], pieces):
+        texts = ["".join(r.choice(few) for _ in range(r.randrange(14))) for _ in range(8000)]
+        assert all(token_files.SAFE_SPLITTER.findall(t) == token_files.SPLITTER.findall(t) for t in texts)
+        want = [token_files.little(e.ids) for e in whole.encode_batch(texts, add_special_tokens=False)]
+        assert encoder.encode(texts) == want == encoder.encode(texts)
+
+    class Counted(dict):
+        seen = 0
+
+        def __contains__(self, key):
+            self.seen += 1
+            return super().__contains__(key)
+
+        def get(self, key):
+            self.seen += 1
+            return super().get(key)
+
+        def __getitem__(self, key):
+            self.seen += 1
+            return super().__getitem__(key)
+
+    encoder.encode(["one two, three\nfour"])
+    encoder.parts = Counted(encoder.parts)
+    encoder.encode(["one two, three\nfour"])
+    assert encoder.parts.seen == len(re.findall(r" ?\w+|[,\n]", "one two, three\nfour"))
+
+
 def test_token_file_random_access(spark, tmp_path):
     folder = f"file://{tmp_path}/files"
     shards = token_files.write(frame(spark, ["one two", "three"] * 20).coalesce(1), folder).where("n_docs > 0").collect()
