@@ -362,6 +362,29 @@ def test_lines_recall(spark):
     assert sum(not x.kept for x in got) >= 0.97 * len(got)
 
 
+def test_lines_that_quote_one_passage(spark, monkeypatch):
+    """Different lines with a passage in common don't all meet; near copies of each, and of the passage itself, still do."""
+    r = random.Random(41)
+    word = lambda n: "".join(r.choice("etaoinshrdlucmfwyp") for _ in range(n))
+    passage, docs = [word(10) for _ in range(5)], []
+    for i in range(60):
+        own = [word(r.randint(5, 8)) for _ in range(50)]
+        near = own[:10] + ["other"] + own[11:]
+        docs += [(i, " ".join(own[:20] + passage + own[20:])), (100 + i, " ".join(near[:20] + passage + near[20:]))]
+    docs += [(200 + i, " ".join(passage + [word(4)])) for i in range(40)]
+    sizes, plain = [], line_dedup.shared_buckets
+
+    def seen(ws, members):
+        found = plain(ws, members)
+        sizes.extend(x["size"] for x in found.select("size").collect())
+        return found
+
+    monkeypatch.setattr(line_dedup, "shared_buckets", seen)
+    got = {x.doc_id: x.kept for x in line_dedup.fuzzy_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i < 100 or i == 200 for i, _ in docs}
+    assert max(sizes) == 40
+
+
 # --- classifiers
 
 
