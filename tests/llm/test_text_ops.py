@@ -385,6 +385,41 @@ def test_lines_that_quote_one_passage(spark, monkeypatch):
     assert max(sizes) == 40
 
 
+def test_lines_compared_at_once():
+    """Many pairs in one bit-parallel table against one pair at a time; what words settle is within the edits."""
+    r = random.Random(17)
+    pairs = []
+    for _ in range(1500):
+        a = [r.choice("abcdefé 東") for _ in range(r.choice([1, 5, 63, 64, 65, 128, 300, 700]))]
+        b = list(a)
+        for _ in range(int(r.random() * 0.4 * len(a))):
+            i, kind = r.randrange(len(b)), r.randrange(3)
+            b[i : i + (kind != 1)] = "z" * (kind < 2 or len(b) == 1)
+        pairs.append(("".join(a), "".join(b)))
+    got = line_dedup.all_within(*map(list, zip(*pairs)), 0.8)
+    want = [line_dedup.within(a, b, int(max(len(a), len(b)) * 0.2 + 1e-9)) for a, b in pairs]
+    assert got.tolist() == want and 0.2 < got.mean() < 0.9
+    for a, b in pairs:
+        assert all(line_dedup.within(a, b, most) for most in (1, 10, 30) if line_dedup.near_by_words(a, b, most))
+
+
+def test_near_copies_of_a_line_stay_linear():
+    """A bucket of near copies gives a pair a line at first, and none once they are one group; other lines still meet."""
+    r = random.Random(18)
+    n = 2000
+    code = np.tile(np.array([r.getrandbits(62) for _ in range(4)], np.uint64), (n, 1))
+    code[:, 0] ^= np.array([1 << r.randrange(62) for _ in range(n)], np.uint64)
+    t = {c: code[:, i].copy() for i, c in enumerate(("c0", "c1", "c2", "c3"))} | {c: np.zeros(n, np.int64) for c in ("bucket", "part_a", "part_b")}
+    t |= {"node": np.arange(n), "size": np.sort(np.array([r.randrange(400, 430) for _ in range(n)])), "n_words": np.full(n, 50), "comp": np.zeros(n, np.int64)}
+    total = lambda closest: sum(len(a) for a, _ in line_dedup.bucket_pairs(t, 0.8, closest))
+    assert total(True) == n and total(False) == 0
+    t["comp"][:3] = 7
+    assert total(False) == 3 * (n - 3)
+    t["comp"][:] = 0
+    t["bucket"] = np.arange(n) // 2
+    assert total(True) == n // 2
+
+
 # --- classifiers
 
 
