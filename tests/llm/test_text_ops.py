@@ -385,6 +385,46 @@ def test_lines_that_quote_one_passage(spark, monkeypatch):
     assert max(sizes) == 40
 
 
+def test_lines_that_meet_by_a_frequent_passage_only(spark):
+    """Similar lines all of whose common word pairs are frequent meet as well, and don't bring the other lines of the passage along."""
+    r = random.Random(43)
+    word = lambda n: "".join(r.choice("etaoinshrdlucmfwyp") for _ in range(n))
+    passage = [word(10) for _ in range(5)]
+    docs = [(i, " ".join(passage + [word(6) for _ in range(14)])) for i in range(30)]
+    for i in range(10):
+        own = [word(4) for _ in range(8)]
+        near = [w[:-1] + "z" if k % 2 == 0 else w for k, w in enumerate(own)]
+        docs += [(100 + i, " ".join(passage + own + [str(i) * 12])), (200 + i, " ".join(passage + near + [str(i) * 12 + "x"]))]
+    got = {x.doc_id: x.kept for x in line_dedup.fuzzy_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i < 200 for i, _ in docs}
+
+
+def test_links_connect_what_all_pairs_connect():
+    """Whole buckets and parts of one, against all pairs; a task gives fewer links than rows."""
+    r = random.Random(44)
+    word = lambda: "".join(r.choice("etaoin") for _ in range(r.randint(3, 9)))
+    for parts in (1, 3):
+        bases, lines = [[word() for _ in range(r.choice([3, 9, 20, 70]))] for _ in range(12)], set()
+        while len(lines) < 150:
+            w = list(r.choice(bases))
+            for _ in range(r.randint(0, len(w) // 4 + 1)):
+                w[r.randrange(len(w))] = word()
+            lines.add(" ".join(w))
+        lines = sorted(lines, key=len)
+        n, rows = len(lines), []
+        for a, b in [(a, b) for a in range(parts) for b in range(a, parts)]:
+            rows += [(a if parts > 1 else -1, b if parts > 1 else -1, i % parts, i) for i in range(n) if i % parts in (a, b)]
+        part_a, part_b, own, node = np.array(rows).T
+        t = {"bucket": np.zeros(len(rows), np.int64), "part_a": part_a, "part_b": part_b, "own": own, "node": node, "n_words": np.zeros(len(rows), np.int64)}
+        t |= {"size": np.array([len(lines[i]) for i in node])} | {c: np.zeros(len(rows), np.uint64) for c in ("c0", "c1", "c2", "c3")}
+        a, b = line_dedup.links_of(t, [lines[i] for i in node], 0.8)
+        got, want = np.arange(n), np.arange(n)
+        line_dedup.join_groups(got, node[a], node[b])
+        every = [(i, j) for i in range(n) for j in range(i) if line_dedup.within(lines[i], lines[j], int(max(len(lines[i]), len(lines[j])) * 0.2 + 1e-9))]
+        line_dedup.join_groups(want, *np.array(every).T)
+        assert got.tolist() == want.tolist() and 12 <= len(set(want.tolist())) < n and len(a) < len(rows)
+
+
 def test_lines_compared_at_once():
     """Many pairs in one bit-parallel table against one pair at a time; what words settle is within the edits."""
     r = random.Random(17)
